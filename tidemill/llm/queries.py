@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, quality
+from . import chat, decontam, mixing, quality
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,9 +21,17 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.decontamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.chat_report(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op7_mix_sources, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_chat_format, op7_mix_sources, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_mix_sources": mixing.SQL}
+    return {"op1_decontaminate": decontam.SQL, "op2_chat_format": chat.SQL, "op7_mix_sources": mixing.SQL}
