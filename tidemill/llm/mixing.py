@@ -32,7 +32,7 @@ WEIGHTS = (5, 2, 1)
 #: A target's most, as a multiple of its source's words.
 MOST = 3
 #: Documents in a bucket, about.
-BUCKET = 100_000
+BUCKET = 4_000
 
 
 def _unit(key) -> F.Column:
