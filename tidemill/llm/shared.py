@@ -62,7 +62,7 @@ class Written:
 def bytes_of(df: DataFrame) -> int:
     """Catalyst's estimate of df's size; for files it comes from their sizes, without a job."""
     n = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(n.toString())
+    return int(str(n))
 
 
 def parts(df: DataFrame, each: int, least: int = 6, most: int = 200_000) -> int:
