@@ -54,14 +54,16 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     n = seeds.count()  # of the benchmark: the number of blocks, each of a bounded size
     blocks = max(1, -(-n // BLOCK))
     placed = _seeds(docs.select("doc_id", F.xxhash64("text").alias("th"), _hashed("text").alias("h")), "doc_id", "th")
+    # no lambdas up to the aggregate: they would end the generated stage between the positions and
+    # the join, and a stage's end holds all rows of a document, each with its array
     found = [
         placed.join(F.broadcast(seeds if blocks == 1 else seeds.filter(F.pmod(F.xxhash64("seed"), F.lit(blocks)) == b)), "seed")
-        .select("doc_id", "th", "item_id", "ih", "iat", "at", F.slice("h", F.greatest(F.col("at") - F.col("iat"), F.lit(0)) + 1, F.size("ih")).alias("dh"))
+        .select("doc_id", "th", "item_id", "ih", (F.col("iat") - F.col("at")).alias("skip"), F.slice("h", F.greatest(F.col("at") - F.col("iat"), F.lit(0)) + 1, F.size("ih")).alias("dh"))
         for b in range(blocks)
     ]
-    hit = reduce(DataFrame.unionByName, found)
+    hit = reduce(DataFrame.unionByName, found).groupBy("doc_id", "th", "item_id", "skip").agg(F.first("ih").alias("ih"), F.first("dh").alias("dh"))
     # dh starts at the item's first word, or the document's if the item reaches before it
-    skip = F.greatest(F.col("iat") - F.col("at"), F.lit(0))
+    skip = F.greatest("skip", F.lit(0))
     same = F.transform(F.col("ih"), lambda x, i: F.when(F.get("dh", F.when(i >= skip, i - skip)) == x, 1).otherwise(0))
     hit = hit.select("doc_id", "th", "item_id", same.alias("same"), F.least(F.size("ih"), F.lit(WINDOW)).alias("w"))
     sums = F.transform(F.sequence(F.lit(1), F.size("same") - F.col("w") + 1), lambda s: F.aggregate(F.slice("same", s, F.col("w")), F.lit(0), lambda a, x: a + x))
