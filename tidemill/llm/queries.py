@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, lines, mixing, neardup, quality, sharding, substrings, toxicity
+from . import chat, decontam, lines, lm, mixing, neardup, quality, sharding, substrings, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(table(spark, sf_dir, "documents"))
 
 
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.lm_report(table(spark, sf_dir, "documents"))
+
+
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.neardup_report(table(spark, sf_dir, "documents"))
 
@@ -50,7 +54,7 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_chat_format, op4_near_dedup, op5_toxicity, op6_shard_compact, op7_mix_sources, op8_substring_dedup, op9_line_dedup, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_chat_format, op3_lm_score, op4_near_dedup, op5_toxicity, op6_shard_compact, op7_mix_sources, op8_substring_dedup, op9_line_dedup, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -20,7 +20,6 @@ of the text. Null text: no words. Texts shorter than a window keep everything.
 from __future__ import annotations
 
 import hashlib
-import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .codec import cuts, packed, unpacked
 from .shared import bytes_of, kept, remove, scratch
 from .words import _ODD, chunks, covered, grams, hash_words, mix
 
@@ -56,30 +56,6 @@ def fingerprints(h: np.ndarray, doc: np.ndarray, window: int) -> tuple[np.ndarra
     return (g & ~_CHECK) | (mix(other[at]) & _CHECK), at
 
 
-def packed(h: np.ndarray) -> bytes:
-    """Sorted fingerprints as differences of their keys, in planes of bytes, and check bytes."""
-    key = h >> np.uint64(8)
-    d = np.diff(key, prepend=key[:1])
-    width = max(1, (int(d.max()).bit_length() + 7) // 8) if len(d) else 1
-    planes = d.view(np.uint8).reshape(-1, 8)[:, :width].T
-    return struct.pack("<IBQ", len(h), width, int(key[0]) if len(h) else 0) + planes.tobytes() + (h & _CHECK).astype(np.uint8).tobytes()
-
-
-def unpacked(b: bytes) -> np.ndarray:
-    n, width, first = struct.unpack_from("<IBQ", b)
-    at = struct.calcsize("<IBQ")
-    d = np.zeros((n, 8), np.uint8)
-    d[:, :width] = np.frombuffer(b, np.uint8, n * width, at).reshape(width, n).T
-    key = np.cumsum(d.view(np.uint64).ravel()) + np.uint64(first)
-    return (key << np.uint64(8)) | np.frombuffer(b, np.uint8, n, at + n * width).astype(np.uint64)
-
-
-def cuts(h: np.ndarray, segments: int) -> np.ndarray:
-    """Where sorted fingerprints pass from one segment to the next."""
-    bounds = (np.arange(1, segments).astype(object) << 64) // segments
-    return np.concatenate([[0], np.searchsorted(h, np.array([int(x) for x in bounds], np.uint64)), [len(h)]])
-
-
 def _windows(table: pa.Table, window: int):
     """Of a block's texts, in order of okey: word bounds, and the windows' fingerprints, texts and
     starts (by word in the block)."""
