@@ -76,9 +76,11 @@ def copies(docs: DataFrame, keep: list[str], bucket: int = BUCKET) -> DataFrame:
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         F.xxhash64("text").alias("__tie"),
     ).withColumn("bits", F.length(F.bin("size")))
-    slim = sized.select("__id", "s", "none", "size", "__tie", "bits")
-    if keep == ["doc_id"]:  # the rows are small: written once, read by all that follows
+    # sizes are worked out once for all counts, and once more with rows that are too large to keep
+    if keep == ["doc_id"]:
         sized = slim = kept(sized)
+    else:
+        slim = kept(sized.select("__id", "s", "none", "size", "__tie", "bits"))
     n = slim.count()
     deal = (lambda d: d.withColumn("part", F.pmod(F.xxhash64("__id", "__tie"), F.lit(max(1, -(-n // bucket))))))
     sized, slim = deal(sized), deal(slim)

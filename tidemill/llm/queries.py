@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
+
 from . import chat, decontam, lines, lm, mixing, neardup, quality, sharding, substrings, toxicity
 
 
@@ -53,8 +55,12 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_report(table(spark, sf_dir, "conversations"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_chat_format, op3_lm_score, op4_near_dedup, op5_toxicity, op6_shard_compact, op7_mix_sources, op8_substring_dedup, op9_line_dedup, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_chat_format, op3_lm_score, op4_near_dedup, op5_toxicity, op6_shard_compact, op7_mix_sources, op8_substring_dedup, op9_line_dedup, op10_quality_rules, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
