@@ -16,4 +16,4 @@ def sequence(spark: SparkSession, start: int = 0, count: int | None = None) -> D
     n = left if count is None else min(count, left)
     if n >= 1 << 63:
         raise ValueError("an unbounded sequence needs a count for each batch")
-    return spark.range(n).select((F.lit(start).cast(UINT64) + F.col("id")).cast(UINT64).alias("value"))
+    return spark.range(n).select((F.lit(str(start)).cast(UINT64) + F.col("id")).cast(UINT64).alias("value"))
