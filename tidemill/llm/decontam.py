@@ -26,7 +26,7 @@ from .words import WORD
 #: Looked-at positions of each mask.
 MASKS = ((0, 1, 4, 6, 7, 8), (0, 1, 2, 4, 5, 6))
 WINDOW, SLACK = 13, 2
-LEAST, SHORT_SLACK = 9, 1
+LEAST, SHORT_SLACK = 10, 1
 BLOCK = 500_000
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
