@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import lean
 from .template import CONTROL, Template, unescape
 
 #: Turns are marked with control strings, which escape() keeps out of roles and texts.
@@ -126,7 +127,7 @@ def _arrow(schema: pa.Schema, *steps):
 
 
 def _dealt(conv: DataFrame) -> DataFrame:
-    return conv.select("conv_id", "turn", "role", "text").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    return lean(conv).select("conv_id", "turn", "role", "text").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
 
 
 _PIECES = pa.schema([("conv_id", pa.int64()), ("piece", pa.int64()), ("text", pa.string()), ("loss", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])

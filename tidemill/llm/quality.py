@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .shared import lean
 from .words import Chunk, chunks, covered, hash_words, mix
 
 #: Repeats shorter than this many words don't count towards the covered fraction.
@@ -136,7 +137,7 @@ def judge(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with a struct column __quality, the verdict on each text. One narrow pass over the
     rows: no shuffle; memory is bounded by one Arrow batch and the arrays of one chunk."""
     schema = T.StructType([*docs.schema.fields, T.StructField("__quality", VERDICT)])
-    return docs.mapInArrow(_judge(docs.columns.index(text)), schema)
+    return lean(docs).mapInArrow(_judge(docs.columns.index(text)), schema)
 
 
 def quality_report(docs: DataFrame) -> DataFrame:

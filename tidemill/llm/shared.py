@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import gc
 import math
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -24,6 +26,25 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def free(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of tables that are gone: it does when the driver's heap is
+    collected, which a loop of many small jobs may not cause for long."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+#: Rows that a Python worker gets at a time. Spark's own 10,000 are hundreds of MB of long texts.
+BATCH_ROWS = 500
+
+
+def lean(df: DataFrame) -> DataFrame:
+    """df, after bounding its session's Arrow batches to BATCH_ROWS rows."""
+    key, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, BATCH_ROWS)
+    return df
+
+
 def remove(spark: SparkSession, path: str) -> None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
@@ -59,10 +80,39 @@ class Written:
         remove(self.spark, self.path)
 
 
+class Steps:
+    """Tables of one call, written to the shared folder and read again, so that plans stay short and
+    sizes are known (a checkpoint keeps its plan's estimate, which multiplies over a loop's joins).
+    Leaving the `with` removes them all."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.path, self.n = spark, scratch(spark, name), 0
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        self.n += 1
+        path = f"{self.path}/{self.n}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def __enter__(self) -> Steps:
+        return self
+
+    def __exit__(self, *_) -> None:
+        remove(self.spark, self.path)
+
+
+#: Estimates above this come from plans that Catalyst knows nothing about.
+UNKNOWN = 1 << 54
+
+
 def bytes_of(df: DataFrame) -> int:
-    """Catalyst's estimate of df's size; for files it comes from their sizes, without a job."""
-    n = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(str(n))
+    """Catalyst's estimate of df's size; for files it comes from their sizes, without a job. Where it
+    has none, the bytes are summed."""
+    n = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if n < UNKNOWN:
+        return n
+    each = sum((F.coalesce(F.octet_length(F.col(f"`{c}`")), F.lit(0)) if t in ("string", "binary") else F.lit(8) for c, t in df.dtypes), F.lit(0))
+    return df.agg(F.sum(each.cast("long"))).first()[0] or 0
 
 
 def parts(df: DataFrame, each: int, least: int = 6, most: int = 200_000) -> int:

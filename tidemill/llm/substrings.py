@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .codec import cuts, packed, unpacked
-from .shared import bytes_of, kept, remove, scratch
+from .shared import bytes_of, kept, lean, remove, scratch
 from .words import _ODD, chunks, covered, grams, hash_words, mix
 
 WINDOW = 20
@@ -242,10 +242,10 @@ def substring_report(docs: DataFrame, window: int = WINDOW, batches: tuple[float
     """Per document: doc_id, n_words, n_removed, kept_sha256 of the words that stay. The documents go
     through an index of their own in batches that end at the given shares of the doc_ids."""
     spark = docs.sparkSession
-    docs = docs.select("doc_id", "text")
+    docs = lean(docs).select("doc_id", "text")
     total = bytes_of(docs)
     index = FingerprintIndex(spark, scratch(spark, "fingerprints"), max(4, -(-total // SEGMENT)), window)
-    ends = sorted({int(x) for x in docs.select("doc_id").na.drop().approxQuantile("doc_id", list(batches), 0.01)})
+    ends = sorted({int(x) for x in docs.select("doc_id").na.drop().approxQuantile("doc_id", list(batches), 0.01)}) if batches else []
     out: list[DataFrame] = []
     low: int | None = None
     for end in ends:

@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import lean
 from .words import CHUNK, LOWER, SPACE, _ODD, _TABLE, Chunk, chunks, mix
 
 #: Bounds of the fit: labelled rows, and features of the model.
@@ -86,7 +87,7 @@ class CharModel:
     @staticmethod
     def of(docs: DataFrame) -> CharModel:
         """Counted over all texts; what reaches the driver is at most KINDS ** 3 counts."""
-        rows = docs.select("text").mapInArrow(_count, "tri long, n long").groupBy("tri").agg(F.sum("n").alias("n")).collect()
+        rows = lean(docs).select("text").mapInArrow(_count, "tri long, n long").groupBy("tri").agg(F.sum("n").alias("n")).collect()
         counts = np.zeros(KINDS**3)
         for r in rows:
             counts[r["tri"]] = r["n"]
@@ -108,7 +109,7 @@ def restore(token: str, model: CharModel) -> str:
             if c in "!|":
                 options.append(("", 1.5))
         elif c.isalpha():
-            options = [(c, 0.0)] if r == 1 else [(c * 2, 0.0), (c, 0.7)] if r == 2 else [(c, 0.0), (c * 2, 0.2)]
+            options = [(c, 0.0)] if r == 1 else [(c * 2, 0.0), (c, 2.0)] if r == 2 else [(c, 0.0), (c * 2, 0.2)]
         else:
             options = [("", 0.0)]
         new: dict[tuple[int, int], tuple[float, str]] = {}
@@ -331,7 +332,7 @@ def score(docs: DataFrame, model: Classifier) -> DataFrame:
             s = np.concatenate([own.scores(r, c) for c in chunks(b.column(2), CHUNK, lower=True)]) if b.num_rows else np.zeros(0)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
-    return docs.select("doc_id", held_out("doc_id", 5).alias("held_out"), "text").mapInArrow(run, SCORE)
+    return lean(docs).select("doc_id", held_out("doc_id", 5).alias("held_out"), "text").mapInArrow(run, SCORE)
 
 
 def toxicity_report(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 
 #: Bytes of text handled at a time; bounds the temporary arrays (about 30 times as large).
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 
 _POS = 64
 _RNG = np.random.Generator(np.random.PCG64(20240229))
