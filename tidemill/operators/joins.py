@@ -50,8 +50,7 @@ def join(left: DataFrame, right: DataFrame, kind: str, keys: list[tuple[str, str
     both = l.join(r, on, KINDS[kind])
     semi = KINDS[kind] in ("left_semi", "left_anti")
     cols = [f"l.{q(c)}" for c in data(left)] + ([] if semi else [f"r.{q(c)}" for c in data(right)])
-    plain = [c for c in data(left)] + ([] if semi else data(right))
-    names = names or plain
+    names = names or [*data(left), *([] if semi else data(right))]
     if len(names) != len(cols) or len(set(names)) != len(names):
         raise OperatorError("output names repeat or don't fit")
     out = [F.col(c).alias(n) for c, n in zip(cols, names, strict=True)]

@@ -36,7 +36,7 @@ def decoded(df: DataFrame, schema: T.StructType, value: str = "value", order: li
     b, a = (F.from_json(c, loose, {"mode": "FAILFAST"}) for c in ("before", "after"))
     names = F.sort_array(F.array(*(F.lit(f.name) for f in schema)))
     strict = lambda keys, image: F.when(F.sort_array(keys) == names, image).otherwise(_error("a row image doesn't have the declared columns", loose.simpleString()))
-    before, after, no = strict(F.col("ka" if False else "kb"), b), strict(F.col("ka"), a), F.lit(None).cast(loose)
+    before, after, no = strict(F.col("kb"), b), strict(F.col("ka"), a), F.lit(None).cast(loose)
     row_change = lambda image, n: F.struct(image.alias("row"), F.lit(n).cast("long").alias(DIFF), F.lit(0 if n < 0 else 1).alias("step"))
     kind = "array<struct<row:" + loose.simpleString() + f",{DIFF}:bigint,step:int>>"
     insert = F.array(row_change(after, 1))
