@@ -13,13 +13,14 @@ groups are the connected components.
 3. Overlaps in rounds, never all pairs of a list. In each list a few leaders are compared with the
    members of other components; then components are joined up. A list is done when the members that
    have not led are in one component. Leaders come from outside a list's largest component, so a group
-   of copies of any size costs about its size, and members left over are compared with all others:
-   no pair that could matter is passed over.
+   of copies of any size costs about its size, and members left over are compared with all others
+   that sizes allow, and in long lists also counts of what is in other sets there, part by part of
+   the hash range: bounds that no pair that links is beyond.
 4. Candidates are filtered by the union-sketch estimate, and confirmed on full sets.
 
 Skew: lists are counted with map-side aggregation and joined with sort-merge joins that AQE can
 split; confirmation is salted. Nothing but counts reaches the driver. State between rounds is
-checkpointed in the shared folder.
+written to the shared folder.
 
 Null text: empty. Repeated rows share their class. Rows with the same doc_id and different texts are
 different documents with that id. Null doc_ids are larger than all others as representatives.
@@ -37,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .shared import Written, kept
+from .shared import Steps, free, kept, lean
 from .words import Chunk, chunks, grams, hash_words, mix
 
 SHINGLE = 5
@@ -45,9 +46,16 @@ SHINGLE = 5
 K = 64
 #: Linked: 100 * intersection >= PERCENT * union.
 PERCENT = 75
-#: Leaders of a list in the first round, and how many times more in each that follows.
-LEADERS, GROWTH = 1, 16
+#: Leaders of a long list in each round, the last repeating with twice as many each time. Few at first:
+#: what they join up need not be compared any more. A short list has all its members lead.
+LEADERS = (1, 2, 32, 1024)
 SALTS = 16
+#: A list of so many members that have yet to be compared is long.
+BIG = 24
+#: Parts of the hash range in which elements are counted, to bound intersections.
+PARTS = 64
+#: Larger counts aren't kept, and such sets not bounded by them.
+MOST = 32_767
 
 _C1, _C2 = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
 
@@ -165,37 +173,52 @@ def _with_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], ["cls", "text"])
 
 
-def _labelled(links: DataFrame) -> DataFrame:
+def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(cls, text) rows to (cls, whole set)."""
+    for b in batches:
+        sets = [s for c in chunks(b.column(1), lower=True) for s in shingle_sets(c)]
+        at = np.cumsum([0, *map(len, sets)])
+        values = pa.array((np.concatenate(sets) if sets else np.zeros(0, np.uint64)).view(np.int64))
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(at, pa.int32()), values)], ["cls", "value"])
+
+
+def _labelled(links: DataFrame, step: Steps) -> DataFrame:
     """Connected components of links (a, b): cls, comp (its smallest cls). Smallest labels spread over
     links and through labels' own labels, so rounds grow with the logarithm of a path."""
-    both = kept(links.select("a", "b").union(links.select("b", "a")).distinct())
-    label = kept(both.groupBy(F.col("a").alias("cls")).agg(F.least(F.col("cls"), F.min("b")).alias("comp")))
+    both = step(links.select("a", "b").union(links.select("b", "a")).distinct())
+    label = step(both.groupBy(F.col("a").alias("cls")).agg(F.least(F.col("cls"), F.min("b")).alias("comp")))
     while True:
         near = both.join(label.select(F.col("cls").alias("b"), "comp"), "b").groupBy(F.col("a").alias("cls")).agg(F.min("comp").alias("near"))
         new = label.join(near, "cls").select("cls", F.col("comp").alias("old"), F.least("comp", "near").alias("comp"))
-        up = new.select(F.col("cls").alias("comp"), F.col("comp").alias("up"))
-        new = kept(new.join(up, "comp").select("cls", "old", F.least("comp", "up").alias("comp")))
-        changed = not new.filter("old != comp").isEmpty()
+        up = label.select(F.col("cls").alias("comp"), F.col("comp").alias("up"))
+        new = step(new.join(up, "comp").select("cls", "old", F.least("comp", "up").alias("comp")))
+        changed = new.agg(F.max(F.col("old") != F.col("comp"))).first()[0]
         label = new.select("cls", "comp")
         if not changed:
             return label
 
 
 def near_duplicates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(sketches of docs, cls and component_id of all classes that link with another)."""
-    slim = docs.select("doc_id", "text")
-    sk = kept(slim.mapInArrow(_sketch, SKETCH))
-    classes = kept(sk.filter("n > 0").groupBy("cls", "n").agg(F.min("doc_id").alias("rep"), F.min("sketch").alias("sketch")))
+    """(doc_id, cls and n of docs; cls and component_id of all classes that link with another)."""
+    with Steps(docs.sparkSession, "near") as step:
+        sk, group = _near_duplicates(docs, step)
+        return kept(sk.select("doc_id", "cls", "n")), kept(group)
+
+
+def _near_duplicates(docs: DataFrame, step: Steps) -> tuple[DataFrame, DataFrame]:
+    slim = lean(docs).select("doc_id", "text")
+    sk = step(slim.mapInArrow(_sketch, SKETCH))
+    classes = step(sk.filter("n > 0").groupBy("cls", "n").agg(F.min("doc_id").alias("rep"), F.min("sketch").alias("sketch")))
 
     # lists of the values that a pair may be found by
     value = classes.select("cls", F.explode("sketch").alias("value"))
     often = value.groupBy("value").agg(F.count("*").alias("df")).filter("df > 1")
     need = F.element_at(F.array(*(F.lit(shared_at_least(n)) for n in range(1, K + 2))), F.least("n", F.lit(K + 1)).cast("int"))
     shared = value.join(often, "value").groupBy("cls").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("v"))  # at most K values
-    shared = shared.join(classes.select("cls", need.alias("need")), "cls").filter(F.size("v") >= F.col("need"))
-    prefix = kept(shared.select("cls", F.slice(F.col("v.value"), F.lit(1), F.size("v") - F.col("need") + 1).alias("prefix")))
+    shared = shared.join(classes.select("cls", "n", need.alias("need")), "cls").filter(F.size("v") >= F.col("need"))
+    prefix = step(shared.select("cls", "n", F.slice(F.col("v.value"), F.lit(1), F.size("v") - F.col("need") + 1).alias("prefix")))
     left = prefix.select("cls", F.explode("prefix").alias("value"))
-    left = kept(left.join(left.groupBy("value").agg(F.count("*").alias("m")).filter("m > 1").drop("m"), "value"))
+    left = step(left.join(left.groupBy("value").agg(F.count("*").alias("m")).filter("m > 1").drop("m"), "value"))
     if left.isEmpty():
         none = docs.sparkSession.createDataFrame([], "cls long, component_id long")
         return sk, none
@@ -203,52 +226,75 @@ def near_duplicates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     # texts of the classes in lists
     who = left.select("cls").distinct().join(classes.select("cls", F.col("rep").alias("doc_id")), "cls")
     texts = slim.join(who, slim["doc_id"].eqNullSafe(who["doc_id"])).select("cls", "text")
-    with Written(texts.mapInArrow(_with_class, "cls long, text string").dropDuplicates(["cls"]), "near-texts") as texts:
-        links, label, q = None, None, LEADERS
-        while True:
-            if label is None:
-                open_ = left.withColumn("comp", F.col("cls"))
-            else:
-                open_ = left.join(label, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-                many = open_.groupBy("value").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y").select("value")
-                open_ = kept(open_.join(many, "value"))
-                if open_.isEmpty():
-                    break
-            lead = open_
-            if label is not None:
-                sizes = open_.groupBy("value", "comp").agg(F.count("*").alias("m")).groupBy("value").agg(F.max(F.struct("m", "comp")).alias("top"))
-                lead = open_.join(sizes, "value").filter(F.col("comp") != F.col("top.comp")).drop("top")
-            # up to q leaders of each list
-            slot = F.pmod(F.xxhash64("cls", F.lit(q)), F.lit(q))
-            lead = lead.groupBy("value", slot.alias("slot")).agg(F.min(F.struct("cls", "comp")).alias("l"))
-            lead = lead.select("value", F.col("l.cls").alias("a"), F.col("l.comp").alias("ca"))
-            if label is not None:
-                lead = kept(lead)
-                mine = lead.join(prefix.select(F.col("cls").alias("a"), F.col("prefix").alias("pa")), "a")
-                theirs = open_.join(prefix, "cls").select("value", F.col("cls").alias("b"), F.col("comp").alias("cb"), "prefix")
-                # a pair is made in the first only of the lists that it shares
-                once = F.array_min(F.array_intersect("pa", "prefix")) == mine["value"]
-                pairs = mine.join(theirs, (mine["value"] == theirs["value"]) & (F.col("ca") != F.col("cb")) & once).select("a", "b")
-            else:
-                pairs = lead.join(open_.select("value", F.col("cls").alias("b")), "value").filter("a != b").select("a", "b")
-            found = _linked(pairs.distinct(), classes, texts)
-            links = found if links is None else kept(links.union(found))
-            label = _labelled(links)
-            left = kept(open_.select("cls", "value").join(lead.select(F.col("a").alias("cls"), "value"), ["cls", "value"], "left_anti"))
-            q *= GROWTH
+    texts = step(texts.mapInArrow(_with_class, "cls long, text string").dropDuplicates(["cls"]))
+    links, label, turn, common = None, None, 0, None
+    while True:
+        if label is None:
+            open_ = left.withColumn("comp", F.col("cls"))
+        else:
+            open_ = left.join(label, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+            many = open_.groupBy("value").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("m")).filter("x < y").select("value", (F.col("m") >= BIG).alias("big"))
+            open_ = step(open_.join(many, "value"))
+            if open_.isEmpty():
+                break
+            if common is None:
+                common = step(_in_common(open_.filter("big").select("cls").distinct(), texts))
+        lead = open_
+        if label is not None:
+            most = open_.groupBy("value", "comp").agg(F.count("*").alias("m")).groupBy("value").agg(F.max(F.struct("m", "comp")).alias("top"))
+            lead = open_.join(most, "value").filter(F.col("comp") != F.col("top.comp")).drop("top")
+        # up to q leaders of each list, the same ones in lists with much the same members
+        q = LEADERS[turn] if turn < len(LEADERS) else LEADERS[-1] << (turn - len(LEADERS) + 1)
+        slot = F.pmod(F.xxhash64("cls", F.lit(turn)), F.lit(q))
+        if label is not None:
+            slot = F.when(F.col("big"), slot).otherwise(F.col("cls"))
+        lead = lead.groupBy("value", slot.alias("slot")).agg(F.min(F.struct("cls", "comp")).alias("l"))
+        lead = lead.select("value", F.col("l.cls").alias("a"), F.col("l.comp").alias("ca"))
+        if label is not None:
+            lead = step(lead)
+            about = prefix.join(common, "cls", "left")
+            mine = lead.join(about.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("prefix").alias("pa"), F.col("s").alias("sa"), F.col("counts").alias("va")), "a")
+            theirs = open_.join(about, "cls").select("value", "big", F.col("cls").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"), "prefix", F.col("s").alias("sb"), F.col("counts").alias("vb"))
+            # a pair is made in the first only of the lists that it shares
+            once = F.array_min(F.array_intersect("pa", "prefix")) == mine["value"]
+            # sizes, and what both have in common with any set here, allow the intersection it takes
+            sizes = 100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb")
+            enough = ~F.col("big") | ((100 + PERCENT) * F.least(F.coalesce("sa", F.lit(0)), F.coalesce("sb", F.lit(0))) >= PERCENT * (F.col("na") + F.col("nb")))
+            # the same part by part of the hash range: no intersection is larger than these smaller counts
+            parts = F.aggregate(F.zip_with("va", "vb", lambda x, y: F.least(x, y).cast("int")), F.lit(0), lambda t, x: t + x)
+            parts = ~F.col("big") | (F.greatest("sa", "sb") > MOST) | ((100 + PERCENT) * parts >= PERCENT * (F.col("na") + F.col("nb")))
+            pairs = mine.join(theirs, (mine["value"] == theirs["value"]) & (F.col("ca") != F.col("cb")) & sizes & enough & once & parts).select("a", "b")
+        else:
+            pairs = lead.join(open_.select("value", F.col("cls").alias("b")), "value").filter("a != b").select("a", "b")
+        found = _linked(pairs.distinct(), classes, texts, step)
+        links = found if links is None else step(links.union(found))
+        label = _labelled(links, step)
+        left = step(open_.select("cls", "value").join(lead.select(F.col("a").alias("cls"), "value"), ["cls", "value"], "left_anti"))
+        turn += 1
+        free(docs.sparkSession)
     component = label.join(classes, "cls").groupBy("comp").agg(F.min("rep").alias("component_id"))
     return sk, label.join(component, "comp").select("cls", "component_id")
 
 
-def _linked(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+def _in_common(who: DataFrame, texts: DataFrame) -> DataFrame:
+    """For the classes in long lists: s, how many of the set's elements are in another of these sets,
+    and counts of these in each part of the hash range. What is in no other set is in no intersection."""
+    value = texts.join(who, "cls").mapInArrow(_elements, "cls long, value array<long>").select("cls", F.explode("value").alias("value"))
+    often = value.groupBy("value").agg(F.count("*").alias("df")).filter("df > 1").select("value")
+    part = value.join(often, "value").groupBy("cls", F.pmod("value", F.lit(PARTS)).cast("int").alias("part")).agg(F.count("*").cast("int").alias("c"))
+    by = part.groupBy("cls").agg(F.sum("c").alias("s"), F.map_from_entries(F.collect_list(F.struct("part", "c"))).alias("m"))  # at most PARTS entries
+    return by.select("cls", "s", F.transform(F.sequence(F.lit(0), F.lit(PARTS - 1)), lambda k: F.coalesce(F.least(F.element_at("m", k), F.lit(MOST)), F.lit(0)).cast("smallint")).alias("counts"))
+
+
+def _linked(pairs: DataFrame, classes: DataFrame, texts: DataFrame, step: Steps) -> DataFrame:
     """Those of the pairs (a, b) that link: by the union sketch, then on full sets."""
     of = lambda x: classes.select(F.col("cls").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
     maybe = pairs.join(of("b"), "b").join(of("a"), "a").select("a", "b", "na", "nb", "sa", "sb")
-    maybe = kept(maybe.mapInArrow(_estimate, "a long, b long").withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int")))
+    maybe = step(maybe.mapInArrow(_estimate, "a long, b long").withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int")))
     b = maybe.join(texts.withColumnRenamed("cls", "b"), "b").select("a", "salt", "b", "text")
     a = maybe.select("a", "salt").distinct().join(texts.withColumnRenamed("cls", "a"), "a").select("a", "salt", F.lit(None).cast("long").alias("b"), "text")
     dealt = b.union(a).repartition("a", "salt").sortWithinPartitions("a", "salt", "b")
-    return kept(dealt.mapInArrow(_confirm, "a long, b long"))
+    return step(dealt.mapInArrow(_confirm, "a long, b long"))
 
 
 def neardup_report(docs: DataFrame) -> DataFrame:
@@ -279,7 +325,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     sk, group = near_duplicates(docs)
     first = sk.filter("n > 0").groupBy("cls", "n").agg(F.min("doc_id").alias("rep")).join(group, "cls", "left")
     stay = first.filter(F.coalesce(F.col("component_id") == F.col("rep"), F.lit(True))).select(F.col("rep").alias("__rep"), F.col("cls").alias("__own"))
-    classed = docs.mapInArrow(_passing(docs.columns.index("text")), T.StructType([*docs.schema.fields, T.StructField("__cls", T.LongType())]))
+    classed = lean(docs).mapInArrow(_passing(docs.columns.index("text")), T.StructType([*docs.schema.fields, T.StructField("__cls", T.LongType())]))
     words = classed.join(stay, classed["doc_id"].eqNullSafe(F.col("__rep")) & (F.col("__cls") == F.col("__own")), "left_semi")
     one = words.withColumn("__at", F.row_number().over(Window.partitionBy("doc_id", "__cls").orderBy(F.lit(1)))).filter("__at = 1")
     own = [F.col(f"`{c}`") for c in docs.columns]
