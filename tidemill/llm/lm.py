@@ -6,7 +6,7 @@ word. Training documents are those whose crc32(doc_id as text) mod 10 is not 0.
 Counting: one pass over the training texts sends sorted hashes with counts, in segments of the hash
 range, and each segment sums what it gets: the exact counts of all words and word pairs. A count c is
 stored as level 1 + floor(log2(c / least)): an n-gram of level j is put into the filter as j items
-(n-gram, 1) .. (n-gram, j). An item's bits lie in one 64-bit word.
+(n-gram, 1) .. (n-gram, j). An item has bits in two 64-bit words.
 
 The filter is broadcast; FILTER_BYTES bounds its size whatever the corpus. `least` is 1 while all
 items have BITS bits each; beyond, it is the smallest power of two with which those of that count and
@@ -15,12 +15,14 @@ more do, and rarer n-grams are left to smoothing. It follows from the counts of
 Scoring: a count is read by probing level after level until one is missing. With q(c) the lowest count
 of a level and Q(c) the highest,
 
-    P(w | h) = L * q(h w) / Q(h) + (1 - L) * P(w),    P(w) = (1 - U) * q(w) / Z,
+    P(w | h) = L(h) * q(h w) / Q(h) + (1 - L(h)) * P(w),    P(w) = (1 - U) * q(w) / Z,
+    L(h) = M * Q(h) / (Q(h) + F * V),
 
-where Z is the sum of q over the vocabulary, L the mass of word pairs that were counted at least
-max(2, least) times, and U that of words below it, in equal parts for each word without an item and for
-one class of all unknown words. These sum to at most 1 over the vocabulary and the class (false
-positives aside, at about 0.02 an unseen n-gram at BITS bits).
+where Z is the sum of q over the vocabulary of V words, M the mass of word pairs that were counted at
+least max(2, least) times, and U that of words below it, in equal parts for each word without an item
+and for one class of all unknown words. F is the filter's rate of false positives, from its fill: F * V
+is how many words seem to follow any h, and so these sum to at most 1 over vocabulary and class, in
+expectation over the filter's hashes. After a token without an item P(w) alone counts.
 
 The exact base score needs each token's exact count: blocks of documents ask the segments for the
 counts of their distinct words, and get them back in the order asked.
@@ -41,17 +43,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .codec import counted, cuts, packed, uncounted, unpacked
-from .shared import Written, bytes_of
+from .shared import Written, bytes_of, lean
 from .words import _ODD, Chunk, chunks, hash_words, mix
 
-FILTER_BYTES, BITS, PROBES = 48 << 20, 10, 4
+FILTER_BYTES, BITS, PROBES = 32 << 20, 16, 4
 #: Stored bytes of text in a block, and in a segment's share of text.
-BLOCK, SEGMENT = 8 << 20, 6 << 20
+BLOCK, SEGMENT = 4 << 20, 6 << 20
 #: Tokens that a task counts before it passes them on.
-HELD = 3_000_000
+HELD = 1_000_000
 FOLDS = 10
 #: Rows in which the filter comes together.
-SHARDS = 48
+SHARDS = 32
 LEVELS = 48
 
 END = mix(np.array([0x656E64], np.uint64))[0]
@@ -151,6 +153,7 @@ class Model:
     pair_mass: float
     unknown: float  # probability of one word without an item
     known_total: float  # Z / (1 - U)
+    false_rate: float = 0.0  # of an n-gram without an item
     words: np.ndarray | None = field(default=None, repr=False)
 
     @property
@@ -177,9 +180,9 @@ def _model(rows: list, filter_bytes: int) -> Model:
 # -- filter ----------------------------------------------------------------------------------
 
 
-def item(h: np.ndarray, kind: int, level: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Word of the filter, and bits in it, of (n-gram, level)."""
-    x = mix(h ^ _ODD[400 + 64 * kind + level])
+def item(h: np.ndarray, kind: int, level: int, size: int, side: int) -> tuple[np.ndarray, np.ndarray]:
+    """Word of the filter, and bits in it, of (n-gram, level): the first or the second."""
+    x = mix(h ^ _ODD[400 + 64 * (2 * kind + side) + level])
     at = ((x >> np.uint64(32)) * np.uint64(size)) >> np.uint64(32)
     y = mix(x)
     bits = np.zeros(len(h), np.uint64)
@@ -199,7 +202,7 @@ def _items(shift: int, size: int, shards: int):
                 h, level = unpacked(body)[level > 0], level[level > 0]
                 if not len(h):
                     continue
-                got = [item(h[level >= j], kind, j, size) for j in range(1, int(level.max()) + 1)]
+                got = [item(h[level >= j], kind, j, size, side) for j in range(1, int(level.max()) + 1) for side in (0, 1)]
                 at, bits = (np.concatenate(x) for x in zip(*got, strict=True))
                 order = np.argsort(at, kind="stable")
                 at, bits = at[order], bits[order]
@@ -241,8 +244,9 @@ def levels(m: Model, h: np.ndarray, kind: int) -> np.ndarray:
     for j in range(1, LEVELS):
         if not len(left):
             break
-        at, bits = item(h[left], kind, j, m.size)
-        left = left[(m.words[at] & bits) == bits]
+        for side in (0, 1):
+            at, bits = item(h[left], kind, j, m.size, side)
+            left = left[(m.words[at] & bits) == bits]
         out[left] = j
     return out
 
@@ -263,6 +267,7 @@ def train(docs: DataFrame, filter_bytes: int = FILTER_BYTES) -> Model:
             part = np.frombuffer(r["body"], np.uint64)
             low = r["shard"] * m.size // SHARDS
             m.words[low : low + len(part)] = part
+        m.false_rate = float(((np.bitwise_count(m.words) / 64) ** PROBES).mean() ** 2)
     return m
 
 
@@ -275,14 +280,16 @@ def score_tokens(m: Model, h: np.ndarray) -> np.ndarray:
     lv = levels(m, u, 0)
     least = 2.0**m.shift
     p1 = np.where(lv > 0, least * 2.0 ** (lv - 1) / m.known_total, m.unknown)[inv]
-    top = np.maximum(least * 2.0**lv - 1, 1)  # the highest count of the level; of level 0, below least
-    most = top[inv]
-    before = np.append(m.ends if m.ends else 1.0, most[:-1])
-    first = np.append(True, h[:-1] == END)
-    before[first] = max(m.ends, 1)
+    most = (least * 2.0**lv - 1)[inv]  # the highest count of the level
+    most[lv[inv] == 0] = 0
+    before = np.append(m.ends, most[:-1])
+    before[np.append(True, h[:-1] == END)] = m.ends
     pl = levels(m, pairs(h), 1)
     seen = np.where(pl > 0, least * 2.0 ** (pl - 1), 0.0)
-    return np.log10(m.pair_mass * np.minimum(seen / before, 1.0) + (1 - m.pair_mass) * p1)
+    # after a token that isn't in the filter, a pair that is can only be a false positive
+    weight = m.pair_mass * before / (before + m.false_rate * m.vocabulary + 1e-9)
+    both = weight * np.minimum(seen / np.maximum(before, 1), 1.0) + (1 - weight) * p1
+    return np.log10(np.where(before > 0, both, p1))
 
 
 ASKED = "seg int, block long, body binary, counts binary"
@@ -356,7 +363,7 @@ def _score(sent):
 def lm_report(docs: DataFrame, filter_bytes: int = FILTER_BYTES, block: int = BLOCK) -> DataFrame:
     """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
-    docs = docs.select("doc_id", "text")
+    docs = lean(docs).select("doc_id", "text")
     size = bytes_of(docs)
     m = train(docs, filter_bytes)
     m.ends = docs.filter(~held_out()).count()
