@@ -283,7 +283,7 @@ def _in_common(who: DataFrame, texts: DataFrame) -> DataFrame:
     often = value.groupBy("value").agg(F.count("*").alias("df")).filter("df > 1").select("value")
     part = value.join(often, "value").groupBy("cls", F.pmod("value", F.lit(PARTS)).cast("int").alias("part")).agg(F.count("*").cast("int").alias("c"))
     by = part.groupBy("cls").agg(F.sum("c").alias("s"), F.map_from_entries(F.collect_list(F.struct("part", "c"))).alias("m"))  # at most PARTS entries
-    return by.select("cls", "s", F.transform(F.sequence(F.lit(0), F.lit(PARTS - 1)), lambda k: F.coalesce(F.least(F.element_at("m", k), F.lit(MOST)), F.lit(0)).cast("smallint")).alias("counts"))
+    return by.select("cls", "s", F.transform(F.sequence(F.lit(0), F.lit(PARTS - 1)), lambda k: F.least(F.coalesce(F.element_at("m", k), F.lit(0)), F.lit(MOST)).cast("smallint")).alias("counts"))
 
 
 def _linked(pairs: DataFrame, classes: DataFrame, texts: DataFrame, step: Steps) -> DataFrame:
