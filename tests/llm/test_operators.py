@@ -301,6 +301,25 @@ def test_lm_probabilities_sum_to_at_most_one(docs):
             assert p.sum() <= 1.3  # false positives included
 
 
+def test_lm_keeps_every_ngram_whatever_a_filter_holds(docs):
+    """Filters too small for the n-grams grow in number: scores stay those of one filter for all."""
+    key = lambda r: (r.doc_id, r.n_tokens, r.base_score)
+    one, many = (sorted(lm.lm_report(docs, filter_bytes=b, block=4000).collect(), key=key) for b in (lm.FILTER_BYTES, 300))
+    assert [key(r) for r in one] == [key(r) for r in many]
+    assert all(abs(a.score - b.score) <= 0.02 * abs(a.score) + 0.5 for a, b in zip(one, many, strict=True))
+
+
+def test_lm_filters_hold_all_counts():
+    rng = np.random.default_rng(1)
+    h = np.unique(rng.integers(0, 2**63, 20_000).astype(np.uint64))
+    n = rng.choice([0, 1, 1, 1, 2, 3, 9, 1000], len(h))
+    true = np.frexp(n.astype(float))[1]
+    for size in (lm.FILTER_BYTES, 3000):
+        got, words64, rate = lm.filtered(h, n, 1, size)
+        assert (got >= true).all() and (got > true).mean() < 0.01
+        assert words64 * 64 >= true.sum() * lm.BITS and 0 < rate < 0.01 * words64
+
+
 # -- 5 ---------------------------------------------------------------------------------------
 
 

@@ -1,16 +1,17 @@
-"""LM scoring (operator 3): a log-frequency Bloom filter of quantised n-gram counts.
+"""LM scoring (operator 3): log-frequency Bloom filters of quantised n-gram counts.
 
 Tokens are the words of a text (A-Z lower-cased) and one end; the end also stands before the first
 word. Training documents are those whose crc32(doc_id as text) mod 10 is not 0.
 
-Counting: one pass over the training texts sends sorted hashes with counts, in segments of the hash
-range, and each segment sums what it gets: the exact counts of all words and word pairs. A count c is
-stored as level 1 + floor(log2(c / least)): an n-gram of level j is put into the filter as j items
-(n-gram, 1) .. (n-gram, j). An item has bits in two 64-bit words.
+Counting: blocks of documents ask segments of the hash range for their distinct words and word pairs,
+and send the counts in their own training texts along. A segment sums what it gets: the exact counts
+of all words and word pairs of its range. A count c is stored as level 1 + floor(log2(c)): an n-gram
+of level j is put into the segment's filter as j items (n-gram, 1) .. (n-gram, j). An item has bits
+in two 64-bit words, and BITS bits of filter. The segment probes its filter for all that was asked,
+and the blocks get levels, and the words' exact counts, back in the order asked.
 
-The filter is broadcast; FILTER_BYTES bounds its size whatever the corpus. `least` is 1 while all
-items have BITS bits each; beyond, it is the smallest power of two with which those of that count and
-more do, and rarer n-grams are left to smoothing. It follows from the counts of counts of all data.
+Every n-gram is stored, whatever its count and the corpus: segments grow in number with the input,
+not in size, and one with more items than FILTER_BYTES hold has several filters, each of a range.
 
 Scoring: a count is read by probing level after level until one is missing. With q(c) the lowest count
 of a level and Q(c) the highest,
@@ -19,13 +20,15 @@ of a level and Q(c) the highest,
     L(h) = M * Q(h) / (Q(h) + F * V),
 
 where Z is the sum of q over the vocabulary of V words, M the mass of word pairs that were counted at
-least max(2, least) times, and U that of words below it, in equal parts for each word without an item
-and for one class of all unknown words. F is the filter's rate of false positives, from its fill: F * V
-is how many words seem to follow any h, and so these sum to at most 1 over vocabulary and class, in
-expectation over the filter's hashes. After a token without an item P(w) alone counts.
+least twice, and U that of words counted once, as the probability of one class of all unknown words.
+F is the filters' rate of false positives, from their fill: F * V is how many words seem to follow
+any h, and so these sum to at most 1 over vocabulary and class, in expectation over the filters'
+hashes. After a token without an item P(w) alone counts.
 
-The exact base score needs each token's exact count: blocks of documents ask the segments for the
-counts of their distinct words, and get them back in the order asked.
+The exact base score needs each token's exact count, as the segments return it.
+
+train() is another form, for a caller that has to hold the model in so many bytes: one filter, which
+leaves n-grams rarer than `least`, a power of two, to smoothing. lm_report doesn't use it.
 
 Null text: only the end. Null doc_id: trained on, not held out. Repeated rows count and are scored
 one by one. An empty table gives an empty result.
@@ -34,6 +37,7 @@ one by one. An empty table gives an empty result.
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -43,7 +47,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .codec import counted, cuts, packed, uncounted, unpacked
-from .shared import Written, bytes_of, lean
+from .shared import Written, bytes_of, free, kept, lean
 from .words import _ODD, Chunk, chunks, hash_words, mix
 
 FILTER_BYTES, BITS, PROBES = 32 << 20, 16, 4
@@ -239,20 +243,47 @@ def _bitmap(size: int, shards: int):
 
 def levels(m: Model, h: np.ndarray, kind: int) -> np.ndarray:
     """The level of each n-gram, by probing."""
+    return _probed(m.words, h, kind)
+
+
+def _probed(words: np.ndarray, h: np.ndarray, kind: int) -> np.ndarray:
     out = np.zeros(len(h), np.int64)
     left = np.arange(len(h))
     for j in range(1, LEVELS):
         if not len(left):
             break
         for side in (0, 1):
-            at, bits = item(h[left], kind, j, m.size, side)
-            left = left[(m.words[at] & bits) == bits]
+            at, bits = item(h[left], kind, j, len(words), side)
+            left = left[(words[at] & bits) == bits]
         out[left] = j
     return out
 
 
+def _rate(words: np.ndarray) -> float:
+    """Of n-grams without an item, the part that a filter seems to hold."""
+    return float(((np.bitwise_count(words) / 64) ** PROBES).mean() ** 2)
+
+
+def filtered(h: np.ndarray, n: np.ndarray, kind: int, filter_bytes: int) -> tuple[np.ndarray, int, float]:
+    """The levels of n-grams (sorted hashes h, counts n, 0 where only asked for) as filters of about
+    filter_bytes at most give them, each filter of a range of hashes; the filters' 64-bit words, and
+    these times the rate of false positives."""
+    true = np.frexp(n.astype(float))[1].astype(np.int64)
+    of = (np.cumsum(true) - true) * BITS // (8 * filter_bytes)
+    heads = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+    out, size, rate = np.zeros(len(h), np.uint8), 0, 0.0
+    for a, b in zip(heads, [*heads[1:], len(h)], strict=True):
+        words = np.zeros(max(1, -(-int(true[a:b].sum()) * BITS // 64)), np.uint64)
+        for j in range(1, int(true[a:b].max()) + 1):
+            for side in (0, 1):
+                np.bitwise_or.at(words, *item(h[a:b][true[a:b] >= j], kind, j, len(words), side))
+        out[a:b] = _probed(words, h[a:b], kind)
+        size, rate = size + len(words), rate + len(words) * _rate(words)
+    return out, size, rate
+
+
 def train(docs: DataFrame, filter_bytes: int = FILTER_BYTES) -> Model:
-    """The model of the training documents among docs (doc_id, text), its filter included."""
+    """The model of the training documents among docs (doc_id, text), in one filter of filter_bytes."""
     spark = docs.sparkSession
     segments = max(4, -(-bytes_of(docs) // SEGMENT))
     sent = docs.filter(~held_out()).select("text").mapInArrow(_counts(segments), SENT)
@@ -267,7 +298,7 @@ def train(docs: DataFrame, filter_bytes: int = FILTER_BYTES) -> Model:
             part = np.frombuffer(r["body"], np.uint64)
             low = r["shard"] * m.size // SHARDS
             m.words[low : low + len(part)] = part
-        m.false_rate = float(((np.bitwise_count(m.words) / 64) ** PROBES).mean() ** 2)
+        m.false_rate = _rate(m.words)
     return m
 
 
@@ -275,16 +306,19 @@ def train(docs: DataFrame, filter_bytes: int = FILTER_BYTES) -> Model:
 
 
 def score_tokens(m: Model, h: np.ndarray) -> np.ndarray:
-    """log10 P of each token, given the token before it."""
+    """log10 P of each token, given the token before it, by a model with its filter."""
     u, inv = np.unique(h, return_inverse=True)
-    lv = levels(m, u, 0)
+    return scored(m, h, levels(m, u, 0)[inv], levels(m, pairs(h), 1))
+
+
+def scored(m: Model, h: np.ndarray, lv: np.ndarray, pl: np.ndarray) -> np.ndarray:
+    """log10 P of each token, from its level and that of its pair with the token before it."""
     least = 2.0**m.shift
-    p1 = np.where(lv > 0, least * 2.0 ** (lv - 1) / m.known_total, m.unknown)[inv]
-    most = (least * 2.0**lv - 1)[inv]  # the highest count of the level
-    most[lv[inv] == 0] = 0
+    p1 = np.where(lv > 0, least * 2.0 ** (lv - 1) / m.known_total, m.unknown)
+    most = least * 2.0**lv - 1  # the highest count of the level
+    most[lv == 0] = 0
     before = np.append(m.ends, most[:-1])
     before[np.append(True, h[:-1] == END)] = m.ends
-    pl = levels(m, pairs(h), 1)
     seen = np.where(pl > 0, least * 2.0 ** (pl - 1), 0.0)
     # after a token that isn't in the filter, a pair that is can only be a false positive
     weight = m.pair_mass * before / (before + m.false_rate * m.vocabulary + 1e-9)
@@ -292,11 +326,13 @@ def score_tokens(m: Model, h: np.ndarray) -> np.ndarray:
     return np.log10(np.where(before > 0, both, p1))
 
 
-ASKED = "seg int, block long, body binary, counts binary"
+ASKED = "seg int, block long, kind int, body binary, counts binary"
+#: Rows of block -1 hold what the model's scalars follow from; those of level -1 the filters' words and rate.
+ANSWERED = "seg int, block long, kind int, counts binary, levels binary, level long, types long, tokens long, rate double"
 
 
 def _ask(segments: int):
-    """A block's distinct words and their counts in its training texts."""
+    """A block's distinct words (kind 0) and pairs (kind 1), and their counts in its training texts."""
 
     def run(table: pa.Table) -> pa.Table:
         held, trained = [], []
@@ -304,51 +340,74 @@ def _ask(segments: int):
             skip = out.to_numpy(zero_copy_only=False).astype(bool)
             for c in chunks(col, lower=True):
                 h, doc = tokens(c)
-                held.append(h)
+                held.append((h, pairs(h)))
                 trained.append(~skip[c.first + doc])
-        u, inv = np.unique(np.concatenate(held), return_inverse=True)
-        n = np.bincount(inv, weights=np.concatenate(trained), minlength=len(u)).astype(np.int64)
-        cut = cuts(u, segments)
-        full = [k for k in range(segments) if cut[k + 1] > cut[k]]
-        block = table.column("block")[0].as_py()
-        return pa.table(
-            {"seg": pa.array(full, pa.int32()), "block": pa.array([block] * len(full), pa.int64()), "body": pa.array([packed(u[cut[k] : cut[k + 1]]) for k in full], pa.binary()), "counts": pa.array([counted(n[cut[k] : cut[k + 1]]) for k in full], pa.binary())}
-        )
+        weights, block, rows = np.concatenate(trained), table.column("block")[0].as_py(), []
+        for kind in (0, 1):
+            u, inv = np.unique(np.concatenate([x[kind] for x in held]), return_inverse=True)
+            n = np.bincount(inv, weights=weights, minlength=len(u)).astype(np.int64)
+            cut = cuts(u, segments)
+            rows += [(k, block, kind, packed(u[cut[k] : cut[k + 1]]), counted(n[cut[k] : cut[k + 1]])) for k in range(segments) if cut[k + 1] > cut[k]]
+        return _table(rows, ASKED)
 
     return run
 
 
-def _answer(table: pa.Table) -> pa.Table:
-    """A segment's total counts, for each block in the order that it asked."""
-    arrays = [unpacked(b) for b in table.column("body").to_pylist()]
-    n = np.concatenate([uncounted(b) for b in table.column("counts").to_pylist()])
-    _, inv = np.unique(np.concatenate(arrays), return_inverse=True)
-    total = np.bincount(inv, weights=n).astype(np.int64)[inv]
-    cut = np.cumsum([0, *map(len, arrays)])
-    counts = [counted(total[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
-    return pa.table({"seg": table.column("seg"), "block": table.column("block"), "counts": pa.array(counts, pa.binary())})
+_ARROW = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "binary": pa.binary()}
+
+
+def _table(rows: list[tuple], schema: str) -> pa.Table:
+    fields = [x.split() for x in schema.split(", ")]
+    return pa.table({name: pa.array([r[i] for r in rows], _ARROW[t]) for i, (name, t) in enumerate(fields)})
+
+
+def _answer(filter_bytes: int):
+    """A segment's levels, and total counts of words, for each block in the order that it asked."""
+
+    def run(table: pa.Table) -> pa.Table:
+        seg, rows = table.column("seg")[0].as_py(), []
+        kinds = table.column("kind").to_numpy()
+        for kind in np.unique(kinds).tolist():
+            t = table.filter(pa.array(kinds == kind))
+            arrays = [unpacked(b) for b in t.column("body").to_pylist()]
+            n = np.concatenate([uncounted(b) for b in t.column("counts").to_pylist()])
+            cut = np.cumsum([0, *map(len, arrays)])
+            u, inv = np.unique(np.concatenate(arrays), return_inverse=True)
+            total = np.bincount(inv, weights=n).astype(np.int64)  # sums stay below 2 ** 53
+            level, size, rate = filtered(u, total, kind, filter_bytes)
+            for block, a, b in zip(t.column("block").to_pylist(), cut[:-1], cut[1:], strict=True):
+                rows.append((seg, block, kind, None if kind else counted(total[inv[a:b]]), zlib.compress(level[inv[a:b]].tobytes(), 1), None, None, None, None))
+            true = np.frexp(total.astype(float))[1] - 1
+            rows += [(seg, -1, kind, None, None, j, int((true == j).sum()), int(total[true == j].sum()), None) for j in np.unique(true[total > 0]).tolist()]
+            rows.append((seg, -1, kind, None, None, -1, size, 0, rate))
+        return _table(rows, ANSWERED)
+
+    return run
 
 
 def _score(sent):
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         m: Model = sent.value
         order = np.argsort(answers.column("seg").to_numpy(), kind="stable")
-        bodies = answers.column("counts").to_pylist()
-        c_of = np.concatenate([uncounted(bodies[k]) for k in order.tolist()])
-        parts, every = [], []
+        kinds = answers.column("kind").to_numpy()[order]
+        counts, levels = answers.column("counts").to_pylist(), answers.column("levels").to_pylist()
+        c_of = np.concatenate([uncounted(counts[k]) for k in order[kinds == 0].tolist()])
+        level_of = [np.frombuffer(b"".join(zlib.decompress(levels[k]) for k in order[kinds == kind].tolist()), np.uint8) for kind in (0, 1)]
+        parts = []
         for col in docs.column("text").chunks:
             for c in chunks(col, lower=True):
                 parts.append((c.n, *tokens(c)))
-                every.append(parts[-1][1])
-        u = np.unique(np.concatenate(every))
+        word = np.unique(np.concatenate([h for _, h, _ in parts]), return_inverse=True)[1]
+        pair = np.unique(np.concatenate([pairs(h) for _, h, _ in parts]), return_inverse=True)[1]
         log_c = np.log10(c_of + 0.1)
-        n_tokens, n_known, base, score = [], [], [], []
+        n_tokens, n_known, base, score, at = [], [], [], [], 0
         for n, h, doc in parts:
-            k = np.searchsorted(u, h)
+            k, p = word[at : at + len(h)], pair[at : at + len(h)]
+            at += len(h)
             n_tokens.append(np.bincount(doc, minlength=n))
             n_known.append(np.bincount(doc, weights=c_of[k] > 0, minlength=n))
             base.append(np.bincount(doc, weights=log_c[k], minlength=n) - n_tokens[-1] * m.norm)
-            score.append(np.bincount(doc, weights=score_tokens(m, h), minlength=n))
+            score.append(np.bincount(doc, weights=scored(m, h, level_of[0][k].astype(np.int64), level_of[1][p].astype(np.int64)), minlength=n))
         size = np.concatenate(n_tokens)
         return pa.table(
             {
@@ -361,17 +420,22 @@ def _score(sent):
 
 
 def lm_report(docs: DataFrame, filter_bytes: int = FILTER_BYTES, block: int = BLOCK) -> DataFrame:
-    """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+    """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score. A filter
+    has filter_bytes at most, and there are as many as all n-grams need."""
     spark = docs.sparkSession
     docs = lean(docs).select("doc_id", "text")
     size = bytes_of(docs)
-    m = train(docs, filter_bytes)
-    m.ends = docs.filter(~held_out()).count()
-    sent = spark.sparkContext.broadcast(m)
-    m.words = None
     n = max(1, -(-size // block))
     dealt = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).alias("block"), "doc_id", held_out().alias("held_out"), F.coalesce("text", F.lit("")).alias("text")).repartition(n, "block")
     segments = max(4, -(-size // SEGMENT))
     asked = dealt.groupBy("block").applyInArrow(_ask(segments), ASKED)
-    answers = asked.repartition(segments, "seg").groupBy("seg").applyInArrow(_answer, "seg int, block long, counts binary")
+    answers = kept(asked.repartition(segments, "seg").groupBy("seg").applyInArrow(_answer(filter_bytes), ANSWERED))
+    rows = answers.filter("block < 0").groupBy("kind", "level").agg(*(F.sum(c).alias(c) for c in ("types", "tokens", "rate"))).collect()
+    free(spark)  # the shuffles up to the answers
+    m = _model([r for r in rows if r["level"] >= 0], math.inf)
+    fill = [r for r in rows if r["level"] < 0]
+    m.false_rate = sum(r["rate"] for r in fill) / max(1, sum(r["types"] for r in fill))
+    m.ends = docs.filter(~held_out()).count()
+    sent = spark.sparkContext.broadcast(m)
+    answers = answers.filter("block >= 0").select("seg", "block", "kind", "counts", "levels")
     return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(sent), REPORT)
