@@ -41,6 +41,16 @@ def test_changelog_query(spark, small, db, name):
     test_query(spark, small, db, name)
 
 
+@pytest.mark.parametrize("name", ["self_join_all", "delta_self_join_all"])
+def test_self_joins_take_the_events_of_all_users(spark, small, db, name):
+    test_query(spark, small, db, name)
+    got = QUERIES[name](spark, small)
+    users = spark.read.parquet(f"{small}/events.parquet").groupBy("user_id").count().filter("count > 9")
+    first = "first_id" if "first_id" in got.columns else "event_id"
+    joined = spark.read.parquet(f"{small}/events.parquet").join(got.select(got[first].alias("event_id")).distinct(), "event_id")
+    assert joined.select("user_id").distinct().count() == users.count() > 10
+
+
 T = "sequence(start => 0)"
 REJECTED = [
     "SELECT 1", "INSERT INTO discard() SELECT value FROM plain_table", f"INSERT INTO discard() SELECT ALL value FROM {T}", f"INSERT INTO discard() SELECT DISTINCT ON (value) value FROM {T}", f"INSERT INTO discard() SELECT value FROM {T} ORDER BY value",

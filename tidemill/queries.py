@@ -145,6 +145,11 @@ register_sql(
     "self_join", "WITH e AS (SELECT event_id, user_id, event_type FROM {events} WHERE user_id % 10 = 3) SELECT a.event_id AS first_id, b.event_id AS second_id FROM e AS a JOIN e AS b ON a.user_id = b.user_id AND a.event_id < b.event_id AND a.event_type <> b.event_type",
     "SELECT a.event_id AS first_id, b.event_id AS second_id FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_id < b.event_id AND a.event_type <> b.event_type WHERE a.user_id % 10 = 3",
 )
+#: self_join over the events of all users.
+register_sql(
+    "self_join_all", "WITH e AS (SELECT event_id, user_id, event_type FROM {events}) SELECT a.event_id AS first_id, b.event_id AS second_id FROM e AS a JOIN e AS b ON a.user_id = b.user_id AND a.event_id < b.event_id AND a.event_type <> b.event_type",
+    "SELECT a.event_id AS first_id, b.event_id AS second_id FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_id < b.event_id AND a.event_type <> b.event_type",
+)
 register(
     "join_large", Aggregate(EquiJoin(PRICED, Select(PART, S("p_partkey", "p_brand")), "inner", (("l_partkey", "p_partkey"),)), S("p_brand"), (Call("n", "count_star"), Call("revenue", "sum", "amount"))), ("lineitem", "part"),
     "SELECT p_brand, count(*) AS n, CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS BIGINT) AS revenue FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL",
@@ -226,6 +231,7 @@ for _name, _kind, _sql, _residual in (("delta_join_inner", "inner", "INNER", "")
     register_changes(_name, EquiJoin(_DL, _DR, _kind, (("o_custkey", "c_custkey"),), None, "l.total > r.balance * 20" if _residual else None), {"orders": "o_orderkey", "customer": "c_custkey"}, f"SELECT * FROM {_DO.format(_sql, ' AND ' + _residual if _residual else '')}")
 register_changes("delta_asof", AsOfJoin(_BUY, _VIEW, ">=", ("ts", "view_ts"), (("user_id", "view_user"),)), {"events": "event_id"}, f"SELECT event_id, user_id, ts, view_user, view_ts, view_id FROM (SELECT * FROM {_E} WHERE event_type = 'purchase') b ASOF LEFT JOIN (SELECT user_id AS view_user, ts AS view_ts, min(event_id) AS view_id FROM {_E} WHERE event_type = 'view' GROUP BY ALL) v ON b.user_id = v.view_user AND b.ts >= v.view_ts")
 register_changes("delta_self_join", EquiJoin(Select(Filter(EVENTS, "user_id % 10 = 3"), S("event_id", "user_id")), Select(Filter(EVENTS, "user_id % 10 = 3"), S(("other_id", "event_id"), ("other_user", "user_id"))), "inner", (("user_id", "other_user"),), None, "l.event_id < r.other_id"), {"events": "event_id"}, f"SELECT a.event_id, a.user_id, b.event_id AS other_id, b.user_id AS other_user FROM {_E} a JOIN {_E} b ON a.user_id = b.user_id AND a.event_id < b.event_id WHERE a.user_id % 10 = 3")
+register_changes("delta_self_join_all", EquiJoin(Select(EVENTS, S("event_id", "user_id")), Select(EVENTS, S(("other_id", "event_id"), ("other_user", "user_id"))), "inner", (("user_id", "other_user"),), None, "l.event_id < r.other_id"), {"events": "event_id"}, f"SELECT a.event_id, a.user_id, b.event_id AS other_id, b.user_id AS other_user FROM {_E} a JOIN {_E} b ON a.user_id = b.user_id AND a.event_id < b.event_id")
 
 
 @query("SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_orderkey % 7 <> 0")
