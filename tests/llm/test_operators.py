@@ -330,6 +330,25 @@ def test_restoring_obfuscated_words(spark):
         assert toxicity.restore(t, m) == want
 
 
+def test_obfuscation_at_ends_and_by_wider_spacing_is_decoded(spark):
+    import pyarrow as pa
+
+    text = "such an idiot and a bitch and a dumbass and an asshole with a fat pig all over the asshole dumbass bitch idiot " * 4
+    m = toxicity.CharModel.of(spark.createDataFrame([(1, text)], "doc_id long, text string"))
+
+    def decoded(t):
+        seen = []
+        r = toxicity.Restorer(m)
+        word = r.word
+        r.word = lambda token: seen.append(word(token)) or seen[-1]
+        r.features(next(words.chunks(pa.array([t, "x"]), lower=True)))
+        return seen
+
+    for t, want in (("a dumba55", "dumbass"), ("asshol3 he", "asshole"), ("an !diot", "idiot"), ("8itch", "bitch"), ("(an idiot!)", "idiot"), ("i  d  i  o  t", "idiot"), ("i - d - i - o - t", "idiot"), ("p i g", "pig")):
+        assert want in decoded(t), (t, decoded(t))
+    assert decoded("a fat pig") == [] and decoded("such - an - idiot") == []
+
+
 def test_toxicity_learns_and_generalises(spark, empty):
     rng = random.Random(1)
     vocab = ["".join(rng.choice("aeinorst") for _ in range(rng.randint(2, 7))) for _ in range(300)]

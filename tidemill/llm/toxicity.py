@@ -1,9 +1,9 @@
 """Toxicity (operator 5): noisy-channel deobfuscation, then a score of the restored text.
 
 A character trigram model is counted over the letters of all documents. In each text, words that look
-obfuscated (leet characters or separators between letters, a letter three times or more, letters
-spaced out) become a lattice: what each character may stand for, runs that may collapse, separators
-that may vanish. The Viterbi path under the model and the channel's costs is the restored word.
+obfuscated (leet characters or separators between letters, leet characters at either end, a letter
+three times or more, three letters or more spaced out) become a lattice: what each character may stand
+for, runs that may collapse, separators and leet characters at an end that may vanish. The Viterbi path under the model and the channel's costs is the restored word.
 
 Restored and plain words give features: hashes of the word and of its beginnings. A logistic
 regression over the features with the largest evidence is fitted on a bounded sample of labelled
@@ -45,6 +45,9 @@ SEPARATORS = "-_.*~'`,:;/"
 _GAP = np.zeros(256, bool)
 _GAP[[ord(c) for c in (*LEET, *SEPARATORS)]] = True
 
+_LEET = np.zeros(256, bool)
+_LEET[[ord(c) for c in LEET]] = True
+
 #: Classes of characters: 0 word bound, 1..26 letters, 27 any other.
 KINDS = 28
 
@@ -102,11 +105,13 @@ def restore(token: str, model: CharModel) -> str:
             runs[-1][1] += 1
         else:
             runs.append([c, 1])
+    letters = [k for k, (c, _) in enumerate(runs) if c not in LEET and c.isalpha()]
+    first, last = (letters[0], letters[-1]) if letters else (0, len(runs) - 1)
     states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-    for c, r in runs:
+    for i, (c, r) in enumerate(runs):
         if c in LEET:
             options = [(x * k, 1.0 + 0.3 * (k - 1)) for x in LEET[c] for k in range(1, min(r, 2) + 1)]
-            if c in "!|":
+            if c in "!|" or not first <= i <= last:
                 options.append(("", 1.5))
         elif c.isalpha():
             options = [(c, 0.0)] if r == 1 else [(c * 2, 0.0), (c, 2.0)] if r == 2 else [(c, 0.0), (c * 2, 0.2)]
@@ -135,16 +140,16 @@ def suspects(c: Chunk, starts: np.ndarray, ends: np.ndarray, doc: np.ndarray) ->
     data, size = c.data, ends - starts
     same = doc[1:] == doc[:-1]
     gap = starts[1:] - ends[:-1]
-    odd = np.concatenate([[0], np.cumsum(~_GAP[data])])
-    leet = same & (gap <= 3) & (odd[starts[1:]] == odd[ends[:-1]])
-    spaced = same & (gap == 1) & SPACE[data[np.minimum(ends[:-1], len(data) - 1)]] & (size[1:] == 1) & (size[:-1] == 1)
-    chain = np.zeros(n + 1, bool)  # spaced runs count from three links on
-    for k in range(3):
-        m = np.zeros(n - 1, bool)
-        if n - 1 >= 3:
-            ok = spaced[:-2] & spaced[1:-1] & spaced[2:]
-            m[k : k + len(ok)] = ok
-        chain[: n - 1] |= m
+    odd, blank = (np.concatenate([[0], np.cumsum(x)]) for x in (~(_GAP | SPACE)[data], SPACE[data]))
+    near = same & (gap <= 3) & (odd[starts[1:]] == odd[ends[:-1]])
+    blanks = blank[starts[1:]] > blank[ends[:-1]]
+    leet = near & ~blanks
+    spaced = near & blanks & (size[1:] == 1) & (size[:-1] == 1)
+    chain = np.zeros(n + 1, bool)  # spaced runs count from two links on
+    if n > 2:
+        ok = spaced[:-1] & spaced[1:]
+        chain[: n - 2] |= ok
+        chain[1 : n - 1] |= ok
     linked = np.append(leet, False) | chain[:n]
     linked[n - 1] = False
     triple = np.zeros(len(data) + 1, np.int64)
@@ -152,15 +157,18 @@ def suspects(c: Chunk, starts: np.ndarray, ends: np.ndarray, doc: np.ndarray) ->
         triple[3:] = np.cumsum((data[2:] == data[1:-1]) & (data[1:-1] == data[:-2]) & LETTER[data[2:]] & (data[2:] < 0x80))
         triple[len(data)] = triple[len(data)]
     stretched = triple[ends] > triple[np.minimum(starts + 2, len(data))]
-    lead = (starts > 0) & np.isin(data[np.maximum(starts - 1, 0)], np.frombuffer(b"013457@$", np.uint8))
-    lead &= (starts - 1 >= c.offsets[doc]) & ((starts < 2) | SPACE[data[np.maximum(starts - 2, 0)]] | (starts - 1 == c.offsets[doc]))
+    # a token extends over the characters of LEET that touch its letters
+    at, plain = np.arange(len(data)), ~_LEET[data]
+    low = np.append(-1, np.maximum.accumulate(np.where(plain, at, -1)))[starts] + 1
+    high = np.append(np.minimum.accumulate(np.where(plain, at, len(data))[::-1])[::-1], len(data))[ends]
+    low, high = np.maximum(low, c.offsets[doc]), np.minimum(high, c.offsets[doc + 1])
+    touched = (low < starts) | (high > ends)
     heads = np.flatnonzero(~np.append(False, linked[:-1]))
     tails = np.append(heads[1:], n) - 1
-    marked = np.add.reduceat((linked | stretched | lead).astype(np.int64), heads) > 0
+    marked = np.add.reduceat((linked | stretched | touched).astype(np.int64), heads) > 0
     raw, out = data.tobytes(), []
     for h, t in zip(heads[marked].tolist(), tails[marked].tolist(), strict=True):
-        a = int(starts[h]) - bool(lead[h])
-        token = raw[a : int(ends[t])].decode("utf-8", "replace")
+        token = raw[int(low[h]) : int(high[t])].decode("utf-8", "replace")
         out.append((int(doc[h]), "".join(token.split()) if t - h > 1 else token))
     return out
 
