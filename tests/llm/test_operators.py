@@ -173,6 +173,19 @@ def test_decontamination(spark, docs, rows, empty):
         decontam.BLOCK = old
 
 
+def test_decontamination_by_items_that_share_an_id(spark):
+    """They seed the document at the same place, and only one of them overlaps it."""
+    item = [f"w{k}" for k in range(13)]
+    wrong = [x if k in decontam.MASKS[0] else f"v{k}" for k, x in enumerate(item)]
+    doc = spark.createDataFrame([(1, " ".join(item))], "doc_id long, text string")
+    for i in (1, None):
+        for texts in ((item, wrong), (wrong, item)):
+            bench = spark.createDataFrame([(i, " ".join(t)) for t in texts], "item_id long, text string").coalesce(1)
+            got = decontam.decontamination_report(doc, bench).collect()[0]
+            assert got.contaminated and got.n_items == 1 and got.matched == 13
+            assert decontam.clean(doc, bench).count() == 0
+
+
 # -- 4 ---------------------------------------------------------------------------------------
 
 

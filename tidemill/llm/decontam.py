@@ -10,7 +10,8 @@ words are one window with at most one substitution; of fewer than LEAST words, t
 
 The benchmark's hashes are broadcast in blocks of at most BLOCK rows (about 40 MB each), whatever
 its size; documents are streamed against each block and never shuffled, only hits are. A document
-is known by (doc_id, hash of its text): repeated rows share a verdict. Null or empty texts hold
+is known by (doc_id, hash of its text): repeated rows share a verdict. An item is known by its item_id
+and words: texts that share an id are compared one by one. Null or empty texts hold
 nothing. Null items are ignored. An empty benchmark contaminates nothing.
 """
 
@@ -50,7 +51,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Per document (doc_id, th: its text's hash) and item that overlap: matched, the most equal
     words of a window."""
     items = benchmark.select("item_id", _hashed("text").alias("h")).filter(F.size("h") >= LEAST)
-    seeds = _seeds(items, "item_id").select("seed", F.col("at").alias("iat"), "item_id", F.col("h").alias("ih"))
+    seeds = _seeds(items, "item_id").select("seed", F.col("at").alias("iat"), "item_id", F.col("h").alias("ih"), F.xxhash64("h").alias("itext"))
     n = seeds.count()  # of the benchmark: the number of blocks, each of a bounded size
     blocks = max(1, -(-n // BLOCK))
     placed = _seeds(docs.select("doc_id", F.xxhash64("text").alias("th"), _hashed("text").alias("h")), "doc_id", "th")
@@ -58,10 +59,10 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     # the join, and a stage's end holds all rows of a document, each with its array
     found = [
         placed.join(F.broadcast(seeds if blocks == 1 else seeds.filter(F.pmod(F.xxhash64("seed"), F.lit(blocks)) == b)), "seed")
-        .select("doc_id", "th", "item_id", "ih", (F.col("iat") - F.col("at")).alias("skip"), F.slice("h", F.greatest(F.col("at") - F.col("iat"), F.lit(0)) + 1, F.size("ih")).alias("dh"))
+        .select("doc_id", "th", "item_id", "ih", "itext", (F.col("iat") - F.col("at")).alias("skip"), F.slice("h", F.greatest(F.col("at") - F.col("iat"), F.lit(0)) + 1, F.size("ih")).alias("dh"))
         for b in range(blocks)
     ]
-    hit = reduce(DataFrame.unionByName, found).groupBy("doc_id", "th", "item_id", "skip").agg(F.first("ih").alias("ih"), F.first("dh").alias("dh"))
+    hit = reduce(DataFrame.unionByName, found).groupBy("doc_id", "th", "item_id", "itext", "skip").agg(F.first("ih").alias("ih"), F.first("dh").alias("dh"))
     # dh starts at the item's first word, or the document's if the item reaches before it
     skip = F.greatest("skip", F.lit(0))
     same = F.transform(F.col("ih"), lambda x, i: F.when(F.get("dh", F.when(i >= skip, i - skip)) == x, 1).otherwise(0))
