@@ -139,6 +139,23 @@ def test_mixing_meets_targets_in_any_bucketing(docs, rows, empty):
     assert mixing.mixed(docs).columns == docs.columns
 
 
+def test_mixing_takes_the_same_in_any_bucketing(spark):
+    """In the order of (source, size, doc_id), as by the SQL."""
+    rng = random.Random(5)
+    rows = [(i, rng.choice("abc"), "w " * rng.choice([0, 3, 3, 3, 4, 40, 41])) for i in rng.sample(range(10_000), 600)]
+    df = spark.createDataFrame([*rows, (None, "a", "w w w"), (None, "a", "w w w")], "doc_id long, source string, text string").repartition(3)
+    one, many = (sorted(((r.s, r.size, r["__id"] is None, r["__id"] or 0, r["__copies"]) for r in mixing.copies(df, ["doc_id"], b).collect()), key=str) for b in (mixing.BUCKET, 7))
+    assert one == many
+    by = defaultdict(list)
+    for s, size, none, i, n in sorted(one):
+        by[s].append(n)
+    rate = {r.s: (r.rate, r.offset) for r in mixing.copies(df, ["doc_id"]).select("s", "rate", "offset").distinct().collect()}
+    for s, x in by.items():
+        rt, u = rate[s]
+        want = [math.floor(rt * k + u) - math.floor(rt * (k - 1) + u) for k in range(1, len(x) + 1)]
+        assert [a for a, b in zip(x, want, strict=True) if a != b] == [] or s == "a" and sum(x) == sum(want)
+
+
 # -- 1 ---------------------------------------------------------------------------------------
 
 

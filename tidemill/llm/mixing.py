@@ -5,13 +5,14 @@ all documents; no target exceeds 3 times its source's words, and what is above t
 weight. That is water filling: sorted by (3 * words / weight) the capped sources are a prefix.
 
 Sampling: a document of a source is expected target / words times (at most 3 times). The documents
-of a source stand in a fixed order, by size; the prefix sum of the expected copies plus one offset
+of a source stand in the order of size and doc_id (null last); the prefix sum of the expected copies plus one offset
 of the source crosses integers, and a document is taken once for each that it crosses. By size, so
 that words taken differ from the target by no more than about the largest documents.
 
 Prefix sums in two levels, so that a source with a third of all rows is no single task: documents
-are counted in buckets of (source, number of bits of the size, hash of the id); the buckets' counts
-are summed within the source, and documents only within their bucket.
+are counted in buckets of (source, size), those of many documents cut into ranges of the id; the
+buckets' counts are summed within the source, and documents only within their bucket. The order, and
+so what is taken, doesn't depend on the buckets.
 
 Null text: no words, target share 0 words. Null source: a source of its own, the last. Repeated
 rows are documents of their own. An empty table gives an empty result.
@@ -75,21 +76,33 @@ def copies(docs: DataFrame, keep: list[str], bucket: int = BUCKET) -> DataFrame:
         F.col("doc_id").alias("__id"), F.coalesce("source", F.lit("")).alias("s"), F.col("source").isNull().alias("none"),
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         F.xxhash64("text").alias("__tie"),
-    ).withColumn("bits", F.length(F.bin("size")))
+    )
     # sizes are worked out once for all counts, and once more with rows that are too large to keep
     if keep == ["doc_id"]:
         sized = slim = kept(sized)
     else:
-        slim = kept(sized.select("__id", "s", "none", "size", "__tie", "bits"))
-    n = slim.count()
-    deal = (lambda d: d.withColumn("part", F.pmod(F.xxhash64("__id", "__tie"), F.lit(max(1, -(-n // bucket))))))
+        slim = kept(sized.select("__id", "s", "none", "size", "__tie"))
+    # bounds of the ids in the (source, size) groups that are too large for a bucket
+    group = ["s", "none", "size"]
+    groups = slim.groupBy(*group).agg(F.count("*").alias("in_group"))
+    cuts = -(-(groups.agg(F.max("in_group")).first()[0] or 1) // bucket)
+    if cuts > 1:
+        large = groups.filter(F.col("in_group") > bucket).select(*group)
+        at = F.percentile_approx("__id", [k / cuts for k in range(1, cuts)], max(10_000, 10 * cuts))
+        large = slim.join(F.broadcast(large), group).groupBy(*group).agg(at.alias("bounds"))
+        below = F.size(F.filter(F.coalesce("bounds", F.array().cast("array<bigint>")), lambda x: x < F.col("__id")))
+        # rows without an id stand last, in any order
+        part = F.when(F.col("__id").isNull(), cuts + F.pmod("__tie", F.lit(cuts))).otherwise(below)
+        deal = lambda d: d.join(F.broadcast(large), group, "left").withColumn("part", part.cast("long")).drop("bounds")
+    else:
+        deal = lambda d: d.withColumn("part", F.lit(0).cast("long"))
     sized, slim = deal(sized), deal(slim)
-    key = ["s", "none", "bits", "part"]
+    key = [*group, "part"]
     offsets = slim.groupBy(*key).agg(F.count("*").alias("in_bucket"))
-    before = Window.partitionBy("s", "none").orderBy("bits", "part").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("s", "none").orderBy("size", "part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = offsets.withColumn("before", F.coalesce(F.sum("in_bucket").over(before), F.lit(0)))
     offsets = offsets.join(source_targets(slim), ["s", "none"]).drop("in_bucket")
-    ranked = sized.withColumn("at", F.row_number().over(Window.partitionBy(*key).orderBy("size", "__id", "__tie")))
+    ranked = sized.withColumn("at", F.row_number().over(Window.partitionBy(*key).orderBy(F.col("__id").asc_nulls_last(), "__tie")))
     out = ranked.join(offsets, key)
     place = F.col("before") + F.col("at")
     crossed = lambda x: F.floor(F.col("rate") * x + F.col("offset"))
@@ -109,7 +122,7 @@ def mixed(docs: DataFrame) -> DataFrame:
     return out.filter("__copies > 0").select("__row", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))).alias("__i")).select("__row.*")
 
 
-#: The same in SQL, for tables of one bucket a (source, bits), that is of up to BUCKET documents.
+#: The same in SQL.
 SQL = r"""
 WITH sized AS (
   SELECT doc_id, coalesce(source, '') AS s, source IS NULL AS none,
