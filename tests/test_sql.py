@@ -51,6 +51,17 @@ def test_self_joins_take_the_events_of_all_users(spark, small, db, name):
     assert joined.select("user_id").distinct().count() == users.count() > 10
 
 
+def test_joins_on_whole_tables(spark, small):
+    orders, customers, ordered = (spark.read.parquet(f"{small}/{t}.parquet") for t in ("orders", "customer", "lineitem"))
+    inner = QUERIES["join_inner_all"](spark, small)
+    assert inner.count() == orders.count()
+    assert inner.select("c_custkey").distinct().count() == orders.select("o_custkey").distinct().count()
+    assert QUERIES["join_right_all"](spark, small).select("c_custkey").distinct().count() == customers.count()
+    got = QUERIES["pipeline_reconciliation_all"](spark, small)
+    assert got.filter("order_id IS NOT NULL").count() == orders.count()
+    assert got.filter("settled_id IS NOT NULL").count() == ordered.select("l_orderkey").distinct().count()
+
+
 T = "sequence(start => 0)"
 REJECTED = [
     "SELECT 1", "INSERT INTO discard() SELECT value FROM plain_table", f"INSERT INTO discard() SELECT ALL value FROM {T}", f"INSERT INTO discard() SELECT DISTINCT ON (value) value FROM {T}", f"INSERT INTO discard() SELECT value FROM {T} ORDER BY value",

@@ -134,11 +134,15 @@ register_sql("pipe_aggregate", "SELECT * FROM {events} |> WHERE user_id > 10 |>
 _L = Select(ORDERS, S("o_orderkey", "o_custkey", ("total", cents("o_totalprice"))))
 _R = Filter(Select(CUSTOMER, S("c_custkey", "c_mktsegment", ("balance", cents("c_acctbal")))), "c_custkey % 3 <> 0")
 _ORACLE = "(SELECT o_orderkey, o_custkey, CAST(round(o_totalprice * 100) AS BIGINT) AS total FROM orders) l {} JOIN (SELECT c_custkey, c_mktsegment, CAST(round(c_acctbal * 100) AS BIGINT) AS balance FROM customer WHERE c_custkey % 3 <> 0) r ON o_custkey = c_custkey{}"
+#: All customers, for the same joins on whole tables (join_..._all).
+_R_ALL = Select(CUSTOMER, S("c_custkey", "c_mktsegment", ("balance", cents("c_acctbal"))))
+_ORACLE_ALL = "(SELECT o_orderkey, o_custkey, CAST(round(o_totalprice * 100) AS BIGINT) AS total FROM orders) l {} JOIN (SELECT c_custkey, c_mktsegment, CAST(round(c_acctbal * 100) AS BIGINT) AS balance FROM customer) r ON o_custkey = c_custkey{}"
 for _name, _kind, _sql, _residual in (
     ("join_inner", "inner", "INNER", ""), ("join_left", "left", "LEFT", ""), ("join_right", "right", "RIGHT", ""), ("join_full", "full", "FULL", ""), ("join_left_semi", "left_semi", "SEMI", ""), ("join_left_anti", "left_anti", "ANTI", ""),
     ("join_inner_residual", "inner", "INNER", "total > balance * 20"), ("join_left_residual", "left", "LEFT", "total > balance * 20"), ("join_right_residual", "right", "RIGHT", "total > balance * 20"), ("join_full_residual", "full", "FULL", "total > balance * 20"), ("join_left_semi_residual", "left_semi", "SEMI", "total > balance * 20"), ("join_left_anti_residual", "left_anti", "ANTI", "total > balance * 20"),
 ):
     register(_name, EquiJoin(_L, _R, _kind, (("o_custkey", "c_custkey"),), None, "l.total > r.balance * 20" if _residual else None), ("orders", "customer"), f"SELECT * FROM {_ORACLE.format(_sql, ' AND ' + _residual if _residual else '')}")
+    register(f"{_name}_all", EquiJoin(_L, _R_ALL, _kind, (("o_custkey", "c_custkey"),), None, "l.total > r.balance * 20" if _residual else None), ("orders", "customer"), f"SELECT * FROM {_ORACLE_ALL.format(_sql, ' AND ' + _residual if _residual else '')}")
 register_sql("join_right_semi", "SELECT c_custkey, c_name FROM {orders} AS o RIGHT SEMI JOIN {customer} AS c ON o.o_custkey = c.c_custkey AND o.o_orderkey > 2000", "SELECT c_custkey, c_name FROM customer SEMI JOIN orders ON o_custkey = c_custkey AND o_orderkey > 2000")
 register_sql("join_right_anti", "SELECT c_custkey, c_name FROM {orders} AS o RIGHT ANTI JOIN {customer} AS c ON o.o_custkey = c.c_custkey AND o.o_orderkey > 2000", "SELECT c_custkey, c_name FROM customer ANTI JOIN orders ON o_custkey = c_custkey AND o_orderkey > 2000")
 register_sql(
@@ -275,6 +279,14 @@ register_sql(
     """SELECT e.id AS order_id, s.id AS settled_id, merchant, items, CASE WHEN e.id IS NULL THEN 'missing_order' WHEN s.id IS NULL THEN 'awaiting' WHEN items >= 4 THEN 'matched' ELSE 'partial' END AS status
     FROM (SELECT o_orderkey AS id, o_custkey AS merchant FROM orders WHERE o_orderkey % 5 <> 0) e FULL JOIN (SELECT l_orderkey AS id, count(*) AS items FROM lineitem WHERE l_orderkey % 7 <> 0 GROUP BY ALL) s ON e.id = s.id""",
 )
+#: pipeline_reconciliation over all orders and lines.
+register_sql(
+    "pipeline_reconciliation_all",
+    """WITH expected AS (SELECT o_orderkey AS id, o_custkey AS merchant FROM {orders}), settled AS (SELECT l_orderkey AS id, COUNT(*) AS items FROM {lineitem} GROUP BY l_orderkey)
+    SELECT expected.id AS order_id, settled.id AS settled_id, expected.merchant, settled.items, CASE WHEN expected.id IS NULL THEN 'missing_order' WHEN settled.id IS NULL THEN 'awaiting' WHEN settled.items >= 4 THEN 'matched' ELSE 'partial' END AS status FROM expected FULL OUTER JOIN settled ON expected.id = settled.id""",
+    """SELECT e.id AS order_id, s.id AS settled_id, merchant, items, CASE WHEN e.id IS NULL THEN 'missing_order' WHEN s.id IS NULL THEN 'awaiting' WHEN items >= 4 THEN 'matched' ELSE 'partial' END AS status
+    FROM (SELECT o_orderkey AS id, o_custkey AS merchant FROM orders) e FULL JOIN (SELECT l_orderkey AS id, count(*) AS items FROM lineitem GROUP BY ALL) s ON e.id = s.id""",
+)
 register_sql(
     "pipeline_fulfillment",
     """WITH priced AS (SELECT l_orderkey, l_returnflag, l_linestatus, CAST(l_quantity AS BIGINT) * l_partkey AS subtotal, CAST(l_linenumber AS BIGINT) AS pct FROM {lineitem}),
