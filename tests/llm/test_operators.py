@@ -242,7 +242,8 @@ def test_near_duplicates_against_brute_force(spark, docs, rows, empty):
     assert neardup.neardup_report(docs.filter("doc_id = 403")).collect()[0].component_id == 403
 
 
-def test_near_duplicates_in_a_large_group_of_varied_copies(spark):
+@pytest.mark.parametrize("many", [(4, 6), (4, 1024)])
+def test_near_duplicates_in_a_large_group_of_varied_copies(spark, many):
     """Long lists, with members that link with few others, in several rounds."""
     rng = random.Random(11)
     base = [f"w{k}" for k in range(100)]
@@ -253,12 +254,12 @@ def test_near_duplicates_in_a_large_group_of_varied_copies(spark):
             w[k] = f"v{rng.randrange(50)}"
         rows.append((i, " ".join(w)))
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    old = neardup.BIG, neardup.LEADERS
-    neardup.BIG, neardup.LEADERS = 4, (1, 1, 2)
+    old = neardup.BIG, neardup.MANY
+    neardup.BIG, neardup.MANY = many
     try:
         assert sorted(map(tuple, neardup.neardup_report(df).collect())) == components(rows)
     finally:
-        neardup.BIG, neardup.LEADERS = old
+        neardup.BIG, neardup.MANY = old
 
 
 # -- 8 ---------------------------------------------------------------------------------------

@@ -10,20 +10,28 @@ groups are the connected components.
    (exactly for small sets; for larger ones but for a chance of 1e-9 a pair), so with values ordered by
    frequency, rare first, it is enough to look at the first (shared - that + 1) shared values of each
    class: frequent passages drop out of the lists of all documents that are not mostly made of them.
-3. Overlaps in rounds, never all pairs of a list. In each list a few leaders are compared with the
-   members of other components; then components are joined up. A list is done when the members that
-   have not led are in one component. Leaders come from outside a list's largest component, so a group
-   of copies of any size costs about its size, and members left over are compared with all others
-   that sizes allow, and in long lists also counts of what is in other sets there, part by part of
-   the hash range: bounds that no pair that links is beyond.
+3. Overlaps, never all pairs of a list. First each list is compared with its most central class: the
+   one whose retained values are in most sketches, as an original's are and an edit's are not. What
+   links is joined up, and pairs inside a component need no comparison. Of a list's other classes,
+   those are dropped that no class of the list can link with: an intersection is no larger than the
+   number of a set's elements that are in another set here, which bounds the size of a partner. The
+   rest is compared with the classes that sizes and these numbers allow, counted by parts of the hash
+   range: an intersection is no larger than the sum of the parts' smaller counts. Where more than MANY
+   are left in a list, central ones among them lead again, twice as many each time.
 4. Candidates are filtered by the union-sketch estimate, and confirmed on full sets.
 
+A group that has a centre costs about its size. Classes of one list that mostly do not link, and that no
+bound tells apart, are compared pair by pair: that no link is lost has this price.
+
 Skew: lists are counted with map-side aggregation and joined with sort-merge joins that AQE can
 split; confirmation is salted. Nothing but counts reaches the driver. State between rounds is
 written to the shared folder.
 
-Null text: empty. Repeated rows share their class. Rows with the same doc_id and different texts are
-different documents with that id. Null doc_ids are larger than all others as representatives.
+Null text: empty. Very long texts: sketched and confirmed whole, one text at a time in a task. An
+empty table gives empty results. Repeated rows share their class; ties of frequency or centrality
+change which pairs are compared, never the result. Rows with the same doc_id and different texts are
+different documents with that id. Null doc_ids are larger than all others as representatives. Other
+columns are passed on, whatever their names, but for those that begin with __near_.
 """
 
 from __future__ import annotations
@@ -46,16 +54,11 @@ SHINGLE = 5
 K = 64
 #: Linked: 100 * intersection >= PERCENT * union.
 PERCENT = 75
-#: Leaders of a long list in each round, the last repeating with twice as many each time. Few at first:
-#: what they join up need not be compared any more. A short list has all its members lead.
-LEADERS = (1, 2, 32, 1024)
-SALTS = 16
-#: A list of so many members that have yet to be compared is long.
-BIG = 24
+SALTS = 64
+#: A list of so many classes is long, and so many that remain in it are many.
+BIG, MANY = 24, 1024
 #: Parts of the hash range in which elements are counted, to bound intersections.
 PARTS = 64
-#: Larger counts aren't kept, and such sets not bounded by them.
-MOST = 32_767
 
 _C1, _C2 = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
 
@@ -174,12 +177,13 @@ def _with_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(cls, text) rows to (cls, whole set)."""
+    """(cls, text) rows to rows (cls, value) of whole sets."""
     for b in batches:
-        sets = [s for c in chunks(b.column(1), lower=True) for s in shingle_sets(c)]
-        at = np.cumsum([0, *map(len, sets)])
-        values = pa.array((np.concatenate(sets) if sets else np.zeros(0, np.uint64)).view(np.int64))
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(at, pa.int32()), values)], ["cls", "value"])
+        cls = b.column(0).to_numpy()
+        for c in chunks(b.column(1), lower=True):
+            sets = shingle_sets(c)
+            own = np.repeat(cls[c.first : c.first + c.n], [len(s) for s in sets])
+            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.concatenate(sets).view(np.int64))], ["cls", "value"])
 
 
 def _labelled(links: DataFrame, step: Steps) -> DataFrame:
@@ -206,84 +210,109 @@ def near_duplicates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _near_duplicates(docs: DataFrame, step: Steps) -> tuple[DataFrame, DataFrame]:
+    spark = docs.sparkSession
     slim = lean(docs).select("doc_id", "text")
     sk = step(slim.mapInArrow(_sketch, SKETCH))
     classes = step(sk.filter("n > 0").groupBy("cls", "n").agg(F.min("doc_id").alias("rep"), F.min("sketch").alias("sketch")))
 
-    # lists of the values that a pair may be found by
+    # classes that share enough values with others to link: rare values first, and how many to look at
     value = classes.select("cls", F.explode("sketch").alias("value"))
     often = value.groupBy("value").agg(F.count("*").alias("df")).filter("df > 1")
     need = F.element_at(F.array(*(F.lit(shared_at_least(n)) for n in range(1, K + 2))), F.least("n", F.lit(K + 1)).cast("int"))
     shared = value.join(often, "value").groupBy("cls").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("v"))  # at most K values
     shared = shared.join(classes.select("cls", "n", need.alias("need")), "cls").filter(F.size("v") >= F.col("need"))
-    prefix = step(shared.select("cls", "n", F.slice(F.col("v.value"), F.lit(1), F.size("v") - F.col("need") + 1).alias("prefix")))
-    left = prefix.select("cls", F.explode("prefix").alias("value"))
-    left = step(left.join(left.groupBy("value").agg(F.count("*").alias("m")).filter("m > 1").drop("m"), "value"))
-    if left.isEmpty():
-        none = docs.sparkSession.createDataFrame([], "cls long, component_id long")
-        return sk, none
-
-    # texts of the classes in lists
-    who = left.select("cls").distinct().join(classes.select("cls", F.col("rep").alias("doc_id")), "cls")
+    central = F.aggregate("v", F.lit(0.0), lambda t, x: t + F.log2(x["df"]))
+    member = step(shared.select("cls", "n", central.alias("central"), F.col("v.value").alias("held"), (F.size("v") - F.col("need") + 1).alias("first")))
+    held = member.select("cls", "n", "central", "first", F.posexplode("held").alias("pos", "value"))
+    inside = F.col("pos") < F.col("first")
+    lead = held.groupBy("value").agg(F.count(F.when(inside, 1)).alias("m"), F.max(F.struct("central", "cls", "n")).alias("lead")).filter("m > 1")
+    left = step(held.filter(inside).join(lead, "value").select("value", "cls", "n", "central", F.col("lead.cls").alias("a"), F.col("lead.n").alias("na")))
+
+    # texts of these classes
+    who = member.join(classes.select("cls", F.col("rep").alias("doc_id")), "cls").select("cls", "doc_id")
     texts = slim.join(who, slim["doc_id"].eqNullSafe(who["doc_id"])).select("cls", "text")
     texts = step(texts.mapInArrow(_with_class, "cls long, text string").dropDuplicates(["cls"]))
-    links, label, turn, common = None, None, 0, None
+    prefix = member.select("cls", F.slice("held", F.lit(1), F.col("first")).alias("prefix"))
+
+    pairs = left.filter((F.col("a") != F.col("cls")) & _sizes("na", "n")).select("a", F.col("cls").alias("b")).distinct()
+    links = _linked(pairs, classes, texts, step)
+    label, common, turn = _labelled(links, step), None, 0
     while True:
-        if label is None:
-            open_ = left.withColumn("comp", F.col("cls"))
-        else:
-            open_ = left.join(label, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-            many = open_.groupBy("value").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("m")).filter("x < y").select("value", (F.col("m") >= BIG).alias("big"))
-            open_ = step(open_.join(many, "value"))
-            if open_.isEmpty():
-                break
-            if common is None:
-                common = step(_in_common(open_.filter("big").select("cls").distinct(), texts))
-        lead = open_
-        if label is not None:
-            most = open_.groupBy("value", "comp").agg(F.count("*").alias("m")).groupBy("value").agg(F.max(F.struct("m", "comp")).alias("top"))
-            lead = open_.join(most, "value").filter(F.col("comp") != F.col("top.comp")).drop("top")
-        # up to q leaders of each list, the same ones in lists with much the same members
-        q = LEADERS[turn] if turn < len(LEADERS) else LEADERS[-1] << (turn - len(LEADERS) + 1)
-        slot = F.pmod(F.xxhash64("cls", F.lit(turn)), F.lit(q))
-        if label is not None:
-            slot = F.when(F.col("big"), slot).otherwise(F.col("cls"))
-        lead = lead.groupBy("value", slot.alias("slot")).agg(F.min(F.struct("cls", "comp")).alias("l"))
-        lead = lead.select("value", F.col("l.cls").alias("a"), F.col("l.comp").alias("ca"))
-        if label is not None:
-            lead = step(lead)
-            about = prefix.join(common, "cls", "left")
-            mine = lead.join(about.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("prefix").alias("pa"), F.col("s").alias("sa"), F.col("counts").alias("va")), "a")
-            theirs = open_.join(about, "cls").select("value", "big", F.col("cls").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"), "prefix", F.col("s").alias("sb"), F.col("counts").alias("vb"))
-            # a pair is made in the first only of the lists that it shares
-            once = F.array_min(F.array_intersect("pa", "prefix")) == mine["value"]
-            # sizes, and what both have in common with any set here, allow the intersection it takes
-            sizes = 100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb")
-            enough = ~F.col("big") | ((100 + PERCENT) * F.least(F.coalesce("sa", F.lit(0)), F.coalesce("sb", F.lit(0))) >= PERCENT * (F.col("na") + F.col("nb")))
-            # the same part by part of the hash range: no intersection is larger than these smaller counts
-            parts = F.aggregate(F.zip_with("va", "vb", lambda x, y: F.least(x, y).cast("int")), F.lit(0), lambda t, x: t + x)
-            parts = ~F.col("big") | (F.greatest("sa", "sb") > MOST) | ((100 + PERCENT) * parts >= PERCENT * (F.col("na") + F.col("nb")))
-            pairs = mine.join(theirs, (mine["value"] == theirs["value"]) & (F.col("ca") != F.col("cb")) & sizes & enough & once & parts).select("a", "b")
-        else:
-            pairs = lead.join(open_.select("value", F.col("cls").alias("b")), "value").filter("a != b").select("a", "b")
-        found = _linked(pairs.distinct(), classes, texts, step)
-        links = found if links is None else step(links.union(found))
+        open_ = left.join(label, "cls", "left").select("value", "cls", "n", "central", F.coalesce("comp", "cls").alias("comp"))
+        several = open_.groupBy("value", "comp").agg(F.count("*").alias("c")).groupBy("value").agg(F.sum("c").alias("m"), F.count("*").alias("comps"), F.max(F.struct("c", "comp")).alias("top"))
+        several = several.filter("comps > 1").select("value", (F.col("m") >= BIG).alias("big"), F.col("top.comp").alias("main"))
+        open_ = step(open_.join(several, "value"))
+        if open_.isEmpty():
+            break
+        if common is None:
+            common = step(_in_common(open_.filter("big").select("cls").distinct(), texts))
+        # no intersection has more than s elements, and so no partner more than `upto`
+        at = open_.join(common, "cls", "left").withColumn("s", F.when(F.col("big"), F.coalesce("s", F.lit(0))).otherwise(F.col("n")))
+        at = at.withColumn("upto", F.floor((100 + PERCENT) * F.col("s") / PERCENT) - F.col("n")).filter(100 * F.col("s") >= PERCENT * F.col("n"))
+        mover = step(_movers(at))
+        many = mover.filter("big").groupBy("value").agg(F.count("*").alias("m")).filter(F.col("m") > MANY).select("value")
+        led = None if many.isEmpty() else step(many)
+        few = (lambda d: d) if led is None else (lambda d: d.join(led, "value", "left_anti"))
+        # those that remain in a list with all that bounds allow; a pair only in the first list that it shares
+        mine = few(mover).join(prefix, "cls").select("value", *(F.col(c).alias(f"{c}_a") for c in ("cls", "comp", "n", "upto", "counts", "prefix")))
+        theirs = few(at).join(prefix, "cls")
+        one_way = (F.col("comp") == F.col("main")) | (F.col("cls_a") < F.col("cls"))
+        once = F.array_min(F.array_intersect("prefix_a", "prefix")) == mine["value"]
+        pairs = mine.join(theirs, (mine["value"] == theirs["value"]) & (F.col("comp_a") != F.col("comp")) & one_way & _allowed() & once & _by_parts())
+        pairs = pairs.select(F.col("cls_a").alias("a"), F.col("cls").alias("b"))
+        if led is not None:  # of many, central ones lead
+            lead = mover.join(led, "value").groupBy("value", F.pmod(F.xxhash64("cls", F.lit(turn)), F.lit(1 << turn)).alias("slot")).agg(F.max(F.struct("central", "cls", "comp", "n", "upto", "counts")).alias("l"))
+            lead = step(lead.select("value", *(F.col(f"l.{c}").alias(f"{c}_a") for c in ("cls", "comp", "n", "upto", "counts"))))
+            theirs = at.join(led, "value")
+            more = lead.join(theirs, (lead["value"] == theirs["value"]) & (F.col("comp_a") != F.col("comp")) & _allowed() & _by_parts())
+            pairs = pairs.union(more.select(F.col("cls_a").alias("a"), F.col("cls").alias("b")).distinct())
+        links = step(links.union(_linked(pairs, classes, texts, step)))
         label = _labelled(links, step)
-        left = step(open_.select("cls", "value").join(lead.select(F.col("a").alias("cls"), "value"), ["cls", "value"], "left_anti"))
+        free(spark)
+        if led is None:
+            break
+        # what has led has met all others
+        left = step(at.join(led, "value").join(lead.select("value", F.col("cls_a").alias("cls")), ["value", "cls"], "left_anti").select("value", "cls", "n", "central"))
         turn += 1
-        free(docs.sparkSession)
     component = label.join(classes, "cls").groupBy("comp").agg(F.min("rep").alias("component_id"))
     return sk, label.join(component, "comp").select("cls", "component_id")
 
 
+def _sizes(a: str, b: str) -> F.Column:
+    """Sets of these sizes may link."""
+    return 100 * F.least(a, b) >= PERCENT * F.greatest(a, b)
+
+
+def _allowed() -> F.Column:
+    """A class with n_a and upto_a and one with n and upto may link."""
+    return _sizes("n_a", "n") & (F.col("n") <= F.col("upto_a")) & (F.col("n_a") <= F.col("upto"))
+
+
+def _by_parts() -> F.Column:
+    """Counts by parts of the hash range allow a link. Lists that aren't long have none."""
+    both = F.aggregate(F.zip_with("counts_a", "counts", lambda x, y: F.least(x, y)), F.lit(0), lambda t, x: t + x)
+    return F.coalesce((100 + PERCENT) * both >= PERCENT * (F.col("n_a") + F.col("n")), F.lit(True))
+
+
+def _movers(at: DataFrame) -> DataFrame:
+    """The classes outside their list's largest component that bounds allow a partner there in another
+    component: bounds of all classes of about one size (in steps of under 1 %) at once."""
+    low = F.expr("greatest(0, int(floor(log2(n))) - 7)")
+    band = at.withColumn("low", low).withColumn("band", F.expr("shiftright(n, low)"))
+    room = band.groupBy("value", "low", "band").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("upto").alias("far"), F.min("comp").alias("c0"), F.max("comp").alias("c1"))
+    room = room.select(F.col("value").alias("v"), "least", "most", "far", "c0", "c1")
+    fits = (F.col("least") <= F.col("upto")) & (F.col("n") <= F.col("far")) & (100 * F.col("most") >= PERCENT * F.col("n")) & (100 * F.col("n") >= PERCENT * F.col("least"))
+    return at.filter(F.col("comp") != F.col("main")).join(room, (F.col("value") == F.col("v")) & fits & ((F.col("c0") != F.col("comp")) | (F.col("c1") != F.col("comp"))), "left_semi")
+
+
 def _in_common(who: DataFrame, texts: DataFrame) -> DataFrame:
     """For the classes in long lists: s, how many of the set's elements are in another of these sets,
-    and counts of these in each part of the hash range. What is in no other set is in no intersection."""
-    value = texts.join(who, "cls").mapInArrow(_elements, "cls long, value array<long>").select("cls", F.explode("value").alias("value"))
+    and the counts of these by parts of the hash range. What is in no other set is in no intersection."""
+    value = texts.join(who, "cls").select("cls", "text").mapInArrow(_elements, "cls long, value long")
     often = value.groupBy("value").agg(F.count("*").alias("df")).filter("df > 1").select("value")
-    part = value.join(often, "value").groupBy("cls", F.pmod("value", F.lit(PARTS)).cast("int").alias("part")).agg(F.count("*").cast("int").alias("c"))
-    by = part.groupBy("cls").agg(F.sum("c").alias("s"), F.map_from_entries(F.collect_list(F.struct("part", "c"))).alias("m"))  # at most PARTS entries
-    return by.select("cls", "s", F.transform(F.sequence(F.lit(0), F.lit(PARTS - 1)), lambda k: F.least(F.coalesce(F.element_at("m", k), F.lit(0)), F.lit(MOST)).cast("smallint")).alias("counts"))
+    part = value.join(often, "value").select("cls", F.pmod("value", F.lit(PARTS)).alias("part"))
+    by = part.groupBy("cls").agg(F.count("*").alias("s"), *(F.count_if(F.col("part") == k).cast("int").alias(f"p{k}") for k in range(PARTS)))
+    return by.select("cls", "s", F.array(*(f"p{k}" for k in range(PARTS))).alias("counts"))
 
 
 def _linked(pairs: DataFrame, classes: DataFrame, texts: DataFrame, step: Steps) -> DataFrame:
@@ -314,7 +343,7 @@ def _passing(column: int):
         for b in batches:
             sets = [s for c in chunks(b.column(column), lower=True) for s in shingle_sets(c)]
             cls = pa.array(np.array([class_of(s) if len(s) else 0 for s in sets], np.uint64).view(np.int64), mask=np.array([not len(s) for s in sets], bool))
-            yield pa.RecordBatch.from_arrays([*b.columns, cls], [*b.schema.names, "__cls"])
+            yield pa.RecordBatch.from_arrays([*b.columns, cls], [*b.schema.names, "__near_cls"])
 
     return run
 
@@ -324,9 +353,9 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     repeated rows one stays; documents without words are in no group and all stay."""
     sk, group = near_duplicates(docs)
     first = sk.filter("n > 0").groupBy("cls", "n").agg(F.min("doc_id").alias("rep")).join(group, "cls", "left")
-    stay = first.filter(F.coalesce(F.col("component_id") == F.col("rep"), F.lit(True))).select(F.col("rep").alias("__rep"), F.col("cls").alias("__own"))
-    classed = lean(docs).mapInArrow(_passing(docs.columns.index("text")), T.StructType([*docs.schema.fields, T.StructField("__cls", T.LongType())]))
-    words = classed.join(stay, classed["doc_id"].eqNullSafe(F.col("__rep")) & (F.col("__cls") == F.col("__own")), "left_semi")
-    one = words.withColumn("__at", F.row_number().over(Window.partitionBy("doc_id", "__cls").orderBy(F.lit(1)))).filter("__at = 1")
+    stay = first.filter(F.coalesce(F.col("component_id") == F.col("rep"), F.lit(True))).select(F.col("rep").alias("__near_rep"), F.col("cls").alias("__near_own"))
+    classed = lean(docs).mapInArrow(_passing(docs.columns.index("text")), T.StructType([*docs.schema.fields, T.StructField("__near_cls", T.LongType())]))
+    words = classed.join(stay, classed["doc_id"].eqNullSafe(F.col("__near_rep")) & (F.col("__near_cls") == F.col("__near_own")), "left_semi")
+    one = words.withColumn("__near_at", F.row_number().over(Window.partitionBy("doc_id", "__near_cls").orderBy(F.lit(1)))).filter("__near_at = 1")
     own = [F.col(f"`{c}`") for c in docs.columns]
-    return one.select(*own).union(classed.filter("__cls IS NULL").select(*own))
+    return one.select(*own).union(classed.filter("__near_cls IS NULL").select(*own))

@@ -91,7 +91,7 @@ class Steps:
     def __call__(self, df: DataFrame) -> DataFrame:
         self.n += 1
         path = f"{self.path}/{self.n}"
-        self.spark._jvm.System.gc()  # shuffle files of the steps before
+        free(self.spark)  # the shuffles of the steps before
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
