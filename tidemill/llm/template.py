@@ -46,10 +46,16 @@ def unescape(text: str) -> str:
 
 
 FILTERS: dict[str, Callable[[Any], Any]] = {
-    "escape": lambda x: escape(_text(x)), "trim": lambda x: _text(x).strip(), "upper": lambda x: _text(x).upper(), "lower": lambda x: _text(x).lower(), "length": lambda x: len(x), "string": lambda x: _text(x),
+    "escape": lambda x: escape(_text(x)), "trim": lambda x: _text(x).strip(), "upper": lambda x: _text(x).upper(), "lower": lambda x: _text(x).lower(), "length": lambda x: _length(x), "string": lambda x: _text(x),
 }
 
 
+def _length(x: Any) -> int:
+    if not isinstance(x, (str, dict, list, tuple)):
+        raise TemplateError(f"{x!r} has no length")
+    return len(x)
+
+
 def _text(x: Any) -> str:
     return "" if x is None else ("true" if x else "false") if isinstance(x, bool) else str(x)
 
@@ -114,7 +120,7 @@ class Generation:
 
 
 _LEX = re.compile(r"(\{\{-?.*?-?\}\}|\{%-?.*?-?%\}|\{#.*?#\})", re.S)
-_TOKEN = re.compile(r"\s*(?:(?P<str>'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\")|(?P<int>\d+)|(?P<name>[A-Za-z_]\w*)|(?P<op>==|!=|<=|>=|[<>+\-~|.()\[\]]))")
+_TOKEN = re.compile(r"\s*(?:(?P<str>'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\")|(?P<int>\d+)|(?P<name>[A-Za-z_]\w*)|(?P<op>==|!=|<=|>=|[<>=+\-~|.()\[\]]))")
 _ESC = {"n": "\n", "t": "\t", "r": "\r"}
 _ORDER = {"==": lambda a, b: a == b, "!=": lambda a, b: a != b, "<": lambda a, b: a < b, "<=": lambda a, b: a <= b, ">": lambda a, b: a > b, ">=": lambda a, b: a >= b, "in": lambda a, b: a in b, "+": lambda a, b: a + b, "-": lambda a, b: a - b, "~": lambda a, b: _text(a) + _text(b)}
 
@@ -264,8 +270,8 @@ def parse(source: str) -> list[Any]:
             open_.append(("generation", node, node.body))
         elif word == "set":
             name = e.need("name")
-            if e.tokens[e.at : e.at + 1] != [] and e.tokens[e.at][1] == "=":
-                e.at += 1
+            if not e.take("="):
+                raise TemplateError("= is missing")
             body.append(Set(name, e.done(e.expr())))
         elif word in ("endfor", "endif", "endgeneration") and open_[-1][0] == word[3:]:
             e.done(open_.pop())
@@ -375,6 +381,12 @@ def _value(x: Any) -> Callable[[Env], Any]:
     return lambda env: _apply(op, args[0](env), args[1](env))
 
 
+def _items(x: Any) -> Iterator[Any]:
+    if isinstance(x, str) or not isinstance(x, Iterable):
+        raise TemplateError(f"{x!r} can't be looped over")
+    return iter(x)
+
+
 def _body(nodes: list[Any], masked: bool) -> Callable[[Env], Iterator[Piece]]:
     steps = [_step(n, masked) for n in nodes]
 
@@ -415,7 +427,7 @@ def _step(x: Any, masked: bool) -> Callable[[Env], Iterable[Piece]]:
     name, over, body = x.name, _value(x.over), _body(x.body, masked)
 
     def loop(env: Env) -> Iterator[Piece]:
-        items, nothing = iter(over(env)), object()
+        items, nothing = _items(over(env)), object()
         item, i = next(items, nothing), 0
         inner = dict(env)
         while item is not nothing:
