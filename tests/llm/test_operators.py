@@ -421,11 +421,14 @@ def test_template_language():
     assert folded.tree == [template.Out(template.Const("yesA3"))]
     text, spans = template.Template("{% for m in messages %}<{% generation %}{{ m['text'] }}{% endgeneration %}>{% endfor %}").render([{"text": "ab"}, {"text": "é"}])
     assert text == "<ab><é>" and [text[a:b] for a, b in spans] == ["ab", "é"]
-    for bad in ("{{ x.__class__ | nope }}", "{% for %}", "{{ f(1) }}", "{% if x %}", "{{ 1 + }}", "{% endfor %}", "{{ 'a' + 1 }}"):
+    for bad in ("{{ 3 | length }}", "{% set x 1 %}", "{{ x = 1 }}", "{{ x.__class__ | nope }}", "{% for %}", "{{ f(1) }}", "{% if x %}", "{{ 1 + }}", "{% endfor %}", "{{ 'a' + 1 }}"):
         with pytest.raises(template.TemplateError):
             template.Template(bad)
     with pytest.raises(template.TemplateError):
         template.Template("{{ messages.__class__ }}").render([])
+    for bad in ("{% for x in 3 %}{% endfor %}", "{% for x in none %}{% endfor %}", "{{ n | length }}", "{{ n < 'a' }}", "{{ 1 in n }}"):
+        with pytest.raises(template.TemplateError):
+            template.Template(bad).render([], n=3)
 
 
 def test_chat_round_trip(spark):
@@ -480,11 +483,45 @@ def test_shards_hold_every_row_and_merge_by_tiers(spark, tmp_path, docs, rows, e
         store.append(docs.select("doc_id"))
     store.append(empty)
     assert len(store.manifest()["shards"]) == len(now["shards"])
-    got = Counter((r.doc_id, r.text_sha256) for r in sharding.shard_report(docs, arrivals=3).collect())
+    # sizes, tiers and rows, by brute force over the files
+    for x in store.manifest()["shards"]:
+        at = tmp_path / "store" / "shards" / x.name
+        assert (at.stat().st_size, spark.read.parquet(str(at)).count()) == (x.size, x.rows) and x.rows
+    small = Counter(0 if x.size < 20_000 else 1 if x.size < 60_000 else 2 for x in store.manifest()["shards"] if x.size < 75_000)
+    assert all(n < 3 for n in small.values())
+    got = Counter((r.doc_id, r.text_sha256) for r in sharding.shard_report(docs).collect())
     assert got == Counter((i, None if t is None else hashlib.sha256(t.encode()).hexdigest()) for i, t, *_ in rows)
     assert sharding.shard_report(empty).count() == 0
 
 
+def test_shards_survive_other_writers_and_readers(spark, tmp_path, docs):
+    """A compaction between an append's files and its commit, and under an open reader; leftovers."""
+    store, other = (sharding.ShardStore(spark, str(tmp_path / "s"), small=20_000, target=150_000, fanout=2) for _ in range(2))
+    store.append(docs.filter("doc_id < 100"))
+    store.append(docs.filter("doc_id BETWEEN 100 AND 250"))
+    reader, want = store.read(), docs.filter("doc_id <= 250").count()
+    moved = store._moved
+
+    def slow(tmp):
+        got = moved(tmp)
+        store._moved = moved
+        other.compact()
+        other.vacuum()
+        return got
+
+    store._moved = slow
+    store.append(docs.filter("doc_id > 250"))
+    assert reader.count() == want and store.read().count() == docs.filter("doc_id IS NOT NULL").count()
+    (tmp_path / "s" / "tmp-crashed").mkdir()
+    (tmp_path / "s" / "tmp-crashed" / "part-0.parquet").write_bytes(b"x")
+    store.vacuum()
+    assert (tmp_path / "s" / "tmp-crashed").exists()
+    store.vacuum(keep=1, grace=0)
+    assert not (tmp_path / "s" / "tmp-crashed").exists()
+    assert {f.name for f in (tmp_path / "s" / "shards").glob("*.parquet")} == {x.name for x in store.manifest()["shards"]}
+    assert store.read().count() == docs.filter("doc_id IS NOT NULL").count()
+
+
 # -- pipeline --------------------------------------------------------------------------------
 
 

@@ -64,4 +64,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": decontam.SQL, "op2_chat_format": chat.SQL, "op7_mix_sources": mixing.SQL, "op9_line_dedup": lines.SQL}
+    return {"op1_decontaminate": decontam.SQL, "op2_chat_format": chat.SQL, "op6_shard_compact": sharding.SQL, "op7_mix_sources": mixing.SQL, "op9_line_dedup": lines.SQL}

@@ -7,14 +7,20 @@ version of the manifest by an atomic rename that fails if the version exists; re
 or the next, never a mixture, and a writer that lost the race tries again on the new version. A
 merge reads each group of shards into one file without a shuffle.
 
-Nulls, empty and long texts, ties and repeated rows are stored as they are. An empty arrival adds no
-shard. All columns are kept; the store asks for the same columns each time.
+Files are deleted by vacuum() alone, which a store's owner calls: those that none of the last versions
+names and that are older than a grace period. Appends, merges and reads that take less than that
+never lose a file, whatever else goes on; what a crashed writer leaves behind is removed as well.
+
+Nulls, empty and very long texts, ties and repeated rows are stored as they are, and any columns
+kept, whatever their names; the store asks for the same columns each time. An empty arrival, and an
+empty file of one, adds no shard.
 """
 
 from __future__ import annotations
 
 import json
 import math
+import time
 import uuid
 from dataclasses import asdict, dataclass
 from functools import reduce
@@ -30,6 +36,8 @@ FANOUT = 4
 SMALL, TARGET = 4 << 20, 128 << 20
 #: Merged files that one job writes.
 GROUPS = 128
+#: Seconds that files no version names are kept for.
+GRACE = 24 * 3600
 
 
 class Conflict(RuntimeError):
@@ -38,10 +46,11 @@ class Conflict(RuntimeError):
 
 @dataclass(frozen=True)
 class Shard:
-    """A file of the store: its name, its bytes and the version that added it."""
+    """A file of the store: its name, bytes and rows, and the version that added it."""
 
     name: str
     size: int
+    rows: int
     since: int
 
 
@@ -102,16 +111,26 @@ class ShardStore:
     def _spark_conf(self):
         return self.spark._jsc.hadoopConfiguration()
 
-    def _moved(self, tmp: str) -> list[tuple[str, int]]:
-        """The Parquet files that Spark wrote to tmp, moved among the shards: names and bytes."""
+    def _rows(self, at) -> int:
+        """The rows of a Parquet file, from its footer."""
+        parquet = self._jvm.org.apache.parquet.hadoop
+        reader = parquet.ParquetFileReader.open(parquet.util.HadoopInputFile.fromPath(at, self._spark_conf()))
+        try:
+            return reader.getRecordCount()
+        finally:
+            reader.close()
+
+    def _moved(self, tmp: str) -> list[tuple[str, int, int]]:
+        """The Parquet files with rows that Spark wrote to tmp, moved among the shards: names, bytes
+        and rows, in the order written."""
         out = []
         self._fs.mkdirs(self._path("shards"))
-        for f in self._fs.listStatus(self._path(tmp)):
-            if f.getPath().getName().startswith("part-") and f.getLen():
-                name = f"{uuid.uuid4().hex}.parquet"
+        for f in sorted(self._fs.listStatus(self._path(tmp)), key=lambda f: f.getPath().getName()):
+            if f.getPath().getName().startswith("part-") and f.getLen() and (rows := self._rows(f.getPath())):
+                name = f"{len(out):06d}-{uuid.uuid4().hex}.parquet"
                 if not self._fs.rename(f.getPath(), self._path(f"shards/{name}")):
                     raise OSError(f"{name} can't be moved")
-                out.append((name, f.getLen()))
+                out.append((name, f.getLen(), rows))
         self._fs.delete(self._path(tmp), True)
         return out
 
@@ -126,10 +145,12 @@ class ShardStore:
         new = self._moved(tmp)
         while True:
             now = self.manifest()
+            if not new and now["schema"]:
+                return now["version"]
             if now["schema"] not in (None, schema) and [(f["name"], f["type"]) for f in json.loads(now["schema"])["fields"]] != [(f["name"], f["type"]) for f in json.loads(schema)["fields"]]:
                 raise ValueError("the arrivals have other columns than the store")
             try:
-                return self.commit(now["version"], now["schema"] or schema, [*now["shards"], *(Shard(a, b, now["version"] + 1) for a, b in new)])
+                return self.commit(now["version"], now["schema"] or schema, [*now["shards"], *(Shard(*x, now["version"] + 1) for x in new)])
             except Conflict:
                 continue
 
@@ -173,24 +194,30 @@ class ShardStore:
             while True:
                 now = self.manifest()
                 if not gone <= {s.name for s in now["shards"]}:  # merged by another writer meanwhile
-                    for name, _ in new:
+                    for name, *_ in new:
                         self._fs.delete(self._path(f"shards/{name}"), False)
                     break
                 try:
-                    self.commit(now["version"], now["schema"], [*(s for s in now["shards"] if s.name not in gone), *(Shard(a, b, now["version"] + 1) for a, b in new)])
+                    self.commit(now["version"], now["schema"], [*(s for s in now["shards"] if s.name not in gone), *(Shard(*x, now["version"] + 1) for x in new)])
                     break
                 except Conflict:
                     continue
-            self.vacuum()
 
-    def vacuum(self, keep: int = 1) -> None:
-        """Delete files that none of the last `keep` versions names. Not while others write."""
-        v = self.version()
+    def vacuum(self, keep: int = 2, grace: float = GRACE) -> None:
+        """Delete files that none of the last `keep` versions names, and what writers left behind, if
+        last written more than `grace` seconds ago. Older versions can't be read any more."""
+        v, before = self.version(), (time.time() - grace) * 1000
         named = {s.name for k in range(max(1, v - keep + 1), v + 1) for s in self.manifest(k)["shards"]}
-        if self._fs.exists(self._path("shards")):
-            for f in self._fs.listStatus(self._path("shards")):
-                if not f.getPath().getName().startswith(".") and f.getPath().getName() not in named:
-                    self._fs.delete(f.getPath(), False)
+        for at in (f for d in ("", "shards") if self._fs.exists(self._path(d)) for f in self._fs.listStatus(self._path(d))):
+            name, old = at.getPath().getName(), self._newest(at) <= before
+            if old and (name.startswith("tmp-") or name.endswith(".parquet") and name not in named):
+                self._fs.delete(at.getPath(), True)
+
+    def _newest(self, at) -> int:
+        """When a file, or any file in a folder, was last written, in milliseconds."""
+        if not at.isDirectory():
+            return at.getModificationTime()
+        return max([at.getModificationTime(), *(self._newest(f) for f in self._fs.listStatus(at.getPath()))])
 
     def read(self, version: int | None = None) -> DataFrame:
         """The rows of a version, with their shard's name in __shard."""
@@ -204,17 +231,31 @@ class ShardStore:
         return df.withColumn("__shard", F.regexp_extract(F.input_file_name(), "([^/]+)$", 1))
 
 
-def shard_report(docs: DataFrame, arrivals: int = 6, small: int = SMALL, target: int = TARGET) -> DataFrame:
-    """docs in so many arrivals (by a hash of the row) through a store of its own; per row of the
-    compacted store: doc_id, shard (its file), text_sha256."""
+ARRIVALS = 6
+
+
+def shard_report(docs: DataFrame, small: int = SMALL, target: int = TARGET) -> DataFrame:
+    """docs in ARRIVALS arrivals (by a digest of the doc_id) through a store of its own. Per row of the
+    compacted store: doc_id, arrival, text_sha256, and merges_due, how many merges its tiers still
+    call for: 0, unless compaction left a full tier."""
     spark = docs.sparkSession
     path = scratch(spark, "shards")
     store = ShardStore(spark, path, small, target)
-    deal = F.pmod(F.xxhash64("doc_id", "text"), F.lit(arrivals))
-    for k in range(arrivals):
-        store.append(docs.filter(deal == k), bytes_of(docs) // arrivals + 1)
+    digest = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 8), 16, 10).cast("long")
+    dealt = docs.withColumn("__shard_arrival", F.pmod(digest, F.lit(ARRIVALS)))
+    size = bytes_of(docs) // ARRIVALS + 1
+    for k in range(ARRIVALS):
+        store.append(dealt.filter(F.col("__shard_arrival") == k), size)
         store.compact()
-    out = kept(store.read().select("doc_id", F.col("__shard").alias("shard"), F.sha2("text", 256).alias("text_sha256")))
+        store.vacuum(keep=1, grace=0)  # no one else knows this store
+    out = store.read().select("doc_id", F.col("__shard_arrival").alias("arrival"), F.sha2("text", 256).alias("text_sha256"))
+    out = kept(out.withColumn("merges_due", F.lit(len(store.plan(store.manifest()["shards"]))).cast("long")))
     remove(spark, path)
     return out
 
+
+#: The same in SQL.
+SQL = f"""
+SELECT doc_id, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT % {ARRIVALS} AS arrival, sha256(text) AS text_sha256, 0::BIGINT AS merges_due
+FROM documents
+"""
