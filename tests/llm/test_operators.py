@@ -170,21 +170,22 @@ def test_masks_leave_no_tolerated_substitutions_out():
 def test_decontamination(spark, docs, rows, empty):
     rng = random.Random(3)
     item = [f"Item{k}" for k in range(30)]
-    bench = [(1, " ".join(item)), (2, "short item of five words"), (3, None), (4, ""), (5, " ".join(f"s{k}" for k in range(10))), (5, "x " * 20)]
-    cases = {900: (item, 1), 901: (item[:10], 0), 902: (item[5:18], 1), 903: ([x if k not in (3, 9) else "zz" for k, x in enumerate(item[:13])], 1), 904: ([x if k % 4 else "zz" for k, x in enumerate(item)], 0), 905: ([f"s{k}" for k in range(10)], 1), 906: ([f"S{k}" if k != 4 else "q" for k in range(10)], 1), 907: (["short", "item", "of", "five", "words"], 0)}
+    bench = [(1, " ".join(item)), (2, "short item of five words"), (3, None), (4, ""), (5, " ".join(f"s{k}" for k in range(10))), (5, "x " * 20), (6, " ".join(f"t{k}" for k in range(8))), (7, "short item of five words"), (8, "lone")]
+    cases = {900: (item, 1), 901: (item[:10], 0), 902: (item[5:18], 1), 903: ([x if k not in (3, 9) else "zz" for k, x in enumerate(item[:13])], 1), 904: ([x if k % 4 else "zz" for k, x in enumerate(item)], 0), 905: ([f"s{k}" for k in range(10)], 1), 906: ([f"S{k}" if k != 4 else "q" for k in range(10)], 1), 907: (["Short", "item", "of", "five", "words"], 1), 908: (["short", "item", "of", "six", "words"], 0), 909: ([f"T{k}" for k in range(8)], 1), 910: ([f"t{k}" if k != 4 else "q" for k in range(8)], 0), 911: (["lone"], 1)}
     more = [(i, " ".join(["pre", *rng.choices("abc", k=5), *w, "post"]), "en", "a", 0, 1, "x", "y", 2) for i, (w, _) in cases.items()]
     both = docs.unionByName(spark.createDataFrame(more, docs.schema)).unionByName(spark.createDataFrame(more[:1], docs.schema))
     b = spark.createDataFrame(bench, "item_id long, text string")
     got = {r.doc_id: r for r in decontam.decontamination_report(both, b).collect()}
     for i, (_, hit) in cases.items():
         assert got[i].contaminated == bool(hit), i
+    assert (got[907].item_ids, got[907].n_items, got[907].matched) == ("2,7", 2, 5) and got[911].matched == 1
     assert got[407].contaminated and sum(r.contaminated for r in got.values()) == 1 + sum(h for _, h in cases.values())
     clean = decontam.clean(both, b)
     assert clean.columns == docs.columns and clean.count() == both.count() - 2 - sum(h for _, h in cases.values())
     assert decontam.clean(both, b.limit(0)).count() == both.count()
     assert decontam.decontamination_report(empty, b).count() == 0
     old, decontam.BLOCK = decontam.BLOCK, 10
-    try:  # a benchmark in several blocks
+    try:  # a benchmark that is too large to be broadcast
         assert {r.doc_id for r in decontam.decontamination_report(both, b).collect() if r.contaminated} == {i for i, r in got.items() if r.contaminated}
     finally:
         decontam.BLOCK = old
