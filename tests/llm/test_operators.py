@@ -316,21 +316,75 @@ def test_lm_against_brute_force(docs, rows, empty):
     assert lm.lm_report(empty).count() == 0
 
 
-def test_lm_probabilities_sum_to_at_most_one(docs):
-    for size in (lm.FILTER_BYTES, 3000):
-        m = lm.train(docs.select("doc_id", "text"), size)
-        m.ends = docs.filter(~lm.held_out()).count()
-        assert m.words.nbytes <= size + 8 and (size > 10_000 or m.shift > 0)
-        vocab = sorted({x.lower() for r in docs.filter(~lm.held_out()).collect() for x in tok(r.text)})
-        import pyarrow as pa
-
-        h = np.array([lm.hash_words(next(words.chunks(pa.array([v]))))[0] for v in vocab] + [lm.END])
-        unknown = lm.mix(np.array([1234567], np.uint64))
-        for before in (lm.END, h[0], h[len(h) // 2], unknown[0]):
-            every = np.concatenate([h, unknown])
-            pairs = np.stack([np.full(len(every), before), every], 1).ravel()
-            p = 10 ** lm.score_tokens(m, pairs)[1::2]
-            assert p.sum() <= 1.3  # false positives included
+def lm_counts(rows):
+    """Words, pairs and texts of the training documents, each by count; None is the end."""
+    one, two, ends = Counter(), Counter(), 0
+    for i, t, *_ in rows:
+        if not out_of(i, 10):
+            w = [*(x.lower() for x in tok(t)), None]
+            one.update(w)
+            two.update(zip([None, *w[:-1]], w, strict=True))
+            ends += 1
+    return one, two, ends
+
+
+def lm_model(one, two, ends):
+    """The formula of the docstring, on exact counts: a probability of a word after another."""
+    low = lambda c: 2 ** (c.bit_length() - 1)
+    n, once = sum(one.values()), sum(c == 1 for c in one.values())
+    u, m, z = once / n, sum(c for c in two.values() if c > 1) / n, sum(map(low, one.values()))
+
+    def p(h, w):
+        p1 = (1 - u) * low(one[w]) / z if one[w] else u / once
+        top = ends if h is None else 2 * low(one[h]) - 1 if one[h] else 0
+        return m * (low(two[h, w]) if two[h, w] else 0) / top + (1 - m) * p1 if top else p1
+
+    return p, u
+
+
+def test_lm_score_against_brute_force(docs, rows):
+    p, _ = lm_model(*lm_counts(rows))
+    want = defaultdict(list)
+    for i, t, *_ in rows:
+        w = [*(x.lower() for x in tok(t)), None]
+        want[i].append(sum(math.log10(p(h, x)) for h, x in zip([None, *w[:-1]], w, strict=True)))
+    for r in lm.lm_report(docs, block=4000).collect():
+        assert any(abs(r.score - x) <= 0.005 * r.n_tokens for x in want[r.doc_id]), r  # F * V is above 0
+
+
+def test_lm_probabilities_sum_to_one_at_most(rows):
+    import pyarrow as pa
+
+    one, two, ends = lm_counts(rows)
+    hash_of = {w: lm.END if w is None else lm.hash_words(next(words.chunks(pa.array([w.decode()]))))[0] for w in one}
+    vocab, h = list(one), np.array([hash_of[w] for w in one])
+    spectrum = defaultdict(lambda: (0, 0))
+    for kind, counts in ((0, one), (1, two)):
+        for c in counts.values():
+            a, t = spectrum[kind, c.bit_length() - 1]
+            spectrum[kind, c.bit_length() - 1] = a + 1, t + c
+    p, u = lm_model(one, two, ends)
+    # the levels of all pairs as filters give them
+    contexts = [None, *random.Random(5).sample(vocab, 60), b"never seen"]
+    pairs = {}
+    for x in contexts:
+        before = hash_of.get(x, lm.mix(np.array([99], np.uint64))[0])
+        pairs[x] = lm.pairs(np.stack([np.full(len(h), before), h], 1).ravel())[1::2]
+    every = np.concatenate([*pairs.values()])
+    count = np.array([two[x, w] for x in contexts for w in vocab])
+    u_, first = np.unique(every, return_index=True)
+    level, size, rate = lm.filtered(u_, count[first], 1, lm.FILTER_BYTES)
+    m = lm.model(spectrum, ends, rate / size)
+    unknown = lm.mix(np.array([1234567], np.uint64))[0]
+    for x in contexts:
+        lv = np.array([one[w].bit_length() for w in vocab])
+        own = one[x].bit_length()
+        tokens = np.stack([np.full(len(h), hash_of.get(x, unknown)), h], 1).ravel()
+        got = 10 ** lm.scored(m, tokens, np.stack([np.full(len(h), own), lv], 1).ravel(), np.stack([np.zeros(len(h), np.int64), level[np.searchsorted(u_, pairs[x])]], 1).ravel())[1::2]
+        weight = 1 if x == b"never seen" else 1 - m.pair_mass
+        total = got.sum() + weight * u
+        assert 0.3 <= total <= 1.02
+        assert abs(got.sum() - sum(p(x, w) for w in vocab)) <= 0.02
 
 
 def test_lm_keeps_every_ngram_whatever_a_filter_holds(docs):

@@ -11,35 +11,35 @@ in two 64-bit words, and BITS bits of filter. The segment probes its filter for
 and the blocks get levels, and the words' exact counts, back in the order asked.
 
 Every n-gram is stored, whatever its count and the corpus: segments grow in number with the input,
-not in size, and one with more items than FILTER_BYTES hold has several filters, each of a range.
+not in size, and one with more items than FILTER_BYTES hold has several filters, each of a range. So
+the filters are in the segments' tasks and the questions come to them; together they grow with the
+corpus, which rules a broadcast out. What is broadcast is the model's few scalars.
 
 Scoring: a count is read by probing level after level until one is missing. With q(c) the lowest count
 of a level and Q(c) the highest,
 
-    P(w | h) = L(h) * q(h w) / Q(h) + (1 - L(h)) * P(w),    P(w) = (1 - U) * q(w) / Z,
-    L(h) = M * Q(h) / (Q(h) + F * V),
+    P(w | h) = M * q(h w) / (Q(h) + F * V) + (1 - M) * P(w),    P(w) = (1 - U) * q(w) / Z,
 
 where Z is the sum of q over the vocabulary of V words, M the mass of word pairs that were counted at
-least twice, and U that of words counted once, as the probability of one class of all unknown words.
-F is the filters' rate of false positives, from their fill: F * V is how many words seem to follow
-any h, and so these sum to at most 1 over vocabulary and class, in expectation over the filters'
-hashes. After a token without an item P(w) alone counts.
+least twice, and U that of the S words counted once: the probability of all unknown words, of which
+there are taken to be S, so that each has U / S. F is the filters' rate of false positives, from
+their fill: F * V is how many words seem to follow any h. As the q(h w) of an h sum to Q(h) at most,
+all words' probabilities sum to at most 1 (with false positives: in expectation over the filters'
+hashes). After an unknown word P(w) alone counts.
 
 The exact base score needs each token's exact count, as the segments return it.
 
-train() is another form, for a caller that has to hold the model in so many bytes: one filter, which
-leaves n-grams rarer than `least`, a power of two, to smoothing. lm_report doesn't use it.
-
-Null text: only the end. Null doc_id: trained on, not held out. Repeated rows count and are scored
-one by one. An empty table gives an empty result.
+Null and empty text: only the end. Very long texts: whole, in the block that they are in. Null
+doc_id: trained on, not held out. Repeated rows count and are scored one by one; ties of hashes among
+n-grams (64 bits) would share a count. An empty table gives an empty result. Other columns are not
+looked at, whatever their names.
 """
 
 from __future__ import annotations
 
 import math
 import zlib
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -47,17 +47,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .codec import counted, cuts, packed, uncounted, unpacked
-from .shared import Written, bytes_of, free, kept, lean
+from .shared import free, kept, lean
 from .words import _ODD, Chunk, chunks, hash_words, mix
 
-FILTER_BYTES, BITS, PROBES = 32 << 20, 16, 4
-#: Stored bytes of text in a block, and in a segment's share of text.
-BLOCK, SEGMENT = 4 << 20, 6 << 20
-#: Tokens that a task counts before it passes them on.
-HELD = 1_000_000
+FILTER_BYTES, BITS, PROBES = 32 << 20, 32, 4
+#: Bytes of text in a block, and in a segment's share of text.
+BLOCK, SEGMENT = 8 << 20, 12 << 20
 FOLDS = 10
-#: Rows in which the filter comes together.
-SHARDS = 32
 LEVELS = 48
 
 END = mix(np.array([0x656E64], np.uint64))[0]
@@ -83,102 +79,34 @@ def pairs(h: np.ndarray) -> np.ndarray:
     return mix(before * _ODD[300] + h * _ODD[301])
 
 
-# -- counting --------------------------------------------------------------------------------
-
-SENT = "seg int, kind int, body binary, counts binary"
-
-
-def _counts(segments: int):
-    """Training texts to rows of SENT: kind 0 words, kind 1 pairs."""
-
-    def flush(held: list[np.ndarray]) -> Iterator[tuple]:
-        for kind in (0, 1):
-            u, n = np.unique(np.concatenate([x[kind] for x in held]), return_counts=True)
-            cut = cuts(u, segments)
-            for k in range(segments):
-                if cut[k + 1] > cut[k]:
-                    s = slice(cut[k], cut[k + 1])
-                    yield k, kind, packed(u[s]), counted(n[s])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for b in batches:
-            for c in chunks(b.column(0), lower=True):
-                h, _ = tokens(c)
-                held.append((h, pairs(h)))
-                size += len(h)
-                if size >= HELD:
-                    yield _rows(flush(held))
-                    held, size = [], 0
-        if held:
-            yield _rows(flush(held))
-
-    return run
-
-
-def _rows(rows: Iterator[tuple]) -> pa.RecordBatch:
-    seg, kind, body, counts = zip(*rows, strict=True)
-    return pa.RecordBatch.from_arrays([pa.array(seg, pa.int32()), pa.array(kind, pa.int32()), pa.array(body, pa.binary()), pa.array(counts, pa.binary())], ["seg", "kind", "body", "counts"])
-
-
-def _summed(table: pa.Table) -> pa.Table:
-    """A segment's rows of one kind as one."""
-    h = np.concatenate([unpacked(b) for b in table.column("body").to_pylist()])
-    n = np.concatenate([uncounted(b) for b in table.column("counts").to_pylist()])
-    u, inv = np.unique(h, return_inverse=True)
-    n = np.bincount(inv, weights=n).astype(np.int64)  # sums stay below 2 ** 53
-    return pa.table({"seg": table.column("seg")[:1].combine_chunks().cast(pa.int32()), "kind": table.column("kind")[:1].combine_chunks().cast(pa.int32()), "body": pa.array([packed(u)], pa.binary()), "counts": pa.array([counted(n)], pa.binary())})
-
-
-def _spectrum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per kind and floor(log2(count)): types and tokens, and those counted once apart (level -1)."""
-    got: dict[tuple[int, int], list[int]] = {}
-    for b in batches:
-        for kind, c in zip(b.column(1).to_pylist(), b.column(3).to_pylist(), strict=True):
-            n = uncounted(c)
-            level = np.frexp(n.astype(float))[1] - 1
-            for j in np.unique(level).tolist():
-                t = got.setdefault((kind, j), [0, 0])
-                t[0] += int((level == j).sum())
-                t[1] += int(n[level == j].sum())
-    rows = [(k, j, a, b) for (k, j), (a, b) in got.items()]
-    yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(4)], ["kind", "level", "types", "tokens"])
+# -- model -----------------------------------------------------------------------------------
 
 
 @dataclass
 class Model:
-    """The scalars of the model; words is the filter, None on the driver once it is broadcast."""
+    """The scalars of the model."""
 
     n: int  # training tokens
     vocabulary: int
-    ends: int
-    shift: int  # least = 2 ** shift
-    size: int  # 64-bit words of the filter
-    pair_mass: float
-    unknown: float  # probability of one word without an item
+    ends: int  # training texts
+    pair_mass: float  # M
+    unknown: float  # U / S
     known_total: float  # Z / (1 - U)
-    false_rate: float = 0.0  # of an n-gram without an item
-    words: np.ndarray | None = field(default=None, repr=False)
+    false_rate: float = 0.0  # F
 
     @property
     def norm(self) -> float:
         return math.log10(self.n + 0.1 * (self.vocabulary + 1))
 
 
-def _model(rows: list, filter_bytes: int) -> Model:
-    got = {(r["kind"], r["level"]): (r["types"], r["tokens"]) for r in rows}
-    n = sum(t for (k, _), (_, t) in got.items() if k == 0)
-    vocabulary = sum(a for (k, _), (a, _) in got.items() if k == 0)
-    shift = 0
-    while sum(a * (j - shift + 1) for (_, j), (a, _) in got.items() if j >= shift) * BITS > filter_bytes * 8:
-        shift += 1
-    items = sum(a * (j - shift + 1) for (_, j), (a, _) in got.items() if j >= shift)
-    mass = lambda kind, low: sum(t for (k, j), (_, t) in got.items() if k == kind and j >= low) / max(n, 1)
-    stored = sum(a for (k, j), (a, _) in got.items() if k == 0 and j >= shift)
-    once = max(shift, 1)
-    u = min(max(1 - mass(0, once), 1 / (n + 1)), 0.999)
-    z = sum(a * 2.0**j for (k, j), (a, _) in got.items() if k == 0 and j >= shift)
-    return Model(n, vocabulary, 0, shift, max(1, -(-items * BITS // 64)), min(mass(1, once), 0.999), u / (1 + vocabulary - stored), z / (1 - u) if z else 1.0)
+def model(spectrum: dict[tuple[int, int], tuple[int, int]], ends: int, false_rate: float = 0.0) -> Model:
+    """The model from how many n-grams (kind, floor(log2(count))) there are, and their counts' sum."""
+    words = {j: x for (kind, j), x in spectrum.items() if kind == 0}
+    n, vocabulary, once = sum(t for _, t in words.values()), sum(a for a, _ in words.values()), words.get(0, (0, 0))[0]
+    u = min(max(once / max(n, 1), 1 / (n + 1)), 0.999)
+    z = sum(a * 2.0**j for j, (a, _) in words.items())
+    again = sum(t for (kind, j), (_, t) in spectrum.items() if kind == 1 and j > 0)
+    return Model(n, vocabulary, ends, min(again / max(n, 1), 0.999), u / max(once, 1), z / (1 - u) if z else 1.0, false_rate)
 
 
 # -- filter ----------------------------------------------------------------------------------
@@ -195,57 +123,6 @@ def item(h: np.ndarray, kind: int, level: int, size: int, side: int) -> tuple[np
     return at.astype(np.int64), bits
 
 
-def _items(shift: int, size: int, shards: int):
-    """Summed rows to the items' places: for each shard of the filter, words and bits."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for kind, body, c in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                n = uncounted(c)
-                level = np.frexp(n.astype(float))[1] - shift
-                h, level = unpacked(body)[level > 0], level[level > 0]
-                if not len(h):
-                    continue
-                got = [item(h[level >= j], kind, j, size, side) for j in range(1, int(level.max()) + 1) for side in (0, 1)]
-                at, bits = (np.concatenate(x) for x in zip(*got, strict=True))
-                order = np.argsort(at, kind="stable")
-                at, bits = at[order], bits[order]
-                cut = np.searchsorted(at, [s * size // shards for s in range(shards)] + [size])
-                rows = [(s, at[cut[s] : cut[s + 1]], bits[cut[s] : cut[s + 1]]) for s in range(shards) if cut[s + 1] > cut[s]]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([r[0] for r in rows], pa.int32()), pa.array([_places(r[1], r[2]) for r in rows], pa.binary())], ["shard", "body"]
-                )
-
-    return run
-
-
-def _places(at: np.ndarray, bits: np.ndarray) -> bytes:
-    """Distinct words of the filter in order (as packed differences) and their bits set."""
-    heads = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
-    both = np.bitwise_or.reduceat(bits, heads)
-    d = np.diff(at[heads], prepend=0).astype(np.uint32)
-    return np.uint32(len(d)).tobytes() + d.tobytes() + both.tobytes()
-
-
-def _bitmap(size: int, shards: int):
-    def run(table: pa.Table) -> pa.Table:
-        s = table.column("shard")[0].as_py()
-        low, high = s * size // shards, (s + 1) * size // shards if s + 1 < shards else size
-        words = np.zeros(high - low, np.uint64)
-        for b in table.column("body").to_pylist():
-            n = int(np.frombuffer(b, np.uint32, 1)[0])
-            at = np.cumsum(np.frombuffer(b, np.uint32, n, 4), dtype=np.int64) - low
-            words[at] |= np.frombuffer(b, np.uint64, n, 4 + 4 * n)
-        return pa.table({"shard": pa.array([s], pa.int32()), "body": pa.array([words.tobytes()], pa.binary())})
-
-    return run
-
-
-def levels(m: Model, h: np.ndarray, kind: int) -> np.ndarray:
-    """The level of each n-gram, by probing."""
-    return _probed(m.words, h, kind)
-
-
 def _probed(words: np.ndarray, h: np.ndarray, kind: int) -> np.ndarray:
     out = np.zeros(len(h), np.int64)
     left = np.arange(len(h))
@@ -282,53 +159,24 @@ def filtered(h: np.ndarray, n: np.ndarray, kind: int, filter_bytes: int) -> tupl
     return out, size, rate
 
 
-def train(docs: DataFrame, filter_bytes: int = FILTER_BYTES) -> Model:
-    """The model of the training documents among docs (doc_id, text), in one filter of filter_bytes."""
-    spark = docs.sparkSession
-    segments = max(4, -(-bytes_of(docs) // SEGMENT))
-    sent = docs.filter(~held_out()).select("text").mapInArrow(_counts(segments), SENT)
-    summed = sent.repartition(segments, "seg").groupBy("seg", "kind").applyInArrow(_summed, SENT)
-    with Written(summed, "ngrams") as counts:
-        rows = counts.mapInArrow(_spectrum, "kind long, level long, types long, tokens long").groupBy("kind", "level").agg(F.sum("types").alias("types"), F.sum("tokens").alias("tokens")).collect()
-        m = _model(rows, filter_bytes)
-        places = counts.mapInArrow(_items(m.shift, m.size, SHARDS), "shard int, body binary")
-        shards = places.repartition(SHARDS, "shard").groupBy("shard").applyInArrow(_bitmap(m.size, SHARDS), "shard int, body binary")
-        m.words = np.zeros(m.size, np.uint64)
-        for r in shards.toLocalIterator():  # at most filter_bytes in all
-            part = np.frombuffer(r["body"], np.uint64)
-            low = r["shard"] * m.size // SHARDS
-            m.words[low : low + len(part)] = part
-        m.false_rate = _rate(m.words)
-    return m
-
-
 # -- scoring ---------------------------------------------------------------------------------
 
 
-def score_tokens(m: Model, h: np.ndarray) -> np.ndarray:
-    """log10 P of each token, given the token before it, by a model with its filter."""
-    u, inv = np.unique(h, return_inverse=True)
-    return scored(m, h, levels(m, u, 0)[inv], levels(m, pairs(h), 1))
-
-
 def scored(m: Model, h: np.ndarray, lv: np.ndarray, pl: np.ndarray) -> np.ndarray:
     """log10 P of each token, from its level and that of its pair with the token before it."""
-    least = 2.0**m.shift
-    p1 = np.where(lv > 0, least * 2.0 ** (lv - 1) / m.known_total, m.unknown)
-    most = least * 2.0**lv - 1  # the highest count of the level
-    most[lv == 0] = 0
+    p1 = np.where(lv > 0, 2.0 ** (lv - 1) / m.known_total, m.unknown)
+    most = 2.0**lv - 1  # the highest count of the level
     before = np.append(m.ends, most[:-1])
     before[np.append(True, h[:-1] == END)] = m.ends
-    seen = np.where(pl > 0, least * 2.0 ** (pl - 1), 0.0)
-    # after a token that isn't in the filter, a pair that is can only be a false positive
-    weight = m.pair_mass * before / (before + m.false_rate * m.vocabulary + 1e-9)
-    both = weight * np.minimum(seen / np.maximum(before, 1), 1.0) + (1 - weight) * p1
+    seen = np.where(pl > 0, 2.0 ** (pl - 1), 0.0)
+    # after an unknown token, a pair that the filter holds can only be a false positive
+    both = m.pair_mass * np.minimum(seen, before) / (before + m.false_rate * m.vocabulary + 1e-9) + (1 - m.pair_mass) * p1
     return np.log10(np.where(before > 0, both, p1))
 
 
-ASKED = "seg int, block long, kind int, body binary, counts binary"
+ASKED = "seg int, block int, kind int, body binary, counts binary"
 #: Rows of block -1 hold what the model's scalars follow from; those of level -1 the filters' words and rate.
-ANSWERED = "seg int, block long, kind int, counts binary, levels binary, level long, types long, tokens long, rate double"
+ANSWERED = "seg int, block int, kind int, counts binary, levels binary, level long, types long, tokens long, rate double"
 
 
 def _ask(segments: int):
@@ -424,18 +272,17 @@ def lm_report(docs: DataFrame, filter_bytes: int = FILTER_BYTES, block: int = BL
     has filter_bytes at most, and there are as many as all n-grams need."""
     spark = docs.sparkSession
     docs = lean(docs).select("doc_id", "text")
-    size = bytes_of(docs)
-    n = max(1, -(-size // block))
-    dealt = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).alias("block"), "doc_id", held_out().alias("held_out"), F.coalesce("text", F.lit("")).alias("text")).repartition(n, "block")
-    segments = max(4, -(-size // SEGMENT))
+    size, ends = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count_if(~held_out())).first()
+    n, segments = max(1, -(-size // block)), max(4, -(-size // SEGMENT))
+    # blocks and segments are dealt by their number: hashing them would put several in one task
+    at = F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int").alias("block")
+    dealt = docs.select(at, "doc_id", held_out().alias("held_out"), F.coalesce("text", F.lit("")).alias("text")).repartitionById(n, F.col("block"))
     asked = dealt.groupBy("block").applyInArrow(_ask(segments), ASKED)
-    answers = kept(asked.repartition(segments, "seg").groupBy("seg").applyInArrow(_answer(filter_bytes), ANSWERED))
-    rows = answers.filter("block < 0").groupBy("kind", "level").agg(*(F.sum(c).alias(c) for c in ("types", "tokens", "rate"))).collect()
+    answers = kept(asked.repartitionById(segments, F.col("seg")).groupBy("seg").applyInArrow(_answer(filter_bytes), ANSWERED))
+    rows = answers.filter("block < 0").groupBy("kind", "level").agg(*(F.sum(c).alias(c) for c in ("types", "tokens", "rate"))).collect()  # at most 2 * LEVELS
     free(spark)  # the shuffles up to the answers
-    m = _model([r for r in rows if r["level"] >= 0], math.inf)
     fill = [r for r in rows if r["level"] < 0]
-    m.false_rate = sum(r["rate"] for r in fill) / max(1, sum(r["types"] for r in fill))
-    m.ends = docs.filter(~held_out()).count()
-    sent = spark.sparkContext.broadcast(m)
-    answers = answers.filter("block >= 0").select("seg", "block", "kind", "counts", "levels")
+    false_rate = sum(r["rate"] for r in fill) / max(1, sum(r["types"] for r in fill))
+    sent = spark.sparkContext.broadcast(model({(r["kind"], r["level"]): (r["types"], r["tokens"]) for r in rows if r["level"] >= 0}, ends, false_rate))
+    answers = answers.filter("block >= 0").select("seg", "block", "kind", "counts", "levels").repartitionById(n, F.col("block"))
     return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(sent), REPORT)

@@ -116,6 +116,12 @@ def bytes_of(df: DataFrame) -> int:
     return df.agg(F.sum(each.cast("long"))).first()[0] or 0
 
 
+def text_bytes(docs: DataFrame, text: str = "text") -> int:
+    """The bytes of all texts, by a job: files say little of that, as they are compressed and have other
+    columns."""
+    return docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+
+
 def parts(df: DataFrame, each: int, least: int = 6, most: int = 200_000) -> int:
     """How many partitions of about `each` bytes hold df."""
     return max(least, min(most, math.ceil(bytes_of(df) / each)))
