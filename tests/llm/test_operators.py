@@ -282,13 +282,39 @@ def test_substrings_against_brute_force(docs, rows, empty):
     assert substrings.substring_report(empty).count() == 0
 
 
-def test_index_compacts_runs(spark, tmp_path, docs):
-    index = substrings.FingerprintIndex(spark, str(tmp_path / "index"), 4)
-    for low in (0, 20, 40, 100, 200):
-        index.dedup(docs.filter(f"doc_id >= {low} AND doc_id < {low + 20}")).collect()
-    assert len(index.runs) <= 3
-    h = [x for r in index.history().collect() for x in substrings.unpacked(bytes(r.body)).tolist()]
+def test_index_compacts_runs_and_opens_again(spark, tmp_path, docs, rows, monkeypatch):
+    """Batch by batch through new index objects, with segments that split: as in one go."""
+    monkeypatch.setattr(substrings, "SEGMENT", 6_000)
+    known = docs.filter("doc_id IS NOT NULL")
+    want = {tuple(r) for r in substrings.substring_report(known).collect()}
+    got, segments = set(), []
+    for low, high in ((0, 30), (30, 60), (60, 101), (101, 110), (110, 220), (220, 10**6)):
+        index = substrings.FingerprintIndex(spark, str(tmp_path / "index"), 1)
+        got |= {tuple(r) for r in index.dedup(docs.filter(f"doc_id >= {low} AND doc_id < {high}")).collect()}
+        segments.append(index.segments)
+    assert got == want and len(index.runs) <= 4 and segments[0] < segments[-1]
+    h = [x for r in index.history().collect() for x in zip(*(p.tolist() for p in substrings._parts(bytes(r.body))), strict=True)]
     assert len(h) == len(set(h)) > 0
+    late, again = (substrings.FingerprintIndex(spark, str(tmp_path / "index")) for _ in range(2))
+    again.dedup(docs.limit(0))
+    with pytest.raises(sharding.Conflict):
+        late.dedup(docs.limit(0))
+    again.vacuum(keep=1, grace=0)
+    assert {p.name for p in (tmp_path / "index").iterdir()} - {"manifest"} == {r.folder.split("/")[0] for r in again.runs}
+    assert sum(again.history().toPandas()["body"].map(lambda b: len(substrings._parts(bytes(b))[0]))) == len(h)
+
+
+def test_fingerprints_that_agree_in_part_are_told_apart():
+    fp, ex = np.array([5, 5, 5, 9], np.uint64), np.array([2, 1, 2, 0], np.uint16)
+    u, e, at = substrings.distinct(fp, ex)
+    assert u.tolist() == [5, 5, 9] and e.tolist() == [1, 2, 0] and at.tolist() == [1, 0, 1, 2]
+    import pyarrow as pa
+
+    row = lambda block, k: {"seg": 0, "block": block, "body": substrings._body(fp[k : k + 1], ex[k : k + 1])}
+    schema = pa.schema([("seg", pa.int32()), ("block", pa.int32()), ("body", pa.binary())])
+    out = substrings._merge(True)(pa.Table.from_pylist([row(-1, 0), row(0, 1), row(1, 2), row(2, 1)], schema)).to_pylist()
+    assert [np.unpackbits(np.frombuffer(r["body"], np.uint8))[0] for r in out if r["block"] >= 0] == [0, 1, 1]
+    assert [substrings._parts(r["body"])[1].tolist() for r in out if r["block"] == -2] == [[1]]
 
 
 # -- 3 ---------------------------------------------------------------------------------------

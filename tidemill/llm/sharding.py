@@ -20,17 +20,15 @@ from __future__ import annotations
 
 import json
 import math
-import time
 import uuid
 from dataclasses import asdict, dataclass
 from functools import reduce
 
-from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import bytes_of, kept, remove, scratch
+from .shared import Conflict, Versions, bytes_of, kept, remove, scratch
 
 FANOUT = 4
 SMALL, TARGET = 4 << 20, 128 << 20
@@ -40,10 +38,6 @@ GROUPS = 128
 GRACE = 24 * 3600
 
 
-class Conflict(RuntimeError):
-    """Another writer has committed this version."""
-
-
 @dataclass(frozen=True)
 class Shard:
     """A file of the store: its name, bytes and rows, and the version that added it."""
@@ -59,62 +53,30 @@ class ShardStore:
 
     def __init__(self, spark: SparkSession, path: str, small: int = SMALL, target: int = TARGET, fanout: int = FANOUT):
         self.spark, self.path, self.small, self.target, self.fanout = spark, path.rstrip("/"), small, target, fanout
-        self._jvm = spark._jvm
-        self._fs = self._path("").getFileSystem(spark._jsc.hadoopConfiguration())
-
-    def _path(self, name: str):
-        return self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
+        self.versions = Versions(spark, path)
+        self._fs, self._path = self.versions.fs, self.versions.at
 
     # -- manifest
 
     def version(self) -> int:
         """The newest committed version; 0 before the first."""
-        at = self._path("manifest")
-        if not self._fs.exists(at):
-            return 0
-        names = [f.getPath().getName() for f in self._fs.listStatus(at)]
-        return max([0, *(int(n[1:-5]) for n in names if n.startswith("v") and n.endswith(".json"))])
+        return self.versions.newest()
 
     def manifest(self, version: int | None = None) -> dict:
         v = self.version() if version is None else version
         if not v:
             return {"version": 0, "schema": None, "shards": []}
-        stream = self._fs.open(self._path(f"manifest/v{v}.json"))
-        try:
-            text = self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-        finally:
-            stream.close()
-        got = json.loads(text)
+        got = self.versions.read(v)
         return got | {"shards": [Shard(**s) for s in got["shards"]]}
 
     def commit(self, base: int, schema: str | None, shards: list[Shard]) -> int:
         """Make `shards` version base + 1. Conflict if that version exists already."""
-        v = base + 1
-        body = json.dumps({"version": v, "schema": schema, "shards": [asdict(s) for s in shards]})
-        tmp, final = self._path(f"manifest/.{uuid.uuid4().hex}"), self._path(f"manifest/v{v}.json")
-        out = self._fs.create(tmp, False)
-        out.write(bytearray(body.encode()))
-        out.close()
-        context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(tmp.toUri() if tmp.toUri().getScheme() else self._fs.getUri(), self._spark_conf())
-        option = self._jvm.org.apache.hadoop.fs.Options.Rename
-        options = self.spark.sparkContext._gateway.new_array(option, 1)
-        options[0] = option.NONE
-        try:
-            context.rename(tmp, final, options)
-        except Py4JJavaError as e:
-            self._fs.delete(tmp, False)
-            if "FileAlreadyExists" in e.java_exception.getClass().getName():
-                raise Conflict(f"version {v} exists") from None
-            raise
-        return v
-
-    def _spark_conf(self):
-        return self.spark._jsc.hadoopConfiguration()
+        return self.versions.commit(base, {"schema": schema, "shards": [asdict(s) for s in shards]})
 
     def _rows(self, at) -> int:
         """The rows of a Parquet file, from its footer."""
-        parquet = self._jvm.org.apache.parquet.hadoop
-        reader = parquet.ParquetFileReader.open(parquet.util.HadoopInputFile.fromPath(at, self._spark_conf()))
+        parquet = self.spark._jvm.org.apache.parquet.hadoop
+        reader = parquet.ParquetFileReader.open(parquet.util.HadoopInputFile.fromPath(at, self.versions.conf))
         try:
             return reader.getRecordCount()
         finally:
@@ -206,18 +168,9 @@ class ShardStore:
     def vacuum(self, keep: int = 2, grace: float = GRACE) -> None:
         """Delete files that none of the last `keep` versions names, and what writers left behind, if
         last written more than `grace` seconds ago. Older versions can't be read any more."""
-        v, before = self.version(), (time.time() - grace) * 1000
+        v = self.version()
         named = {s.name for k in range(max(1, v - keep + 1), v + 1) for s in self.manifest(k)["shards"]}
-        for at in (f for d in ("", "shards") if self._fs.exists(self._path(d)) for f in self._fs.listStatus(self._path(d))):
-            name, old = at.getPath().getName(), self._newest(at) <= before
-            if old and (name.startswith("tmp-") or name.endswith(".parquet") and name not in named):
-                self._fs.delete(at.getPath(), True)
-
-    def _newest(self, at) -> int:
-        """When a file, or any file in a folder, was last written, in milliseconds."""
-        if not at.isDirectory():
-            return at.getModificationTime()
-        return max([at.getModificationTime(), *(self._newest(f) for f in self._fs.listStatus(at.getPath()))])
+        self.versions.sweep(("", "shards"), lambda name: name.startswith("tmp-") or name.endswith(".parquet") and name not in named, grace)
 
     def read(self, version: int | None = None) -> DataFrame:
         """The rows of a version, with their shard's name in __shard."""

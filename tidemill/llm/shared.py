@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import gc
+import json
 import math
 import tempfile
+import time
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -125,3 +128,67 @@ def text_bytes(docs: DataFrame, text: str = "text") -> int:
 def parts(df: DataFrame, each: int, least: int = 6, most: int = 200_000) -> int:
     """How many partitions of about `each` bytes hold df."""
     return max(least, min(most, math.ceil(bytes_of(df) / each)))
+
+
+class Conflict(RuntimeError):
+    """Another writer has committed this version."""
+
+
+class Versions:
+    """Manifests of a table under a path that driver and executors share: JSON objects by version, each
+    created whole or not at all, by one writer only."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path, self._jvm = spark, path.rstrip("/"), spark._jvm
+        self.conf = spark._jsc.hadoopConfiguration()
+        self.fs = self.at("").getFileSystem(self.conf)
+
+    def at(self, name: str):
+        return self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
+
+    def newest(self) -> int:
+        """The newest committed version; 0 before the first."""
+        if not self.fs.exists(self.at("manifest")):
+            return 0
+        names = [f.getPath().getName() for f in self.fs.listStatus(self.at("manifest"))]
+        return max([0, *(int(n[1:-5]) for n in names if n.startswith("v") and n.endswith(".json"))])
+
+    def read(self, version: int) -> dict:
+        stream = self.fs.open(self.at(f"manifest/v{version}.json"))
+        try:
+            return json.loads(self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
+    def commit(self, base: int, body: dict) -> int:
+        """Make body version base + 1, by a rename that fails if it exists: Conflict then."""
+        tmp, final = self.at(f"manifest/.{uuid.uuid4().hex}"), self.at(f"manifest/v{base + 1}.json")
+        out = self.fs.create(tmp, False)
+        out.write(bytearray(json.dumps({"version": base + 1, **body}).encode()))
+        out.close()
+        hadoop = self._jvm.org.apache.hadoop.fs
+        context = hadoop.FileContext.getFileContext(tmp.toUri() if tmp.toUri().getScheme() else self.fs.getUri(), self.conf)
+        options = self.spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 1)
+        options[0] = hadoop.Options.Rename.NONE
+        try:
+            context.rename(tmp, final, options)
+        except Py4JJavaError as e:
+            self.fs.delete(tmp, False)
+            if "FileAlreadyExists" in e.java_exception.getClass().getName():
+                raise Conflict(f"version {base + 1} exists") from None
+            raise
+        return base + 1
+
+    def sweep(self, folders: tuple[str, ...], unnamed, grace: float) -> None:
+        """Delete what unnamed(name) says of the entries in these folders, if last written more than
+        `grace` seconds ago."""
+        before = (time.time() - grace) * 1000
+        for at in (f for d in folders if self.fs.exists(self.at(d)) for f in self.fs.listStatus(self.at(d))):
+            if unnamed(at.getPath().getName()) and self._written(at) <= before:
+                self.fs.delete(at.getPath(), True)
+
+    def _written(self, at) -> int:
+        """When a file, or any file in a folder, was last written, in milliseconds."""
+        if not at.isDirectory():
+            return at.getModificationTime()
+        return max([at.getModificationTime(), *(self._written(f) for f in self.fs.listStatus(at.getPath()))])
