@@ -40,37 +40,70 @@ def run(spark, plan, batches, schemas):
 
 
 N = None
-JOIN = [
-    {"l": [((7, 10), 2), ((N, 3), 1)], "r": []}, {"l": [], "r": [((7, 5), 3), ((8, 20), 1)]}, {"l": [((7, 1), 1), ((8, 40), 2)], "r": []}, {"l": [], "r": [((7, 12), 1), ((N, 4), 1)]},
-    {"l": [], "r": [((7, 5), -2)]}, {"l": [((7, 10), -1)], "r": [((7, 12), -1)]}, {"l": [((8, 40), -2), ((N, 3), -1)], "r": [((9, 9), 1)]},
-]
+
+
+def generated(seed, sides, row, batches=6, events=8):
+    """Batches of random events that never retract a row that isn't there."""
+    rng, live, out = random.Random(seed), {s: Counter() for s in sides}, []
+    for _ in range(batches):
+        got = {s: [] for s in sides}
+        for _ in range(events):
+            s = rng.choice(sides)
+            there = [r for r, n in live[s].items() if n]
+            if there and rng.random() < 0.4:
+                r = rng.choice(sorted(there, key=str))
+                n = -rng.randint(1, live[s][r])
+            else:
+                r, n = row(rng), rng.randint(1, 3)
+            live[s][r] += n
+            got[s].append((r, n))
+        out.append(got)
+    return out
 
 
 @pytest.mark.parametrize(("kind", "residual"), [("inner", None), ("left", "l.v > r.v"), ("full", "l.v > r.v"), ("full", None), ("left_semi", "l.v > r.v"), ("left_anti", None)])
 def test_joins(spark, kind, residual):
     plan = EquiJoin(Scan("l"), Select(Scan("r"), (("k2", "k"), ("v2", "v"))), kind, (("k", "k2"),), None, residual.replace("r.v", "r.v2") if residual else None)
+    batches = generated(len(kind), ("l", "r"), lambda rng: (rng.choice([1, 1, 2, 3, N]), rng.randint(0, 9)))
     seen = {"l": [], "r": []}
-    for b, got in zip(JOIN, run(spark, plan, JOIN, {"l": KV, "r": KV}), strict=True):
+    for b, got in zip(batches, run(spark, plan, batches, {"l": KV, "r": KV}), strict=True):
         for s in seen:
             seen[s] += b[s]
         assert got == joined(fold(seen["l"]), fold(seen["r"]), kind, (lambda l, r: l[1] > r[1]) if residual else (lambda l, r: True))
 
 
 def test_asof(spark):
-    g = "g long, at long, id long"
-    batches = [
-        {"r": [((1, 10, 10), 2), ((1, 30, 30), 1), ((2, 20, 20), 1)]}, {"l": [((1, t, t), 2) for t in range(0, 45, 5)] + [((N, 20, 99), 1), ((1, N, 100), 1), ((2, 20, 21), 1)]},
-        {"r": [((1, 20, 20), 4)]}, {"r": [((1, 20, 20), -4), ((1, 10, 10), -2)]}, {"r": [((1, 15, 15), 1), ((1, 35, 35), 1), ((1, N, 999), 1), ((N, 20, 998), 1)], "l": [((1, 20, 20), -2)]},
-    ]
+    def row(rng):
+        g, at = rng.choice([1, 1, 2, N]), rng.choice([*range(0, 12), N])
+        return g, at, None if at is None else 100 * (g or 0) + at  # one row for each group and order
+
+    batches = generated(8, ("l", "r"), row)
     for op in (">=", "<"):
         plan = AsOfJoin(Scan("l"), Select(Scan("r"), (("g2", "g"), ("at2", "at"), ("id2", "id"))), op, ("at", "at2"), (("g", "g2"),))
         seen = {"l": [], "r": []}
-        for b, got in zip(batches, run(spark, plan, batches, {"l": g, "r": g}), strict=True):
+        for b, got in zip(batches, run(spark, plan, batches, {"l": "g long, at long, id long", "r": "g long, at long, id long"}), strict=True):
             for s in seen:
-                seen[s] += b.get(s, [])
+                seen[s] += b[s]
             assert got == asof(fold(seen["l"]), fold(seen["r"]), op)
 
 
+def test_residuals_of_right_joins_keep_their_literals(spark):
+    from tidemill.operators.joins import join
+
+    left = spark.createDataFrame([(1, "small.x"), (2, "r.v")], "k long, v string")
+    right = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "k long, w string")
+    assert [tuple(r) for r in join(left, right, "right_semi", [("k", "k")], None, "l.v = 'small.x'").collect()] == [(1, "a")]
+    assert sorted(tuple(r) for r in join(left, right, "right_anti", [("k", "k")], None, "l.v = 'r.v' AND r.w = 'b'").collect()) == [(1, "a"), (3, "c")]
+
+
+def test_event_count_overflow_is_an_error(spark):
+    from tidemill.operators.counting import running_event_count
+
+    assert sorted(r[0] for r in running_event_count(spark.range(2), ["id"], (1 << 63) - 3).collect()) == [(1 << 63) - 2, (1 << 63) - 1]
+    with pytest.raises(Exception, match="more events"):
+        running_event_count(spark.range(3), ["id"], (1 << 63) - 3).collect()
+
+
 def test_aggregate_random_and_batch_invariance(spark):
     rng, live, events = random.Random(5), Counter(), []
     while len(events) < 120:
@@ -80,7 +113,7 @@ def test_aggregate_random_and_batch_invariance(spark):
             events.append((row, n))
     calls = (Call("n", "count_star"), Call("nv", "count", "v"), Call("s", "sum", "v"), Call("a", "avg", "v"), Call("lo", "min", "v"), Call("hi", "max", "v"))
     plan = Aggregate(Scan("t"), (("d", "d"),), calls)
-    for size in (30, 120):
+    for size in (10, 120):
         parts = [events[i : i + size] for i in range(0, len(events), size)]
         seen = []
         for p, got in zip(parts, run(spark, plan, [{"t": p} for p in parts], {"t": "d string, v long"}), strict=True):
@@ -88,6 +121,18 @@ def test_aggregate_random_and_batch_invariance(spark):
             assert got == grouped(fold(seen))
 
 
+def test_aggregates_keep_accumulators_and_not_rows(spark):
+    """Without MIN and MAX the state has a row for each group, whatever its input rows."""
+    plan = Aggregate(Scan("t"), (("k", "k"),), (Call("n", "count_star"), Call("s", "sum", "v"), Call("a", "avg", "v")))
+    state = MemoryState(spark)
+    for b in ([((k % 3, k), 1) for k in range(60)], [((0, k), -1) for k in range(0, 60, 3)], [((1, 10**18), 9), ((1, 10**18), -8)]):
+        out = state.once(step(plan, {"t": change(spark, b)}, state, lambda n: spark.createDataFrame([], KV)))
+        state.commit()
+    assert sum(df.count() for df in state.relations.values()) == 2
+    assert bag(out) == {(1, 20, 590, 29.5): -1, (1, 21, 590 + 10**18, (590 + 10**18) / 21): 1}
+    state.close()
+
+
 def test_distinct_keeps_zeros_of_either_sign_apart(spark):
     batches = [{"t": [((-0.0,), 1), ((0.0,), 2)]}, {"t": [((0.0,), -1)]}, {"t": [((0.0,), -1)]}]
     got = [sorted(str(r[0]) for r in g) for g in _floats(spark, batches)]

@@ -10,12 +10,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one where it is unset, as in tests."""
+    """The folder of spark.checkpoint.dir; a temporary one where it is unset on one machine, as in
+    tests. On a cluster it has to be set."""
     sc = spark.sparkContext
     set_to = sc._jsc.sc().getCheckpointDir()
     if set_to.isDefined():
         return set_to.get()
-    path = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tidemill-")
+    path = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        path = "file://" + tempfile.mkdtemp(prefix="tidemill-")
     sc.setCheckpointDir(path)
     return path
 

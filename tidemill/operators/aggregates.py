@@ -105,3 +105,79 @@ def aggregate(df: DataFrame, keys: list[tuple[str, str]], calls: list[Call], str
         return out
     out = out.withColumn("__w", nonnegative(F.col("__w"), "aggregate")).filter("__w > 0").drop("__w")
     return out.withColumn(DIFF, F.lit(1).cast("long"))
+
+
+class Accumulators:
+    """The state of an aggregate over weighted rows: for each group its weight (__w), and for each
+    argument the weight of its values that aren't null (__c) and their sum (__s). Columns are the keys
+    and these; MIN and MAX are read off the values of their argument."""
+
+    def __init__(self, df: DataFrame, keys: list[tuple[str, str]], calls: list[Call]):
+        self.given, self.calls, self.keys = keys, calls, [n for n, _ in keys]
+        self.arguments = list(dict.fromkeys(c.argument for c in calls if c.argument is not None))
+        self.types = {a: _typed(df, a) for a in self.arguments}
+        self.sums = [a for a in self.arguments if any(c.argument == a and c.function in ("sum", "avg") for c in calls)]
+        self.extremes = [a for a in self.arguments if any(c.argument == a and c.function in ("min", "max") for c in calls)]
+
+    @staticmethod
+    def of(df: DataFrame, keys: list[tuple[str, str]], calls: list[Call], strict: bool) -> Accumulators | None:
+        """None where sums wouldn't be exact, or groups not be told apart by equality: floats."""
+        validate(df, keys, calls, strict)
+        acc = Accumulators(df, keys, calls)
+        exact = all(is_integral(acc.types[a]) for a in acc.sums) and not any(is_float(acc.types[a]) for a in acc.extremes)
+        return acc if exact and not any(is_float(_typed(df, e)) for _, e in keys) else None
+
+    def _at(self, a: str) -> int:
+        return self.arguments.index(a)
+
+    def slim(self, df: DataFrame) -> DataFrame:
+        return df.select(*(as_column(e).alias(n) for n, e in self.given), *(as_column(a).alias(f"__a{i}") for i, a in enumerate(self.arguments)), F.col(DIFF))
+
+    def _totals(self, df: DataFrame, columns: list[Column]) -> DataFrame:
+        return df.groupBy(*(F.col(q(n)) for n in self.keys)).agg(*columns)
+
+    def summed(self, slim: DataFrame) -> DataFrame:
+        w = F.col(DIFF)
+        counts = [F.sum(F.when(F.col(f"__a{i}").isNotNull(), w).otherwise(F.lit(0).cast("long"))).alias(f"__c{i}") for i in range(len(self.arguments))]
+        sums = [F.coalesce(F.sum((F.col(f"__a{self._at(a)}").cast("decimal(20,0)") * w.cast("decimal(18,0)")).cast("decimal(38,0)")), F.lit(0)).cast("decimal(38,0)").alias(f"__s{self._at(a)}") for a in self.sums]
+        return self._totals(slim, [F.sum(w).alias("__w"), *counts, *sums])
+
+    def added(self, old: DataFrame, change: DataFrame) -> DataFrame:
+        """The accumulators after a change; groups that are empty then are gone."""
+        names = [c for c in change.columns if c not in self.keys]
+        kept = [nonnegative(F.sum(c), "aggregate").alias(c) if c[2] in "wc" else F.sum(c).cast("decimal(38,0)").alias(c) for c in names]
+        return self._totals(old.select(*change.columns).unionByName(change), kept).filter("__w > 0")
+
+    def values(self, slim: DataFrame, a: str) -> DataFrame:
+        at = slim.select(*(F.col(q(n)) for n in self.keys), F.col(f"__a{self._at(a)}").alias("__v"), F.col(DIFF)).filter(F.col("__v").isNotNull())
+        return consolidated(at, signed=True)
+
+    def ends(self, values: DataFrame, a: str) -> DataFrame:
+        i = self._at(a)
+        return self._totals(values, [F.min("__v").alias(f"__lo{i}"), F.max("__v").alias(f"__hi{i}")])
+
+    def rendered(self, acc: DataFrame, ends: list[DataFrame]) -> DataFrame:
+        """The rows that the aggregate gives for these groups."""
+        out = acc
+        for n, end in enumerate(ends):
+            e = end.select(*(F.col(q(k)).alias(f"__j{i}") for i, k in enumerate(self.keys)), *(c for c in end.columns if c not in self.keys))
+            on = F.lit(True)
+            for i, k in enumerate(self.keys):
+                on = on & F.col(q(k)).eqNullSafe(F.col(f"__j{i}"))
+            out = out.join(e, on, "left").drop(*(f"__j{i}" for i in range(len(self.keys))))
+        cols = [F.col(q(k)) for k in self.keys]
+        for c in self.calls:
+            i = None if c.argument is None else self._at(c.argument)
+            if c.function == "count_star":
+                x = F.col("__w")
+            elif c.function == "count":
+                x = F.col(f"__c{i}")
+            elif c.function in ("min", "max"):
+                x = F.col(f"__{'lo' if c.function == 'min' else 'hi'}{i}")
+            elif c.function == "sum":
+                t = self.types[c.argument]
+                x = F.when(F.col(f"__c{i}") > 0, F.col(f"__s{i}").cast(UINT64 if t == UINT64 else T.LongType()))
+            else:
+                x = F.when(F.col(f"__c{i}") > 0, F.col(f"__s{i}").cast("double") / F.col(f"__c{i}").cast("double"))
+            cols.append(x.alias(c.name))
+        return out.select(*cols)

@@ -21,4 +21,6 @@ def running_event_count(df: DataFrame, order: list[str], start: int = 0, name: s
     cut = checkpointed(cut.select("__p", "__i"))  # ranges are found by sampling: both uses must see the same
     sizes = cut.groupBy("__p").agg(F.count("*").alias("__n"))
     before = sizes.select("__p", F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    return cut.join(before, "__p").select((F.col("__before") + F.col("__i") + 1 + F.lit(start)).cast("long").alias(name))
+    total = F.col("__before").cast("decimal(20,0)") + F.col("__i") + 1 + F.lit(start)  # narrowed with an error
+    fits = F.when(total > (1 << 63) - 1, F.raise_error(F.lit("event count: more events than 64 bits count")).cast("long")).otherwise(total.cast("long"))
+    return cut.join(before, "__p").select(fits.alias(name))

@@ -37,9 +37,6 @@ def join(left: DataFrame, right: DataFrame, kind: str, keys: list[tuple[str, str
     over l.* and r.*. names: of all columns, left's first; for semi and anti joins of their side's.
     NULL keys match nothing. A matched pair has the product of its weights."""
     validate(left, right, kind, keys, residual)
-    if kind in ("right_semi", "right_anti"):
-        swapped = None if residual is None else residual.replace("l.", "\0").replace("r.", "l.").replace("\0", "r.")
-        return join(right, left, kind.replace("right", "left"), [(b, a) for a, b in keys], names, swapped)
     heavy = weighted(left) or weighted(right)
     if heavy:
         left, right = with_diff(left), with_diff(right)
@@ -47,14 +44,16 @@ def join(left: DataFrame, right: DataFrame, kind: str, keys: list[tuple[str, str
     l = left.select("*", *(F.expr(a).alias(f"__l{i}") for i, (a, _) in enumerate(keys))).alias("l")
     r = right.select("*", *(F.expr(b).alias(f"__r{i}") for i, (_, b) in enumerate(keys))).alias("r")
     on = F.expr(" AND ".join([f"l.__l{i} = r.__r{i}" for i in range(len(keys))] + ([f"({residual})"] if residual else [])))
-    both = l.join(r, on, KINDS[kind])
     semi = KINDS[kind] in ("left_semi", "left_anti")
-    cols = [f"l.{q(c)}" for c in data(left)] + ([] if semi else [f"r.{q(c)}" for c in data(right)])
-    names = names or [*data(left), *([] if semi else data(right))]
+    one = "r" if kind.startswith("right_") else "l"  # the side that a semi or anti join keeps
+    both = r.join(l, on, KINDS[kind]) if one == "r" else l.join(r, on, KINDS[kind])
+    own = right if one == "r" else left
+    cols = [f"{one}.{q(c)}" for c in data(own)] + ([] if semi else [f"r.{q(c)}" for c in data(right)])
+    names = names or [*data(own), *([] if semi else data(right))]
     if len(names) != len(cols) or len(set(names)) != len(names):
         raise OperatorError("output names repeat or don't fit")
     out = [F.col(c).alias(n) for c, n in zip(cols, names, strict=True)]
     if heavy:
-        d = F.col(f"l.{DIFF}") if semi else F.coalesce(F.col(f"l.{DIFF}"), F.lit(1)) * F.coalesce(F.col(f"r.{DIFF}"), F.lit(1))
+        d = F.col(f"{one}.{DIFF}") if semi else F.coalesce(F.col(f"l.{DIFF}"), F.lit(1)) * F.coalesce(F.col(f"r.{DIFF}"), F.lit(1))
         out.append(d.cast("long").alias(DIFF))
     return both.select(*out)

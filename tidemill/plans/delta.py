@@ -5,7 +5,9 @@ kept as state. With K the keys that the inputs' changes touch (rows for distinct
 aggregate, equality keys for joins), the change is op(new state on K) minus op(old state on K): right
 for every join kind, residuals and historical ASOF matches included, at a cost of the touched keys.
 An inner join takes the two-term form instead: change of left with new right, old left with change of
-right. Rows with a NULL key match nothing and need no state.
+right. Rows with a NULL key match nothing and need no state. An aggregate keeps accumulators instead of
+rows: a group's weight, and the count and the sum of each argument; for MIN and MAX the values of
+the argument with their weights.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from pyspark.sql import functions as F
 from ..functions.changes import consolidated, data, difference, q, with_diff
 from ..functions.storage import Work
 from ..functions.types import DIFF, ORD
+from ..operators.aggregates import Accumulators
 from ..operators.counting import running_event_count
 from ..operators.joins import join
 from .batch import PlanError, apply
@@ -111,11 +114,36 @@ def step(plan: Node, changes: dict[str, DataFrame], state: State, empty: Callabl
             total = state.number(name)
             out = with_diff(running_event_count(events, order, total))
             state.put_number(name, total + events.count())
+        elif isinstance(n, Aggregate) and (acc := Accumulators.of(deltas[0], list(n.keys), list(n.calls), n.strict)):
+            out = accumulated(acc, name, deltas[0].drop(ORD))
         else:
             out = stateful(n, name, [state.once(consolidated(d.drop(ORD), signed=True)) for d in deltas])
         done[n] = out
         return out
 
+    def accumulated(acc: Accumulators, name: str, delta: DataFrame) -> DataFrame:
+        slim = state.once(acc.slim(delta))
+        s = [q(k) for k in acc.keys]
+        ks = [f"__k{i}" for i in range(len(s))]
+        keys = state.once(_keyed(slim, s).select(*ks).distinct())
+
+        def touched(own: str, like: DataFrame) -> DataFrame:
+            before = _touched(_keyed(state.old(own, like, keys), s), keys, len(s)).drop(*ks)
+            return consolidated(before, name)
+
+        change = acc.summed(slim)
+        old = state.once(touched(f"{name}-sums", change))
+        new = state.once(acc.added(old, change))
+        state.add(f"{name}-sums", _keyed(state.once(difference(with_diff(new), with_diff(old))), s), ks)
+        ends_old, ends_new = [], []
+        for i, a in enumerate(acc.extremes):
+            change = state.once(acc.values(slim, a))
+            before = touched(f"{name}-values{i}", change)
+            state.add(f"{name}-values{i}", _keyed(change, s), ks)
+            ends_old.append(acc.ends(before, a))
+            ends_new.append(acc.ends(consolidated(before.unionByName(change), name), a))
+        return difference(with_diff(acc.rendered(new, ends_new)), with_diff(acc.rendered(old, ends_old)))
+
     def stateful(n: Node, name: str, deltas: list[DataFrame]) -> DataFrame:
         if isinstance(n, Distinct):
             sides = [data(deltas[0])]

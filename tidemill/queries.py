@@ -19,7 +19,7 @@ from .plans.batch import evaluate
 from .plans.delta import MemoryState, step
 from .plans.nodes import Aggregate, AsOfJoin, Distinct, EquiJoin, Filter, Node, RunningEventCount, Scan, Select, UnionAll
 from .sinks.relational import VersionedSink
-from .sources.cdc import decoded, envelopes
+from .sources.cdc import decoded, envelopes, updates
 from .sql.program import Program
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -132,26 +132,26 @@ register_sql("pipe_aggregate", "SELECT * FROM {events} |> WHERE user_id > 10 |>
 # -- joins -----------------------------------------------------------------------------------
 
 _L = Select(ORDERS, S("o_orderkey", "o_custkey", ("total", cents("o_totalprice"))))
-_R = Filter(Select(CUSTOMER, S("c_custkey", "c_mktsegment", ("balance", cents("c_acctbal")))), "c_custkey % 3 <> 0")
-_ORACLE = "(SELECT o_orderkey, o_custkey, CAST(round(o_totalprice * 100) AS BIGINT) AS total FROM orders) l {} JOIN (SELECT c_custkey, c_mktsegment, CAST(round(c_acctbal * 100) AS BIGINT) AS balance FROM customer WHERE c_custkey % 3 <> 0) r ON o_custkey = c_custkey{}"
-#: All customers, for the same joins on whole tables (join_..._all).
-_R_ALL = Select(CUSTOMER, S("c_custkey", "c_mktsegment", ("balance", cents("c_acctbal"))))
-_ORACLE_ALL = "(SELECT o_orderkey, o_custkey, CAST(round(o_totalprice * 100) AS BIGINT) AS total FROM orders) l {} JOIN (SELECT c_custkey, c_mktsegment, CAST(round(c_acctbal * 100) AS BIGINT) AS balance FROM customer) r ON o_custkey = c_custkey{}"
-for _name, _kind, _sql, _residual in (
-    ("join_inner", "inner", "INNER", ""), ("join_left", "left", "LEFT", ""), ("join_right", "right", "RIGHT", ""), ("join_full", "full", "FULL", ""), ("join_left_semi", "left_semi", "SEMI", ""), ("join_left_anti", "left_anti", "ANTI", ""),
-    ("join_inner_residual", "inner", "INNER", "total > balance * 20"), ("join_left_residual", "left", "LEFT", "total > balance * 20"), ("join_right_residual", "right", "RIGHT", "total > balance * 20"), ("join_full_residual", "full", "FULL", "total > balance * 20"), ("join_left_semi_residual", "left_semi", "SEMI", "total > balance * 20"), ("join_left_anti_residual", "left_anti", "ANTI", "total > balance * 20"),
+_R = Select(CUSTOMER, S("c_custkey", "c_mktsegment", ("balance", cents("c_acctbal"))))
+#: Customers of one segment only, so that orders too are left without a partner in outer and anti joins.
+_SOME = Filter(_R, "c_mktsegment <> 'BUILDING'")
+_LS = "(SELECT o_orderkey, o_custkey, CAST(round(o_totalprice * 100) AS BIGINT) AS total FROM orders) l"
+_RS = "(SELECT c_custkey, c_mktsegment, CAST(round(c_acctbal * 100) AS BIGINT) AS balance FROM customer{}) r"
+for _name, _kind, _sql, _side in (
+    ("join_inner", "inner", "INNER", _R), ("join_left", "left", "LEFT", _SOME), ("join_right", "right", "RIGHT", _R), ("join_full", "full", "FULL", _SOME), ("join_left_semi", "left_semi", "SEMI", _SOME), ("join_left_anti", "left_anti", "ANTI", _SOME),
 ):
-    register(_name, EquiJoin(_L, _R, _kind, (("o_custkey", "c_custkey"),), None, "l.total > r.balance * 20" if _residual else None), ("orders", "customer"), f"SELECT * FROM {_ORACLE.format(_sql, ' AND ' + _residual if _residual else '')}")
-    register(f"{_name}_all", EquiJoin(_L, _R_ALL, _kind, (("o_custkey", "c_custkey"),), None, "l.total > r.balance * 20" if _residual else None), ("orders", "customer"), f"SELECT * FROM {_ORACLE_ALL.format(_sql, ' AND ' + _residual if _residual else '')}")
-register_sql("join_right_semi", "SELECT c_custkey, c_name FROM {orders} AS o RIGHT SEMI JOIN {customer} AS c ON o.o_custkey = c.c_custkey AND o.o_orderkey > 2000", "SELECT c_custkey, c_name FROM customer SEMI JOIN orders ON o_custkey = c_custkey AND o_orderkey > 2000")
-register_sql("join_right_anti", "SELECT c_custkey, c_name FROM {orders} AS o RIGHT ANTI JOIN {customer} AS c ON o.o_custkey = c.c_custkey AND o.o_orderkey > 2000", "SELECT c_custkey, c_name FROM customer ANTI JOIN orders ON o_custkey = c_custkey AND o_orderkey > 2000")
+    for _tail, _residual in (("", None), ("_residual", "total > balance * 20")):
+        _from = f"{_LS} {_sql} JOIN {_RS.format(' WHERE c_mktsegment <> ' + repr('BUILDING') if _side is _SOME else '')} ON o_custkey = c_custkey{' AND ' + _residual if _residual else ''}"
+        register(_name + _tail, EquiJoin(_L, _side, _kind, (("o_custkey", "c_custkey"),), None, "l.total > r.balance * 20" if _residual else None), ("orders", "customer"), f"SELECT * FROM {_from}")
+for _kind in ("semi", "anti"):
+    # a residual with the aliases' names in a literal
+    register(
+        f"join_right_{_kind}_residual", EquiJoin(_L, _R, f"right_{_kind}", (("o_custkey", "c_custkey"),), None, "l.total > r.balance * 40 AND r.c_mktsegment <> 'l. or r.'"), ("orders", "customer"),
+        f"SELECT * FROM {_RS.format('')} {_kind.upper()} JOIN {_LS} ON o_custkey = c_custkey AND total > balance * 40",
+    )
+    register_sql(f"join_right_{_kind}", f"SELECT c_custkey, c_name FROM {{orders}} AS o RIGHT {_kind.upper()} JOIN {{customer}} AS c ON o.o_custkey = c.c_custkey AND o.o_orderstatus = 'P'", f"SELECT c_custkey, c_name FROM customer {_kind.upper()} JOIN orders ON o_custkey = c_custkey AND o_orderstatus = 'P'")
 register_sql(
-    "self_join", "WITH e AS (SELECT event_id, user_id, event_type FROM {events} WHERE user_id % 10 = 3) SELECT a.event_id AS first_id, b.event_id AS second_id FROM e AS a JOIN e AS b ON a.user_id = b.user_id AND a.event_id < b.event_id AND a.event_type <> b.event_type",
-    "SELECT a.event_id AS first_id, b.event_id AS second_id FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_id < b.event_id AND a.event_type <> b.event_type WHERE a.user_id % 10 = 3",
-)
-#: self_join over the events of all users.
-register_sql(
-    "self_join_all", "WITH e AS (SELECT event_id, user_id, event_type FROM {events}) SELECT a.event_id AS first_id, b.event_id AS second_id FROM e AS a JOIN e AS b ON a.user_id = b.user_id AND a.event_id < b.event_id AND a.event_type <> b.event_type",
+    "self_join", "WITH e AS (SELECT event_id, user_id, event_type FROM {events}) SELECT a.event_id AS first_id, b.event_id AS second_id FROM e AS a JOIN e AS b ON a.user_id = b.user_id AND a.event_id < b.event_id AND a.event_type <> b.event_type",
     "SELECT a.event_id AS first_id, b.event_id AS second_id FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_id < b.event_id AND a.event_type <> b.event_type",
 )
 register(
@@ -177,8 +177,8 @@ register_sql(
 # -- sequences, counts -----------------------------------------------------------------------
 
 register_sql(
-    "sequence_even_squares", "WITH numbers AS (SELECT CAST(sequence.value AS BIGINT) AS number FROM sequence(start => 0)) SELECT number, number * number AS square, CASE WHEN number >= 10 THEN 'large' ELSE 'small' END AS size FROM numbers WHERE number % 2 = 0",
-    "SELECT range AS number, range * range AS square, CASE WHEN range >= 10 THEN 'large' ELSE 'small' END AS size FROM range(1000) WHERE range % 2 = 0",
+    "sequence_leap_years", "WITH years AS (SELECT CAST(sequence.value AS BIGINT) AS y FROM sequence(start => 1600)) SELECT y, y / 100 AS century, CASE WHEN y % 400 = 0 THEN 'by 400' WHEN y % 100 = 0 THEN 'none' ELSE 'by 4' END AS rule FROM years WHERE y % 4 = 0",
+    "SELECT range AS y, range // 100 AS century, CASE WHEN range % 400 = 0 THEN 'by 400' WHEN range % 100 = 0 THEN 'none' ELSE 'by 4' END AS rule FROM range(1600, 2600) WHERE range % 4 = 0",
 )
 register("running_event_count", RunningEventCount(EVENTS, ("event_id",)), ("events",), "SELECT row_number() OVER (ORDER BY event_id) AS event_count FROM events")
 
@@ -234,17 +234,49 @@ _DO = f"(SELECT o_orderkey, o_custkey, CAST(round(o_totalprice * 100) AS BIGINT)
 for _name, _kind, _sql, _residual in (("delta_join_inner", "inner", "INNER", ""), ("delta_join_left", "left", "LEFT", ""), ("delta_join_full_residual", "full", "FULL", "total > balance * 20"), ("delta_join_left_semi", "left_semi", "SEMI", ""), ("delta_join_left_anti_residual", "left_anti", "ANTI", "total > balance * 20")):
     register_changes(_name, EquiJoin(_DL, _DR, _kind, (("o_custkey", "c_custkey"),), None, "l.total > r.balance * 20" if _residual else None), {"orders": "o_orderkey", "customer": "c_custkey"}, f"SELECT * FROM {_DO.format(_sql, ' AND ' + _residual if _residual else '')}")
 register_changes("delta_asof", AsOfJoin(_BUY, _VIEW, ">=", ("ts", "view_ts"), (("user_id", "view_user"),)), {"events": "event_id"}, f"SELECT event_id, user_id, ts, view_user, view_ts, view_id FROM (SELECT * FROM {_E} WHERE event_type = 'purchase') b ASOF LEFT JOIN (SELECT user_id AS view_user, ts AS view_ts, min(event_id) AS view_id FROM {_E} WHERE event_type = 'view' GROUP BY ALL) v ON b.user_id = v.view_user AND b.ts >= v.view_ts")
-register_changes("delta_self_join", EquiJoin(Select(Filter(EVENTS, "user_id % 10 = 3"), S("event_id", "user_id")), Select(Filter(EVENTS, "user_id % 10 = 3"), S(("other_id", "event_id"), ("other_user", "user_id"))), "inner", (("user_id", "other_user"),), None, "l.event_id < r.other_id"), {"events": "event_id"}, f"SELECT a.event_id, a.user_id, b.event_id AS other_id, b.user_id AS other_user FROM {_E} a JOIN {_E} b ON a.user_id = b.user_id AND a.event_id < b.event_id WHERE a.user_id % 10 = 3")
-register_changes("delta_self_join_all", EquiJoin(Select(EVENTS, S("event_id", "user_id")), Select(EVENTS, S(("other_id", "event_id"), ("other_user", "user_id"))), "inner", (("user_id", "other_user"),), None, "l.event_id < r.other_id"), {"events": "event_id"}, f"SELECT a.event_id, a.user_id, b.event_id AS other_id, b.user_id AS other_user FROM {_E} a JOIN {_E} b ON a.user_id = b.user_id AND a.event_id < b.event_id")
+register_changes("delta_self_join", EquiJoin(Select(EVENTS, S("event_id", "user_id")), Select(EVENTS, S(("other_id", "event_id"), ("other_user", "user_id"))), "inner", (("user_id", "other_user"),), None, "l.event_id < r.other_id"), {"events": "event_id"}, f"SELECT a.event_id, a.user_id, b.event_id AS other_id, b.user_id AS other_user FROM {_E} a JOIN {_E} b ON a.user_id = b.user_id AND a.event_id < b.event_id")
+
+
+_CAPTURED = T.StructType([T.StructField("o_orderkey", T.LongType(), False), T.StructField("o_custkey", T.LongType()), T.StructField("o_orderstatus", T.StringType())])
+
+
+def captured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "orders")["orders"].select(*_CAPTURED.names)
 
 
 @query("SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_orderkey % 7 <> 0")
 def cdc_decode_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A capture: a snapshot, then an update of every row there and back, then deletions."""
-    t = read(spark, sf_dir, "orders")["orders"].select("o_orderkey", "o_custkey", "o_orderstatus")
-    schema = T.StructType([T.StructField("o_orderkey", T.LongType(), False), T.StructField("o_custkey", T.LongType()), T.StructField("o_orderstatus", T.StringType())])
+    """A capture: a snapshot of all rows, then deletions of some."""
+    t = captured(spark, sf_dir)
     rows = envelopes(t, "r").unionByName(envelopes(t.filter("o_orderkey % 7 = 0"), "d"))
-    return expanded(folded([decoded(rows, schema).drop(ORD)]))
+    return expanded(folded([decoded(rows, _CAPTURED).drop(ORD)]))
+
+
+@query("SELECT o_orderkey, o_custkey, CASE WHEN o_orderstatus = 'O' THEN 'shipped' ELSE o_orderstatus END AS o_orderstatus FROM orders WHERE o_orderstatus <> 'P'")
+def cdc_update_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that come by c events, an update of every open order, and deletions of those in part."""
+    t = captured(spark, sf_dir)
+    open_ = t.filter("o_orderstatus = 'O'")
+    moved = updates(open_, open_.withColumn("o_orderstatus", F.lit("shipped")), "o_orderkey")
+    rows = envelopes(t, "c").unionByName(moved).unionByName(envelopes(t.filter("o_orderstatus = 'P'"), "d"))
+    return expanded(folded([decoded(rows, _CAPTURED, snapshot=False).drop(ORD)]))
+
+
+@query("SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderstatus <> 'F' GROUP BY ALL")
+def mysql_cdc_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A program over a capture's files, snapshot and then deletions, into versioned files; their view."""
+    t, root = captured(spark, sf_dir), f"{checkpoint_dir(spark)}/capture-{uuid.uuid4().hex}"
+    folder = Folder(spark, root)
+    folder.create("shop.orders.schema.json", _CAPTURED.json())
+    program = Program.parse(f"INSERT INTO doris(connection => '{root}/out', table => 'totals') SELECT o_custkey, COUNT(*) AS n FROM mysql_cdc(connection => '{root}', table => 'shop.orders') GROUP BY o_custkey")
+    running = None
+    for part in (envelopes(t, "r"), envelopes(t.filter("o_orderstatus = 'F'"), "d")):
+        part.write.mode("append").text(f"{root}/shop.orders")
+        running = running or program.start(spark, f"{root}/state")
+        running.advance()
+    got = checkpointed(VersionedSink(spark, f"{root}/out/totals").current().drop("__id"))
+    folder.delete()
+    return got
 
 
 @query("SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderkey % 4 <> 0 GROUP BY ALL")
@@ -273,37 +305,28 @@ register_sql(
     "SELECT o_orderkey, o_custkey, c_mktsegment FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'F'",
 )
 register_sql(
-    "pipeline_reconciliation",
-    """WITH expected AS (SELECT o_orderkey AS id, o_custkey AS merchant FROM {orders} WHERE o_orderkey % 5 <> 0), settled AS (SELECT l_orderkey AS id, COUNT(*) AS items FROM {lineitem} WHERE l_orderkey % 7 <> 0 GROUP BY l_orderkey)
-    SELECT expected.id AS order_id, settled.id AS settled_id, expected.merchant, settled.items, CASE WHEN expected.id IS NULL THEN 'missing_order' WHEN settled.id IS NULL THEN 'awaiting' WHEN settled.items >= 4 THEN 'matched' ELSE 'partial' END AS status FROM expected FULL OUTER JOIN settled ON expected.id = settled.id""",
-    """SELECT e.id AS order_id, s.id AS settled_id, merchant, items, CASE WHEN e.id IS NULL THEN 'missing_order' WHEN s.id IS NULL THEN 'awaiting' WHEN items >= 4 THEN 'matched' ELSE 'partial' END AS status
-    FROM (SELECT o_orderkey AS id, o_custkey AS merchant FROM orders WHERE o_orderkey % 5 <> 0) e FULL JOIN (SELECT l_orderkey AS id, count(*) AS items FROM lineitem WHERE l_orderkey % 7 <> 0 GROUP BY ALL) s ON e.id = s.id""",
-)
-#: pipeline_reconciliation over all orders and lines.
-register_sql(
-    "pipeline_reconciliation_all",
-    """WITH expected AS (SELECT o_orderkey AS id, o_custkey AS merchant FROM {orders}), settled AS (SELECT l_orderkey AS id, COUNT(*) AS items FROM {lineitem} GROUP BY l_orderkey)
-    SELECT expected.id AS order_id, settled.id AS settled_id, expected.merchant, settled.items, CASE WHEN expected.id IS NULL THEN 'missing_order' WHEN settled.id IS NULL THEN 'awaiting' WHEN settled.items >= 4 THEN 'matched' ELSE 'partial' END AS status FROM expected FULL OUTER JOIN settled ON expected.id = settled.id""",
-    """SELECT e.id AS order_id, s.id AS settled_id, merchant, items, CASE WHEN e.id IS NULL THEN 'missing_order' WHEN s.id IS NULL THEN 'awaiting' WHEN items >= 4 THEN 'matched' ELSE 'partial' END AS status
-    FROM (SELECT o_orderkey AS id, o_custkey AS merchant FROM orders) e FULL JOIN (SELECT l_orderkey AS id, count(*) AS items FROM lineitem GROUP BY ALL) s ON e.id = s.id""",
+    "pipeline_supplier_returns",
+    """WITH sold AS (SELECT l_suppkey, COUNT(*) AS n_sold, SUM(CAST(l_quantity AS BIGINT)) AS units FROM {lineitem} GROUP BY l_suppkey),
+    returned AS (SELECT l_suppkey AS suppkey, COUNT(*) AS n_returned FROM {lineitem} WHERE l_returnflag = 'R' AND CAST(l_quantity AS BIGINT) > 45 GROUP BY l_suppkey)
+    SELECT s.s_suppkey, sold.n_sold, sold.units, returned.n_returned, CASE WHEN returned.n_returned IS NULL THEN 'clean' WHEN returned.n_returned * 25 > sold.n_sold THEN 'watch' ELSE 'usual' END AS grade
+    FROM {supplier} AS s LEFT JOIN sold ON s.s_suppkey = sold.l_suppkey LEFT JOIN returned ON s.s_suppkey = returned.suppkey""",
+    """SELECT s_suppkey, n_sold, units, n_returned, CASE WHEN n_returned IS NULL THEN 'clean' WHEN n_returned * 25 > n_sold THEN 'watch' ELSE 'usual' END AS grade FROM supplier
+    LEFT JOIN (SELECT l_suppkey, count(*) AS n_sold, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS units FROM lineitem GROUP BY ALL) ON s_suppkey = l_suppkey
+    LEFT JOIN (SELECT l_suppkey AS k, count(*) AS n_returned FROM lineitem WHERE l_returnflag = 'R' AND CAST(l_quantity AS BIGINT) > 45 GROUP BY ALL) ON s_suppkey = k""",
 )
 register_sql(
-    "pipeline_fulfillment",
-    """WITH priced AS (SELECT l_orderkey, l_returnflag, l_linestatus, CAST(l_quantity AS BIGINT) * l_partkey AS subtotal, CAST(l_linenumber AS BIGINT) AS pct FROM {lineitem}),
-    enriched AS (SELECT l_orderkey, l_returnflag, subtotal, subtotal - (subtotal * pct / 100) AS payable FROM priced WHERE l_linestatus = 'F'),
-    qualified AS (SELECT l_orderkey, l_returnflag, subtotal, payable, CASE WHEN payable >= 40000 THEN 'priority' ELSE 'standard' END AS lane FROM enriched WHERE payable >= 10000)
-    SELECT l_orderkey, subtotal, payable, 'NEAR' AS center, lane, 'regional' AS reason FROM qualified WHERE l_returnflag = 'A' OR l_returnflag = 'R'
-    UNION ALL SELECT l_orderkey, subtotal, payable, 'FAR' AS center, lane, CASE WHEN payable >= 40000 THEN 'review' ELSE NULL END AS reason FROM qualified WHERE l_returnflag <> 'A' AND l_returnflag <> 'R'""",
-    """WITH e AS (SELECT l_orderkey, l_returnflag, CAST(l_quantity AS BIGINT) * l_partkey AS subtotal, CAST(l_linenumber AS BIGINT) AS pct FROM lineitem WHERE l_linestatus = 'F'),
-    q AS (SELECT *, subtotal - (subtotal * pct // 100) AS payable FROM e)
-    SELECT l_orderkey, subtotal, payable, CASE WHEN l_returnflag IN ('A', 'R') THEN 'NEAR' ELSE 'FAR' END AS center, CASE WHEN payable >= 40000 THEN 'priority' ELSE 'standard' END AS lane,
-    CASE WHEN l_returnflag IN ('A', 'R') THEN 'regional' WHEN payable >= 40000 THEN 'review' END AS reason FROM q WHERE payable >= 10000""",
+    "pipeline_region_calendar",
+    """WITH placed AS (SELECT o.o_orderkey, o.o_orderpriority, c.c_nationkey FROM {orders} AS o JOIN {customer} AS c ON o.o_custkey = c.c_custkey WHERE o.o_orderdate >= TIMESTAMP '1996-01-01 00:00:00'),
+    urgent AS (SELECT r.r_name, placed.o_orderkey FROM placed JOIN {nation} AS n ON placed.c_nationkey = n.n_nationkey JOIN {region} AS r ON n.n_regionkey = r.r_regionkey WHERE placed.o_orderpriority LIKE '1-%' OR placed.o_orderpriority LIKE '2-%')
+    SELECT r_name, COUNT(*) AS n, MIN(o_orderkey) AS first_order, MAX(o_orderkey) AS last_order FROM urgent GROUP BY r_name HAVING COUNT(*) > 5""",
+    """SELECT r_name, count(*) AS n, min(o_orderkey) AS first_order, max(o_orderkey) AS last_order FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+    WHERE o_orderdate >= TIMESTAMP '1996-01-01 00:00:00' AND (o_orderpriority LIKE '1-%' OR o_orderpriority LIKE '2-%') GROUP BY ALL HAVING count(*) > 5""",
 )
 register_sql(
-    "pipeline_trade_quality",
-    """SELECT f.event_id, f.user_id, f.ts, q.quoted_at, q.mid / 2 AS half, CASE WHEN f.side = 1 THEN f.event_id - q.mid / 2 ELSE q.mid / 2 - f.event_id END AS slip
-    FROM (SELECT event_id, user_id, ts, event_id % 2 AS side FROM {events} WHERE event_type = 'purchase') AS f
-    ASOF JOIN (SELECT user_id, ts AS quoted_at, MAX(event_id) AS mid FROM {events} WHERE event_type = 'view' GROUP BY user_id, ts) AS q MATCH_CONDITION (f.ts >= q.quoted_at) ON f.user_id = q.user_id""",
-    """SELECT f.event_id, f.user_id, f.ts, quoted_at, mid // 2 AS half, CASE WHEN f.event_id % 2 = 1 THEN f.event_id - mid // 2 ELSE mid // 2 - f.event_id END AS slip
-    FROM (SELECT * FROM events WHERE event_type = 'purchase') f ASOF LEFT JOIN (SELECT user_id, ts AS quoted_at, max(event_id) AS mid FROM events WHERE event_type = 'view' GROUP BY ALL) q ON f.user_id = q.user_id AND f.ts >= q.quoted_at""",
+    "pipeline_click_to_signup",
+    """WITH clicks AS (SELECT user_id, ts AS clicked, COUNT(*) AS at_once FROM {events} WHERE event_type = 'click' GROUP BY user_id, ts),
+    later AS (SELECT e.event_id, e.event_type, c.clicked FROM {events} AS e ASOF JOIN clicks AS c MATCH_CONDITION (e.ts > c.clicked) ON e.user_id = c.user_id WHERE e.event_type <> 'click')
+    SELECT event_type, COUNT(*) AS n, COUNT(clicked) AS n_after_click, MAX(clicked) AS last_click FROM later GROUP BY event_type""",
+    """SELECT event_type, count(*) AS n, count(clicked) AS n_after_click, max(clicked) AS last_click FROM (SELECT * FROM events WHERE event_type <> 'click') e
+    ASOF LEFT JOIN (SELECT DISTINCT user_id, ts AS clicked FROM events WHERE event_type = 'click') c ON e.user_id = c.user_id AND e.ts > c.clicked GROUP BY ALL""",
 )

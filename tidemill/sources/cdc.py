@@ -62,3 +62,10 @@ def envelopes(df: DataFrame, op: str = "c") -> DataFrame:
     none = F.lit(None).cast(df.schema)
     payload = F.struct((image if op == "d" else none).alias("before"), (none if op == "d" else image).alias("after"), F.lit(op).alias("op"))
     return df.select(F.to_json(F.struct(payload.alias("payload")), {"ignoreNullFields": "false"}).alias("value"))
+
+
+def updates(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
+    """Rows and what they become, matched by a key, as u envelopes."""
+    image = lambda df, name: df.select(F.col(q(key)).alias("__key"), F.struct(*(F.col(q(c)) for c in df.columns)).alias(name))
+    both = image(before, "before").join(image(after, "after"), "__key")
+    return both.select(F.to_json(F.struct(F.struct("before", "after", F.lit("u").alias("op")).alias("payload")), {"ignoreNullFields": "false"}).alias("value"))
