@@ -47,7 +47,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .codec import counted, cuts, packed, uncounted, unpacked
-from .shared import free, kept, lean
+from .shared import Written, free, kept, lean
 from .words import _ODD, Chunk, chunks, hash_words, mix
 
 FILTER_BYTES, BITS, PROBES = 32 << 20, 32, 4
@@ -278,11 +278,12 @@ def lm_report(docs: DataFrame, filter_bytes: int = FILTER_BYTES, block: int = BL
     at = F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int").alias("block")
     dealt = docs.select(at, "doc_id", held_out().alias("held_out"), F.coalesce("text", F.lit("")).alias("text")).repartitionById(n, F.col("block"))
     asked = dealt.groupBy("block").applyInArrow(_ask(segments), ASKED)
-    answers = kept(asked.repartitionById(segments, F.col("seg")).groupBy("seg").applyInArrow(_answer(filter_bytes), ANSWERED))
-    rows = answers.filter("block < 0").groupBy("kind", "level").agg(*(F.sum(c).alias(c) for c in ("types", "tokens", "rate"))).collect()  # at most 2 * LEVELS
-    free(spark)  # the shuffles up to the answers
-    fill = [r for r in rows if r["level"] < 0]
-    false_rate = sum(r["rate"] for r in fill) / max(1, sum(r["types"] for r in fill))
-    sent = spark.sparkContext.broadcast(model({(r["kind"], r["level"]): (r["types"], r["tokens"]) for r in rows if r["level"] >= 0}, ends, false_rate))
-    answers = answers.filter("block >= 0").select("seg", "block", "kind", "counts", "levels").repartitionById(n, F.col("block"))
-    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(sent), REPORT)
+    answers = asked.repartitionById(segments, F.col("seg")).groupBy("seg").applyInArrow(_answer(filter_bytes), ANSWERED)
+    with Written(answers, "answers") as answers:
+        free(spark)  # the shuffles up to the answers
+        rows = answers.filter("block < 0").groupBy("kind", "level").agg(*(F.sum(c).alias(c) for c in ("types", "tokens", "rate"))).collect()  # at most 2 * LEVELS
+        fill = [r for r in rows if r["level"] < 0]
+        false_rate = sum(r["rate"] for r in fill) / max(1, sum(r["types"] for r in fill))
+        sent = spark.sparkContext.broadcast(model({(r["kind"], r["level"]): (r["types"], r["tokens"]) for r in rows if r["level"] >= 0}, ends, false_rate))
+        answers = answers.filter("block >= 0").select("seg", "block", "kind", "counts", "levels").repartitionById(n, F.col("block"))
+        return kept(dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(sent), REPORT))
