@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .codec import cuts, packed, unpacked
-from .shared import Versions, kept, lean, remove, scratch, text_bytes
+from .shared import Versions, free, kept, lean, remove, scratch, text_bytes
 from .words import _ODD, chunks, covered, grams, hash_words, mix
 
 WINDOW = 20
@@ -278,16 +278,17 @@ class FingerprintIndex:
         if (old := self.history()) is not None:
             sent = sent.unionByName(old)
         merged = sent.repartitionById(segments, F.col("seg")).groupBy("seg").applyInArrow(_merge(append), SENT)
+        folder = f"batch-{uuid.uuid4().hex}"
+        merged.withColumn("kind", F.when(F.col("block") >= 0, "bits").otherwise("run")).write.partitionBy("kind").parquet(f"{self.path}/{folder}")
+        there = lambda name: self.versions.fs.exists(self.versions.at(name))
         if append:
-            folder = f"batch-{uuid.uuid4().hex}"
-            merged.withColumn("kind", F.when(F.col("block") >= 0, "bits").otherwise("run")).write.partitionBy("kind").parquet(f"{self.path}/{folder}")
             run = f"{folder}/kind=run"
-            new = [Run(run, self._bytes(run), segments)] if self.versions.fs.exists(self.versions.at(run)) else []
-            self._commit([*self.runs, *new], self.seen + size)
+            self._commit([*self.runs, *([Run(run, self._bytes(run), segments)] if there(run) else [])], self.seen + size)
             self.compact()
-            bits = f"{folder}/kind=bits"
-            merged = self.spark.read.schema(SENT).parquet(f"{self.path}/{bits}") if self.versions.fs.exists(self.versions.at(bits)) else self.spark.createDataFrame([], SENT)
-        bits = merged.repartitionById(blocks, F.col("block"))
+        free(self.spark)  # the shuffles up to the bits
+        bits = f"{folder}/kind=bits"
+        bits = self.spark.read.schema(SENT).parquet(f"{self.path}/{bits}") if there(bits) else self.spark.createDataFrame([], SENT)
+        bits = bits.repartitionById(blocks, F.col("block"))
         return dealt.groupBy("block").cogroup(bits.groupBy("block")).applyInArrow(_cut(segments, self.window), REPORT)
 
     def compact(self) -> None:
