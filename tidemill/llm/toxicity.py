@@ -2,7 +2,7 @@
 
 A character trigram model is counted over the letters of all documents. In each text, words that look
 obfuscated (leet characters or separators between letters, leet characters at either end, a letter
-three times or more, three letters or more spaced out) become a lattice: what each character may stand
+three times or more, three letters or more spaced out by at most three characters) become a lattice: what each character may stand
 for, runs that may collapse, separators and leet characters at an end that may vanish. The Viterbi path under the model and the channel's costs is the restored word.
 
 Restored and plain words give features: hashes of the word and of its beginnings. A logistic
@@ -10,7 +10,9 @@ regression over the features with the largest evidence is fitted on a bounded sa
 rows: at most SAMPLE, those with the smallest hash of doc_id, never rows whose
 crc32(doc_id) mod 5 is 0. Labels, lang, source and doc_id are no inputs of a score.
 
-Null and empty texts have no features and get the model's prior. Repeated rows are scored one by
+Null and empty texts have no features and get the model's prior; very long ones are read whole, word
+by word. Null doc_ids are scored and not fitted on. Ties of evidence are broken by the feature's hash.
+Empty documents give no rows. Other columns are not looked at, whatever their names. Repeated rows are scored one by
 one. Labels for absent documents, and null labels, are ignored; without any label of both kinds all
 scores are the share of toxic labels (0 without labels). All passes are narrow but for the counts of the
 sample's features.
@@ -141,10 +143,10 @@ def suspects(c: Chunk, starts: np.ndarray, ends: np.ndarray, doc: np.ndarray) ->
     same = doc[1:] == doc[:-1]
     gap = starts[1:] - ends[:-1]
     odd, blank = (np.concatenate([[0], np.cumsum(x)]) for x in (~(_GAP | SPACE)[data], SPACE[data]))
-    near = same & (gap <= 3) & (odd[starts[1:]] == odd[ends[:-1]])
+    near = same & (odd[starts[1:]] == odd[ends[:-1]])
     blanks = blank[starts[1:]] > blank[ends[:-1]]
     leet = near & ~blanks
-    spaced = near & blanks & (size[1:] == 1) & (size[:-1] == 1)
+    spaced = near & (gap <= 3) & blanks & (size[1:] == 1) & (size[:-1] == 1)
     chain = np.zeros(n + 1, bool)  # spaced runs count from two links on
     if n > 2:
         ok = spaced[:-1] & spaced[1:]
