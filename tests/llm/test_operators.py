@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from itertools import groupby
 
 import numpy as np
 import pytest
@@ -442,6 +443,41 @@ def test_restoring_obfuscated_words(spark):
         assert toxicity.restore(t, m) == want
 
 
+def test_viterbi_finds_the_best_of_all_readings(spark):
+    """Against every reading of a token's lattice."""
+    from itertools import product
+
+    m = toxicity.CharModel.of(spark.createDataFrame([(1, "such an idiot and a moron with less tools all over the good book " * 5)], "doc_id long, text string"))
+    rng = random.Random(9)
+
+    def cost(text):
+        a, b, total = 0, 0, 0.0
+        for x in [*map(toxicity._class, text), 0]:
+            total += m.rows[a][b][x]
+            a, b = b, x
+        return total
+
+    for _ in range(150):
+        token = "".join(rng.choice("idotlsmn013$@!-.") * rng.choice([1, 1, 1, 2, 3]) for _ in range(rng.randint(1, 6)))
+        runs = [(c, len(list(g))) for c, g in groupby(token)]
+        letters = [k for k, (c, _) in enumerate(runs) if c.isalpha()]
+        first, last = (letters[0], letters[-1]) if letters else (0, len(runs) - 1)
+        options = []
+        for k, (c, r) in enumerate(runs):
+            if c in toxicity.LEET:
+                o = [(x * j, 1.0 + 0.3 * (j - 1)) for x in toxicity.LEET[c] for j in (1, 2) if j <= r]
+                options.append([*o, ("", 1.5)] if c in "!|" or not first <= k <= last else o)
+            elif c.isalpha():
+                options.append([(c, 0.0)] if r == 1 else [(c * 2, 0.0), (c, 2.0)] if r == 2 else [(c, 0.0), (c * 2, 0.2)])
+            else:
+                options.append([("", 0.0)])
+        price = {}
+        for path in product(*options):
+            text = "".join(t for t, _ in path)
+            price[text] = min(price.get(text, math.inf), sum(x for _, x in path) + cost(text))
+        assert price[toxicity.restore(token, m)] <= min(price.values()) + 1e-6, token
+
+
 def test_obfuscation_at_ends_and_by_wider_spacing_is_decoded(spark):
     import pyarrow as pa
 
@@ -456,7 +492,7 @@ def test_obfuscation_at_ends_and_by_wider_spacing_is_decoded(spark):
         r.features(next(words.chunks(pa.array([t, "x"]), lower=True)))
         return seen
 
-    for t, want in (("a dumba55", "dumbass"), ("asshol3 he", "asshole"), ("an !diot", "idiot"), ("8itch", "bitch"), ("(an idiot!)", "idiot"), ("i  d  i  o  t", "idiot"), ("i - d - i - o - t", "idiot"), ("p i g", "pig")):
+    for t, want in (("a dumba55", "dumbass"), ("asshol3 he", "asshole"), ("an !diot", "idiot"), ("8itch", "bitch"), ("(an idiot!)", "idiot"), ("i  d  i  o  t", "idiot"), ("i - d - i - o - t", "idiot"), ("p i g", "pig"), ("i----d----i----o----t", "idiot")):
         assert want in decoded(t), (t, decoded(t))
     assert decoded("a fat pig") == [] and decoded("such - an - idiot") == []
 
@@ -603,6 +639,35 @@ def test_shards_survive_other_writers_and_readers(spark, tmp_path, docs):
     assert store.read().count() == docs.filter("doc_id IS NOT NULL").count()
 
 
+def test_null_ids_long_texts_and_names_that_clash(spark):
+    """Rows without an id, one very long text, and columns named like those inside the operators."""
+    rng = random.Random(4)
+    text = lambda n: " ".join(f"w{rng.randrange(5000)}" for _ in range(n))
+    near, long_ = text(90), text(60_000)
+    rows = [(None, near), (None, near), (3, near + " more"), (None, None), (5, long_), (6, ""), (7, text(80)), (8, long_ + " end")]
+    names = ["__near_cls", "__near_at", "__near_rep", "__near_same", "__id", "__th", "__row", "__copies", "__i", "__shard", "__shard_arrival", "__quality", "h", "at", "seed", "size", "block", "cls", "n", "value"]
+    df = spark.createDataFrame([(*r, "s", *range(len(names))) for r in rows], "doc_id long, text string, source string, " + ", ".join(f"{n} long" for n in names))
+    near_ = {(r.doc_id, r.component_id, r.kept) for r in neardup.neardup_report(df).collect()}
+    assert near_ == {(None, 3, False), (None, None, True), (3, 3, True), (5, 5, True), (6, 6, True), (7, 7, True), (8, 5, False)}
+    kept = neardup.deduplicated(df)
+    assert kept.columns == df.columns and Counter(r.doc_id for r in kept.collect()) == {3: 1, 5: 1, 6: 1, 7: 1, None: 1}
+    bench = spark.createDataFrame([(1, " ".join(near.split()[20:50])), (2, " ".join(long_.split()[30_000:30_020]))], "item_id long, text string")
+    clean = decontam.clean(df, bench)
+    assert clean.columns == df.columns and Counter(r.doc_id for r in clean.collect()) == {None: 1, 6: 1, 7: 1}
+    assert Counter((r.doc_id, r.n_items) for r in decontam.decontamination_report(df, bench).collect()) == {(None, 1): 2, (3, 1): 1, (None, 0): 1, (5, 1): 1, (6, 0): 1, (7, 0): 1, (8, 1): 1}
+    mixed = mixing.mixed(df)
+    assert mixed.columns == df.columns and mixed.count() == 8  # one source takes all its words
+    good = quality.keep_good(df)
+    assert good.columns == df.columns and {r.doc_id for r in good.collect()} >= {None, 3, 7}
+    assert Counter((r.doc_id, r.n_removed) for r in substrings.substring_report(df).collect()) == {(3, 0): 1, (None, 90): 2, (None, 0): 1, (5, 0): 1, (6, 0): 1, (7, 0): 1, (8, 60_000): 1}
+    scored = lm.lm_report(df).collect()
+    assert len(scored) == 8 and not any(r.held_out for r in scored if r.doc_id is None)
+    shards = sharding.shard_report(df).collect()
+    assert Counter(r.doc_id for r in shards) == Counter(i for i, _ in rows) and {r.merges_due for r in shards} == {0}
+    labels = spark.createDataFrame([(3, 1), (7, 0), (None, 1)], "doc_id long, toxic long")
+    assert toxicity.toxicity_report(df, labels).count() == 8
+
+
 # -- pipeline --------------------------------------------------------------------------------
 
 

@@ -6,7 +6,8 @@ a stream: a conversation is never held as a whole. A conversation of more than P
 becomes several rows (conv_id, piece, text, loss), cut between turns.
 
 Null text or role: empty. Null conv_id: one conversation without an id. Null turns come first; ties
-and repeated rows are turns of their own. Empty table: nothing (but for rows that a query adds).
+and repeated rows are turns of their own. Very long texts are rendered whole, turn by turn. Empty
+table: nothing (but for rows that a query adds). Other columns are not looked at, whatever their names.
 """
 
 from __future__ import annotations

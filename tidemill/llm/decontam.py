@@ -18,7 +18,7 @@ words are compared once and reported each by its item_id; texts that share an id
 one. Null, empty or very short texts hold what fits in them; very long ones are handled position by
 position. Null items are ignored. Ties of windows count once: matched is the largest. An empty
 benchmark contaminates nothing, empty documents give no rows. Other columns are passed on, whatever
-their names, but for __id and __th.
+their names.
 """
 
 from __future__ import annotations
@@ -26,6 +26,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import fresh
 from .words import WORD
 
 #: Looked-at positions of each mask.
@@ -113,8 +114,9 @@ def decontamination_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without an overlap, with their own columns."""
-    found = overlaps(docs, benchmark).select(F.col("doc_id").alias("__id"), F.col("th").alias("__th")).distinct()
-    return docs.join(found, docs["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__th")), "left_anti")
+    known, th = fresh(docs, "__id"), fresh(docs, "__th")
+    found = overlaps(docs, benchmark).select(F.col("doc_id").alias(known), F.col("th").alias(th)).distinct()
+    return docs.join(found, docs["doc_id"].eqNullSafe(F.col(known)) & (F.xxhash64(docs["text"]) == F.col(th)), "left_anti")
 
 
 def _key(mask: tuple[int, ...], k: int) -> str:

@@ -10,8 +10,12 @@ host with a third of all pages, or a line on all of them, is no hot key. The boi
 at most (lines per page / RATIO) hashes, so it is kept as one array; pages are joined with it on
 (host, salt), the salt from the page's id.
 
-Null url: the host ''. Null html: no lines. Repeated rows are pages of their own; an empty table
-gives an empty result.
+Lines are known by 64-bit hashes, which are not verified: two lines of a host share one with a chance
+of 3e-8 among a million.
+
+Null url: the host ''. Null or empty html: no lines. Very long pages are split whole, in their row.
+Null page_ids and repeated rows are pages of their own; a line at exactly the ratio stays. An empty
+table gives an empty result. Other columns are not looked at, whatever their names.
 """
 
 from __future__ import annotations

@@ -15,7 +15,9 @@ buckets' counts are summed within the source, and documents only within their bu
 so what is taken, doesn't depend on the buckets.
 
 Null text: no words, target share 0 words. Null source: a source of its own, the last. Repeated
-rows are documents of their own. An empty table gives an empty result.
+rows are documents of their own; null doc_ids come last among equal sizes, ties of both by a hash of
+the text. Empty and very long texts count their words like any. An empty table gives an empty result.
+Other columns are passed on as one struct, whatever their names.
 """
 
 from __future__ import annotations

@@ -31,7 +31,7 @@ Null text: empty. Very long texts: sketched and confirmed whole, one text at a t
 empty table gives empty results. Repeated rows share their class; ties of frequency or centrality
 change which pairs are compared, never the result. Rows with the same doc_id and different texts are
 different documents with that id. Null doc_ids are larger than all others as representatives. Other
-columns are passed on, whatever their names, but for those that begin with __near_.
+columns are passed on, whatever their names.
 """
 
 from __future__ import annotations
@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .shared import Steps, free, kept, lean
+from .shared import Steps, free, fresh, kept, lean
 from .words import Chunk, chunks, grams, hash_words, mix
 
 SHINGLE = 5
@@ -203,7 +203,8 @@ def _labelled(links: DataFrame, step: Steps) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, cls and n of docs; cls and component_id of all classes that link with another)."""
+    """(doc_id, cls and n of docs; cls, component_id and the class that is kept, of all classes that link
+    with another)."""
     with Steps(docs.sparkSession, "near") as step:
         sk, group = _near_duplicates(docs, step)
         return kept(sk.select("doc_id", "cls", "n")), kept(group)
@@ -274,8 +275,9 @@ def _near_duplicates(docs: DataFrame, step: Steps) -> tuple[DataFrame, DataFrame
         # what has led has met all others
         left = step(at.join(led, "value").join(lead.select("value", F.col("cls_a").alias("cls")), ["value", "cls"], "left_anti").select("value", "cls", "n", "central"))
         turn += 1
-    component = label.join(classes, "cls").groupBy("comp").agg(F.min("rep").alias("component_id"))
-    return sk, label.join(component, "comp").select("cls", "component_id")
+    first = F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "cls")).alias("first")  # null ids come last
+    component = label.join(classes, "cls").groupBy("comp").agg(first).select("comp", F.col("first.rep").alias("component_id"), F.col("first.cls").alias("keeper"))
+    return sk, label.join(component, "comp").select("cls", "component_id", "keeper")
 
 
 def _sizes(a: str, b: str) -> F.Column:
@@ -338,12 +340,12 @@ def neardup_report(docs: DataFrame) -> DataFrame:
     )
 
 
-def _passing(column: int):
+def _passing(column: int, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [s for c in chunks(b.column(column), lower=True) for s in shingle_sets(c)]
             cls = pa.array(np.array([class_of(s) if len(s) else 0 for s in sets], np.uint64).view(np.int64), mask=np.array([not len(s) for s in sets], bool))
-            yield pa.RecordBatch.from_arrays([*b.columns, cls], [*b.schema.names, "__near_cls"])
+            yield pa.RecordBatch.from_arrays([*b.columns, cls], [*b.schema.names, name])
 
     return run
 
@@ -353,9 +355,10 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     repeated rows one stays; documents without words are in no group and all stay."""
     sk, group = near_duplicates(docs)
     first = sk.filter("n > 0").groupBy("cls", "n").agg(F.min("doc_id").alias("rep")).join(group, "cls", "left")
-    stay = first.filter(F.coalesce(F.col("component_id") == F.col("rep"), F.lit(True))).select(F.col("rep").alias("__near_rep"), F.col("cls").alias("__near_own"))
-    classed = lean(docs).mapInArrow(_passing(docs.columns.index("text")), T.StructType([*docs.schema.fields, T.StructField("__near_cls", T.LongType())]))
-    words = classed.join(stay, classed["doc_id"].eqNullSafe(F.col("__near_rep")) & (F.col("__near_cls") == F.col("__near_own")), "left_semi")
-    one = words.withColumn("__near_at", F.row_number().over(Window.partitionBy("doc_id", "__near_cls").orderBy(F.lit(1)))).filter("__near_at = 1")
+    cls, at, rep, same = (fresh(docs, f"__near_{x}") for x in ("cls", "at", "rep", "same"))
+    stay = first.filter(F.col("keeper").isNull() | (F.col("keeper") == F.col("cls"))).select(F.col("rep").alias(rep), F.col("cls").alias(same))
+    classed = lean(docs).mapInArrow(_passing(docs.columns.index("text"), cls), T.StructType([*docs.schema.fields, T.StructField(cls, T.LongType())]))
+    words = classed.join(stay, classed["doc_id"].eqNullSafe(F.col(rep)) & (F.col(cls) == F.col(same)), "left_semi")
+    one = words.withColumn(at, F.row_number().over(Window.partitionBy("doc_id", cls).orderBy(F.lit(1)))).filter(F.col(at) == 1)
     own = [F.col(f"`{c}`") for c in docs.columns]
-    return one.select(*own).union(classed.filter("__near_cls IS NULL").select(*own))
+    return one.select(*own).union(classed.filter(F.col(cls).isNull()).select(*own))

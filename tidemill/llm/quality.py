@@ -5,7 +5,9 @@ texts at once: ranks are salted by text, and only suffixes that still tie are so
 common prefixes of neighbours come from the saved ranks by binary lifting. The LCP intervals give
 the maximal repeated substrings; the union of their spans and the longest of them are limited.
 
-Nulls and empty texts have no words and fail the base rule. Repeated rows are judged one by one.
+Nulls and empty texts have no words and fail the base rule. A very long text is a chunk of its own,
+with arrays of about 30 times its bytes. Null doc_ids and repeated rows are judged one by one; ties
+among repeats are all counted. An empty table gives an empty result. Other columns are passed on.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import lean
+from .shared import fresh, lean
 from .words import Chunk, chunks, covered, hash_words, mix
 
 #: Repeats shorter than this many words don't count towards the covered fraction.
@@ -122,22 +124,22 @@ def judged(c: Chunk) -> dict[str, np.ndarray]:
     return out
 
 
-def _judge(text_col: int):
+def _judge(text_col: int, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = [judged(c) for c in chunks(b.column(text_col))]
             cols = {f.name: np.concatenate([g[f.name] for g in got]) if got else np.zeros(0) for f in VERDICT}
             arrays = [pa.array(cols[f.name], pa.bool_() if f.dataType == T.BooleanType() else pa.int64()) for f in VERDICT]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.StructArray.from_arrays(arrays, VERDICT.names)], [*b.schema.names, "__quality"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.StructArray.from_arrays(arrays, VERDICT.names)], [*b.schema.names, name])
 
     return run
 
 
-def judge(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with a struct column __quality, the verdict on each text. One narrow pass over the
+def judge(docs: DataFrame, text: str = "text", name: str = "__quality") -> DataFrame:
+    """docs with a struct column of this name, the verdict on each text. One narrow pass over the
     rows: no shuffle; memory is bounded by one Arrow batch and the arrays of one chunk."""
-    schema = T.StructType([*docs.schema.fields, T.StructField("__quality", VERDICT)])
-    return lean(docs).mapInArrow(_judge(docs.columns.index(text)), schema)
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, VERDICT)])
+    return lean(docs).mapInArrow(_judge(docs.columns.index(text), name), schema)
 
 
 def quality_report(docs: DataFrame) -> DataFrame:
@@ -147,4 +149,5 @@ def quality_report(docs: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The documents whose verdict is to stay, with their own columns."""
-    return judge(docs).filter(F.col("__quality.kept")).select(*(F.col(f"`{c}`") for c in docs.columns))
+    name = fresh(docs, "__quality")
+    return judge(docs, name=name).filter(F.col(f"{name}.kept")).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import Conflict, Versions, bytes_of, kept, remove, scratch
+from .shared import Conflict, Versions, bytes_of, fresh, kept, remove, scratch
 
 FANOUT = 4
 SMALL, TARGET = 4 << 20, 128 << 20
@@ -173,15 +173,17 @@ class ShardStore:
         self.versions.sweep(("", "shards"), lambda name: name.startswith("tmp-") or name.endswith(".parquet") and name not in named, grace)
 
     def read(self, version: int | None = None) -> DataFrame:
-        """The rows of a version, with their shard's name in __shard."""
+        """The rows of a version, with their shard's name in __shard (with underscores after it, if the
+        rows have such a column)."""
         now = self.manifest(version)
         if not now["schema"]:
             raise ValueError("the store is empty")
         schema = T.StructType.fromJson(json.loads(now["schema"]))
         if not now["shards"]:
-            return self.spark.createDataFrame([], schema).withColumn("__shard", F.lit(""))
+            none = self.spark.createDataFrame([], schema)
+            return none.withColumn(fresh(none, "__shard"), F.lit(""))
         df = self.spark.read.schema(schema).parquet(*(f"{self.path}/shards/{s.name}" for s in now["shards"]))
-        return df.withColumn("__shard", F.regexp_extract(F.input_file_name(), "([^/]+)$", 1))
+        return df.withColumn(fresh(df, "__shard"), F.regexp_extract(F.input_file_name(), "([^/]+)$", 1))
 
 
 ARRIVALS = 6
@@ -195,13 +197,14 @@ def shard_report(docs: DataFrame, small: int = SMALL, target: int = TARGET) -> D
     path = scratch(spark, "shards")
     store = ShardStore(spark, path, small, target)
     digest = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 8), 16, 10).cast("long")
-    dealt = docs.withColumn("__shard_arrival", F.pmod(digest, F.lit(ARRIVALS)))
+    arrival = fresh(docs, "__shard_arrival")
+    dealt = docs.withColumn(arrival, F.pmod(digest, F.lit(ARRIVALS)))
     size = bytes_of(docs) // ARRIVALS + 1
     for k in range(ARRIVALS):
-        store.append(dealt.filter(F.col("__shard_arrival") == k), size)
+        store.append(dealt.filter(F.col(arrival) == k), size)
         store.compact()
         store.vacuum(keep=1, grace=0)  # no one else knows this store
-    out = store.read().select("doc_id", F.col("__shard_arrival").alias("arrival"), F.sha2("text", 256).alias("text_sha256"))
+    out = store.read().select("doc_id", F.col(arrival).alias("arrival"), F.sha2("text", 256).alias("text_sha256"))
     out = kept(out.withColumn("merges_due", F.lit(len(store.plan(store.manifest()["shards"]))).cast("long")))
     remove(spark, path)
     return out

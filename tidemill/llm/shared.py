@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir. Where it is unset, as in tests on one machine, a
-    temporary folder is set for the session."""
+    """The folder named in spark.checkpoint.dir. Where it is unset on one machine, as in tests, a
+    temporary folder is set for the session; on a cluster that is an error."""
     sc = spark.sparkContext
     if at := sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None):
         if not sc._jsc.sc().getCheckpointDir().isDefined():
@@ -24,6 +24,8 @@ def shared_dir(spark: SparkSession) -> str:
         return at.rstrip("/")
     if (own := sc._jsc.sc().getCheckpointDir()).isDefined():
         return own.get().rstrip("/")
+    if not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
     path = "file://" + tempfile.mkdtemp(prefix="tidemill-")
     sc.setCheckpointDir(path)
     return path
@@ -48,6 +50,14 @@ def lean(df: DataFrame) -> DataFrame:
     return df
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A name like this that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def remove(spark: SparkSession, path: str) -> None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
