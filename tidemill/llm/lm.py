@@ -47,7 +47,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .codec import counted, cuts, packed, uncounted, unpacked
-from .shared import Written, free, kept, lean
+from .shared import SETTLE, Written, free, kept, lean
 from .words import _ODD, Chunk, chunks, hash_words, mix
 
 FILTER_BYTES, BITS, PROBES = 32 << 20, 32, 4
@@ -280,7 +280,7 @@ def lm_report(docs: DataFrame, filter_bytes: int = FILTER_BYTES, block: int = BL
     asked = dealt.groupBy("block").applyInArrow(_ask(segments), ASKED)
     answers = asked.repartitionById(segments, F.col("seg")).groupBy("seg").applyInArrow(_answer(filter_bytes), ANSWERED)
     with Written(answers, "answers") as answers:
-        free(spark)  # the shuffles up to the answers
+        free(spark, SETTLE)  # the shuffles up to the answers
         rows = answers.filter("block < 0").groupBy("kind", "level").agg(*(F.sum(c).alias(c) for c in ("types", "tokens", "rate"))).collect()  # at most 2 * LEVELS
         fill = [r for r in rows if r["level"] < 0]
         false_rate = sum(r["rate"] for r in fill) / max(1, sum(r["types"] for r in fill))

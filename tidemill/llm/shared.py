@@ -31,13 +31,21 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-def free(spark: SparkSession) -> None:
+def free(spark: SparkSession, settle: float = 0) -> None:
     """Let Spark remove the shuffle files of tables that are gone: it does when the driver's heap is
-    collected, which a loop of many small jobs may not cause for long."""
+    collected, which a loop of many small jobs may not cause for long. Python lets go of the JVM's
+    tables in a thread that looks about once a second: `settle` waits for those just dropped."""
     gc.collect()
+    for pause in (settle, settle) if settle else ():  # the second collection gets what hung on the first's
+        spark._jvm.System.gc()
+        time.sleep(pause)
     spark._jvm.System.gc()
 
 
+#: Seconds after which a table that was just dropped is gone in the JVM too.
+SETTLE = 1.5
+
+
 #: Rows that a Python worker gets at a time. Spark's own 10,000 are hundreds of MB of long texts.
 BATCH_ROWS = 500
 

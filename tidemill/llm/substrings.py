@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .codec import cuts, packed, unpacked
-from .shared import Versions, free, kept, lean, remove, scratch, text_bytes
+from .shared import SETTLE, Versions, free, kept, lean, remove, scratch, text_bytes
 from .words import _ODD, chunks, covered, grams, hash_words, mix
 
 WINDOW = 20
@@ -285,7 +285,7 @@ class FingerprintIndex:
             run = f"{folder}/kind=run"
             self._commit([*self.runs, *([Run(run, self._bytes(run), segments)] if there(run) else [])], self.seen + size)
             self.compact()
-        free(self.spark)  # the shuffles up to the bits
+        free(self.spark, SETTLE)  # the shuffles up to the bits
         bits = f"{folder}/kind=bits"
         bits = self.spark.read.schema(SENT).parquet(f"{self.path}/{bits}") if there(bits) else self.spark.createDataFrame([], SENT)
         bits = bits.repartitionById(blocks, F.col("block"))
