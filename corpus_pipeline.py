@@ -2,6 +2,13 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and read again
 as the next one's docs. All but the last return the columns of documents.
+
+Odd rows, by stage. Null and empty texts fail the quality rules, as do texts of fewer than 50 words. Very
+long texts go through whole. Null doc_ids: kept by the quality rules; near-dedup keeps the smallest
+doc_id of a group, one row without an id if the group has no other; the rest treat them as ids of
+their own. Repeated rows are one document for near-dedup. A null source is a source of its own, the
+last, for mixing. An empty table passes through as one. Other columns are kept up to sharding, which
+returns doc_id, arrival, text_sha256 and merges_due.
 """
 
 from __future__ import annotations
@@ -33,7 +40,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The rows of the compacted shards: doc_id, shard, text_sha256."""
+    """The rows of the compacted shards: doc_id, arrival, text_sha256, merges_due."""
     return sharding.shard_report(docs)
 
 
