@@ -133,7 +133,7 @@ register_sql("pipe_aggregate", "SELECT * FROM {events} |> WHERE user_id > 10 |>
 
 _L = Select(ORDERS, S("o_orderkey", "o_custkey", ("total", cents("o_totalprice"))))
 _R = Select(CUSTOMER, S("c_custkey", "c_mktsegment", ("balance", cents("c_acctbal"))))
-#: Customers of one segment only, so that orders too are left without a partner in outer and anti joins.
+#: Customers of all segments but one, so that orders too are left without a partner in outer and anti joins.
 _SOME = Filter(_R, "c_mktsegment <> 'BUILDING'")
 _LS = "(SELECT o_orderkey, o_custkey, CAST(round(o_totalprice * 100) AS BIGINT) AS total FROM orders) l"
 _RS = "(SELECT c_custkey, c_mktsegment, CAST(round(c_acctbal * 100) AS BIGINT) AS balance FROM customer{}) r"
