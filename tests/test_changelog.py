@@ -242,3 +242,89 @@ def test_envelopes_that_do_not_fit_are_errors(spark):
             decoded(spark.createDataFrame([(json.dumps({"payload": payload}),)], "value string"), ORDERS).collect()
     with pytest.raises(Exception, match="phase"):
         decoded(spark.createDataFrame([(json.dumps({"payload": {"op": "c", "before": None, "after": good}}),)], "value string"), ORDERS, snapshot=True).collect()
+
+
+TYPED = T.StructType([T.StructField("id", T.LongType(), False), T.StructField("day", T.DateType()), T.StructField("at", T.TimestampNTZType()), T.StructField("price", T.DecimalType(15, 2)), T.StructField("raw", T.BinaryType())])
+
+
+def test_values_on_the_wire_round_trip_and_drift_is_an_error(spark):
+    import base64
+    import datetime
+    from decimal import Context, Decimal
+
+    from tidemill.sources.cdc import decoded, envelopes
+
+    rows = [(1, datetime.date(1969, 12, 30), datetime.datetime(2024, 2, 29, 1, 2, 3, 456789), Decimal("-12.34"), b"\x00a"), (2, None, None, None, None), (3, datetime.date(2024, 1, 1), datetime.datetime(1969, 1, 1), Decimal("0.05"), b"")]
+    df = spark.createDataFrame(rows, TYPED)
+    got = decoded(envelopes(df, "c", TYPED), TYPED).drop(ORD)
+    assert sorted((tuple(r) for r in got.collect()), key=str) == [(*r, 1) for r in rows]
+    wide = T.StructType([T.StructField("d", T.DecimalType(38, 10))])
+    for x in ("-99999999999999999999999999.9999999999", "0.0000000001", "12345678901234567890.5", "-1"):
+        n = int(Context(prec=60).scaleb(Decimal(x), 10))
+        text = base64.b64encode(n.to_bytes((n.bit_length() + 8) // 8, "big", signed=True)).decode()
+        head = envelopes(spark.createDataFrame([(None,)], wide), "c", wide).first()[0].replace('"d":null', f'"d":"{text}"')
+        assert decoded(spark.createDataFrame([(head,)], "value string"), wide).first()["d"] == Decimal(x)
+    other = [T.StructType([*TYPED.fields[:3], T.StructField("price", T.DecimalType(15, 3)), TYPED[4]]), T.StructType([T.StructField("id", T.LongType()), *TYPED.fields[1:]]), T.StructType(TYPED.fields[:4]), T.StructType([*TYPED.fields[:4], T.StructField("raw", T.StringType())])]
+    for declared in other:
+        with pytest.raises(Exception, match="schema has changed|declared columns"):
+            decoded(envelopes(df, "c", TYPED), declared).collect()
+
+
+def test_records_without_rows(spark):
+    from tidemill.sources.cdc import decoded
+
+    got = lambda *lines, **kw: decoded(spark.createDataFrame([(x,) for x in lines], "value string"), ORDERS, **kw).count()
+    note = lambda kind: json.dumps({"payload": {"aggregate_type": "Initial Snapshot", "type": kind}})
+    assert got('{"payload": {"ts_ms": 5}}', note("STARTED"), note("COMPLETED"), None, "null") == 0
+    for bad, kw in ((("not json",), {}), ((note("ABORTED"),), {}), (('{"payload": {"x": 1}}',), {}), ((None,), {"tombstones": False}), (("null",), {"tombstones": False})):
+        with pytest.raises(Exception, match="no envelope|notification|tombstone"):
+            decoded(spark.createDataFrame([(x,) for x in bad], "value string"), ORDERS, **kw).collect()
+    row = {"order_id": 1, "store": 2, "status": "x", "amount": 3}
+    for op, marker, good in (("r", "true", 1), ("r", "last", 1), ("c", "false", 1), ("r", "false", 0), ("c", "true", 0), ("c", "incremental", 0)):
+        line = json.dumps({"payload": {"op": op, "before": None, "after": row, "source": {"snapshot": marker}}})
+        if good:
+            assert got(line) == 1
+        else:
+            with pytest.raises(Exception, match="marker"):
+                decoded(spark.createDataFrame([(line,)], "value string"), ORDERS).collect()
+
+
+@pytest.mark.parametrize("end", ["event", "marker", "notification"])
+def test_snapshot_rows_after_its_end_are_errors(spark, capture, end):
+    from tidemill.sql.program import Program
+
+    root, put = capture
+    db, folder = str(root / "out.sqlite"), root / "sales.orders"
+    program = Program.parse(f"INSERT INTO sqlite(path => '{db}', table => 'sales') " + SALES.format(root))
+    p = program.start(spark, str(root / "state"))
+    put(1, ("r", None, (1, 11, "paid", 10)), ("r", None, (2, 11, "paid", 5)))
+    assert p.advance() and p.state.number("sealed-" + next(iter(p.sources))) == 0
+    if end == "event":
+        put(2, ("d", (1, 11, "paid", 10), None))
+    elif end == "marker":
+        row = dict(zip(ORDERS.names, (3, 11, "paid", 1), strict=True))
+        (folder / "0002.json").write_text(json.dumps({"payload": {"op": "r", "before": None, "after": row, "source": {"snapshot": "last"}}}))
+    else:
+        (folder / "0002.json").write_text(json.dumps({"payload": {"aggregate_type": "Initial Snapshot", "type": "COMPLETED"}}))
+    assert p.advance()
+    before = table(db, "sales")
+    put(3, ("r", None, (4, 11, "paid", 2)))
+    with pytest.raises(Exception, match="after the end of the snapshot"):
+        program.start(spark, str(root / "state")).advance()
+    assert table(db, "sales") == before
+    put(3, ("c", None, (4, 11, "paid", 2)))
+    again = program.start(spark, str(root / "state"))
+    again.advance()
+    assert table(db, "sales") != before
+
+
+def test_late_snapshot_rows_within_a_batch(spark):
+    from tidemill.sources.cdc import sealed
+
+    line = lambda op: json.dumps({"payload": {"op": op, "before": None, "after": {}}})
+    rows = lambda *ops: spark.createDataFrame([(i, line(op)) for i, op in enumerate(ops)], "n int, value string")
+    assert not sealed(rows("r", "r"), ["n"], False) and sealed(rows("r", "c"), ["n"], False)
+    with pytest.raises(ValueError, match="after the end"):
+        sealed(rows("r", "c", "r"), ["n"], False)
+    with pytest.raises(ValueError, match="after the end"):
+        sealed(rows("r"), ["n"], True)

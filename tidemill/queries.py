@@ -262,6 +262,18 @@ def cdc_update_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     return expanded(folded([decoded(rows, _CAPTURED, snapshot=False).drop(ORD)]))
 
 
+_WIRED = T.StructType([T.StructField("o_orderkey", T.LongType(), False), T.StructField("o_orderdate", T.TimestampNTZType()), T.StructField("o_totalprice", T.DecimalType(15, 2)), T.StructField("day", T.DateType())])
+
+
+@query("SELECT o_orderkey, o_orderdate, CAST(o_totalprice AS DECIMAL(15, 2)) AS o_totalprice, CAST(o_orderdate AS DATE) AS day FROM orders WHERE o_totalprice < 200000")
+def cdc_wire_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A capture with schema parts and values as on the wire: all rows, then deletions of the dear ones."""
+    t = read(spark, sf_dir, "orders")["orders"]
+    t = t.select("o_orderkey", F.col("o_orderdate").cast("timestamp_ntz").alias("o_orderdate"), F.col("o_totalprice").cast("decimal(15,2)").alias("o_totalprice"), F.col("o_orderdate").cast("date").alias("day"))
+    rows = envelopes(t, "r", _WIRED).unionByName(envelopes(t.filter("o_totalprice >= 200000"), "d", _WIRED))
+    return expanded(folded([decoded(rows, _WIRED).drop(ORD)]))
+
+
 @query("SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderstatus <> 'F' GROUP BY ALL")
 def mysql_cdc_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A program over a capture's files, snapshot and then deletions, into versioned files; their view."""

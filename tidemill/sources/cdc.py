@@ -2,11 +2,20 @@
 
 A row of `value` is an envelope, with or without its schema part. r (while a snapshot is taken) and c
 give +1 after; u gives -1 before, then +1 after; d gives -1 before. Anything else is an error, as are
-envelopes whose columns or nulls don't fit the declared schema. Decoding is built-in functions only.
+envelopes whose columns or nulls don't fit the declared schema, and lines that are no envelopes.
+Heartbeats (a payload with ts_ms and no op) and notifications of the snapshot are checked and give no
+rows; tombstones (no value, or null) are passed over where the source has them.
+
+With a schema part, its columns must be the declared ones (names, types, nulls, decimal parameters, in
+order), and values are on the wire as Kafka Connect has them: dates are days, timestamps without a zone
+microseconds, those with one ISO strings, decimals base64 of their unscaled bytes. Without a schema
+part values are JSON as Spark reads it. Decoding is built-in functions only.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,26 +23,118 @@ from pyspark.sql import types as T
 from ..functions.changes import q
 from ..functions.types import DIFF, ORD, validate_schema
 
+# Fixed values of the wire format: Connect's types, a snapshot's notifications and markers.
+LITERALS = {
+    T.BooleanType: ("boolean", None), T.ShortType: ("int16", None), T.IntegerType: ("int32", None), T.LongType: ("int64", None), T.FloatType: ("float", None),
+    T.DoubleType: ("double", None), T.StringType: ("string", None), T.BinaryType: ("bytes", None), T.DateType: ("int32", "io.debezium.time.Date"),
+    T.TimestampNTZType: ("int64", "io.debezium.time.MicroTimestamp"), T.TimestampType: ("string", "io.debezium.time.ZonedTimestamp"),
+    T.DecimalType: ("bytes", "org.apache.kafka.connect.data.Decimal"),
+}
+SNAPSHOT, DONE, GOING = "Initial Snapshot", "COMPLETED", ("STARTED", "IN_PROGRESS", "TABLE_SCAN_COMPLETED")
+MARKERS = ("true", "first", "first_in_data_collection", "last_in_data_collection", "last")
+
+_COLUMN = "struct<field:string,type:string,optional:boolean,name:string,scale:string,precision:string>"
+_SCHEMA = "type string, fields array<struct<field:string,type:string,optional:boolean,fields:array<struct<field:string,type:string,optional:boolean,name:string,parameters:map<string,string>>>>>"
+_PAYLOAD = "before string, after string, op string, ts_ms string, source struct<snapshot:string>, aggregate_type string, type string"
+
 
 def _error(text: str, t: str) -> Column:
     return F.raise_error(F.lit(text)).cast(t)
 
 
-def decoded(df: DataFrame, schema: T.StructType, value: str = "value", order: list[str] | None = None, snapshot: bool | None = None) -> DataFrame:
+def payload(value: str) -> Column:
+    """The payload of an envelope, with or without its schema part."""
+    return F.from_json(F.coalesce(F.get_json_object(value, "$.payload"), F.col(value)), _PAYLOAD)
+
+
+def connect_schema(schema: T.StructType) -> list[dict]:
+    """The columns of a row image as Connect describes them."""
+    out = []
+    for f in schema:
+        if type(f.dataType) not in LITERALS:
+            raise TypeError(f"{f.name}: {f.dataType.simpleString()} is not on the wire")
+        literal, logical = LITERALS[type(f.dataType)]
+        d = {"field": f.name, "type": literal, "optional": f.nullable} | ({"name": logical} if logical else {})
+        if isinstance(f.dataType, T.DecimalType):
+            d["parameters"] = {"scale": str(f.dataType.scale), "connect.decimal.precision": str(f.dataType.precision)}
+        out.append(d)
+    return out
+
+
+def _drift(part: Column, schema: T.StructType) -> Column:
+    """Whether an envelope's schema part isn't the one that the declared columns give."""
+    null = lambda x: F.lit(x).cast("string")
+    want = F.array(*(
+        F.struct(F.lit(c["field"]).alias("field"), F.lit(c["type"]).alias("type"), F.lit(c["optional"]).alias("optional"), null(c.get("name")).alias("name"),
+                 null(c.get("parameters", {}).get("scale")).alias("scale"), null(c.get("parameters", {}).get("connect.decimal.precision")).alias("precision"))
+        for c in connect_schema(schema)
+    )).cast(f"array<{_COLUMN}>")
+    p = F.from_json(part, _SCHEMA)
+    decimal = lambda x, key: F.when(x["name"] == LITERALS[T.DecimalType][1], x["parameters"][key])
+    flat = lambda cs: F.transform(cs, lambda x: F.struct(x["field"].alias("field"), x["type"].alias("type"), x["optional"].alias("optional"), x["name"].alias("name"), decimal(x, "scale").alias("scale"), decimal(x, "connect.decimal.precision").alias("precision"))).cast(f"array<{_COLUMN}>")
+    image = lambda side: F.filter(p["fields"], lambda x: x["field"] == side)
+    fits = lambda side: (F.size(image(side)) == 1) & (image(side)[0]["type"] == "struct") & image(side)[0]["optional"] & flat(image(side)[0]["fields"]).eqNullSafe(want)
+    return ~F.coalesce((p["type"] == "struct") & fits("before") & fits("after"), F.lit(False))
+
+
+def _on_wire(t: T.DataType) -> T.DataType:
+    return {T.DateType: T.IntegerType(), T.TimestampNTZType: T.LongType(), T.TimestampType: T.StringType(), T.DecimalType: T.StringType()}.get(type(t), t)
+
+
+def _unscaled(text: Column, t: T.DecimalType) -> Column:
+    """A decimal from base64 of its unscaled value: bytes of two's complement, highest first."""
+    digits = F.hex(F.unbase64(text))
+    byte = lambda i: F.conv(F.substring(digits, F.lit(2) * i - 1, F.lit(2)), 16, 10).cast("int")
+    negative = byte(F.lit(1)) >= 128
+    whole = F.aggregate(F.sequence(F.lit(1), (F.length(digits) / 2).cast("int")), F.lit(0).cast("decimal(38,0)"), lambda s, i: (s * 256 + F.when(negative, 255 - byte(i)).otherwise(byte(i))).cast("decimal(38,0)"))
+    # the sign and the scale are put in as text: negation and division of decimals lose digits
+    n = F.lpad(F.when(negative, whole + 1).otherwise(whole).cast("decimal(38,0)").cast("string"), 39, "0")
+    sign = F.when(negative, "-").otherwise("")
+    text = F.concat(sign, F.substring(n, 1, 39 - t.scale), F.lit("."), F.substring(n, 40 - t.scale, t.scale))
+    return text.cast(t)
+
+
+def _value(c: Column, t: T.DataType) -> Column:
+    """A column's value from the wire."""
+    if isinstance(t, T.DateType):
+        return F.date_from_unix_date(c)
+    if isinstance(t, T.TimestampNTZType):
+        return F.to_timestamp_ntz(F.lit("1970-01-01 00:00:00")) + F.make_dt_interval(secs=c.cast("decimal(20,0)") / 1000000)
+    if isinstance(t, T.DecimalType):
+        return F.when(F.length(c) > 0, _unscaled(c, t))
+    return c.cast(t)
+
+
+def decoded(df: DataFrame, schema: T.StructType, value: str = "value", order: list[str] | None = None, snapshot: bool | None = None, tombstones: bool = True) -> DataFrame:
     """The change in a DataFrame of envelopes: schema's columns, __diff, __ord.
 
     order: columns that give the events' order (by default the payload's ts_ms is no order: events
-    are numbered as they stand). snapshot: whether r is expected; None allows both phases."""
+    are numbered as they stand). snapshot: whether r is expected; None allows both phases. tombstones:
+    whether rows without a value may stand between events."""
     validate_schema(schema)
     loose = T.StructType([T.StructField(f.name, f.dataType, True) for f in schema])
-    row = T.StructType([T.StructField("before", T.StringType()), T.StructField("after", T.StringType()), T.StructField("op", T.StringType())])
-    text = F.coalesce(F.get_json_object(value, "$.payload"), F.col(value))
+    wire = T.StructType([T.StructField(f.name, _on_wire(f.dataType), True) for f in schema])
     at = F.struct(*(F.col(c) for c in order)) if order else F.monotonically_increasing_id()
-    # heartbeats have no op and no image; tombstones no value
-    df = df.filter(F.col(value).isNotNull()).select(F.from_json(text, row).alias("e"), at.alias("__at"))
-    images = df.select("e.op", "e.before", "e.after", "__at", F.json_object_keys("e.before").alias("kb"), F.json_object_keys("e.after").alias("ka"))
-    images = images.filter(F.col("op").isNotNull() | F.col("before").isNotNull() | F.col("after").isNotNull())
-    b, a = (F.from_json(c, loose, {"mode": "FAILFAST"}) for c in ("before", "after"))
+    empty = F.col(value).isNull() | F.trim(value).isin("", "null")
+    if tombstones:
+        df = df.filter(~empty)
+    part = F.get_json_object(value, "$.schema")
+    df = df.select(payload(value).alias("e"), part.alias("__part"), at.alias("__at"), empty.alias("__empty"))
+    e, rowless = (lambda c: F.col(f"e.{c}")), F.col("e.op").isNull() & F.col("e.before").isNull() & F.col("e.after").isNull()
+    note = e("aggregate_type").isNotNull()
+    known = ~note & e("ts_ms").isNotNull() | (e("aggregate_type") == SNAPSHOT) & e("type").isin(DONE, *GOING)
+    wrong = F.when(F.col("__empty"), _error("a tombstone where the source has none", "boolean")).when(note, _error("the snapshot's notification is not of one that completes", "boolean")).otherwise(_error("a line is no envelope, heartbeat or notification", "boolean"))
+    images = df.filter(F.when(~rowless, F.lit(True)).when(F.coalesce(known, F.lit(False)), F.lit(False)).otherwise(wrong))
+    images = images.select("e.op", "e.before", "e.after", "e.source.snapshot", "__part", "__at", F.json_object_keys("e.before").alias("kb"), F.json_object_keys("e.after").alias("ka"))
+    typed = all(type(f.dataType) in LITERALS for f in schema)
+    drift = _drift(F.col("__part"), schema) if typed else F.lit(True)
+
+    def image(c: str) -> Column:
+        w = F.from_json(c, wire, {"mode": "FAILFAST"})
+        of_wire = F.struct(*(_value(w[f.name], f.dataType).alias(f.name) for f in schema)).cast(loose) if typed else F.lit(None).cast(loose)
+        return F.when(F.col("__part").isNull(), F.from_json(c, loose, {"mode": "FAILFAST"})).when(drift, _error("the table's schema has changed", loose.simpleString())).otherwise(of_wire)
+
+    b, a = image("before"), image("after")
     names = F.sort_array(F.array(*(F.lit(f.name) for f in schema)))
     strict = lambda keys, image: F.when(F.sort_array(keys) == names, image).otherwise(_error("a row image doesn't have the declared columns", loose.simpleString()))
     before, after, no = strict(F.col("kb"), b), strict(F.col("ka"), a), F.lit(None).cast(loose)
@@ -41,8 +142,10 @@ def decoded(df: DataFrame, schema: T.StructType, value: str = "value", order: li
     kind = "array<struct<row:" + loose.simpleString() + f",{DIFF}:bigint,step:int>>"
     insert = F.array(row_change(after, 1))
     snap = insert if snapshot in (None, True) else _error("a snapshot row outside the snapshot", kind)
+    marked = F.coalesce(F.col("snapshot"), F.when(F.col("op") == "r", "true").otherwise("false"))
     events = (
-        F.when((F.col("op") == "r") & F.col("before").isNull() & F.col("after").isNotNull(), snap)
+        F.when(~F.when(F.col("op") == "r", marked.isin(*MARKERS)).otherwise(marked == "false"), _error("the snapshot's marker is not of this phase", kind))
+        .when((F.col("op") == "r") & F.col("before").isNull() & F.col("after").isNotNull(), snap)
         .when((F.col("op") == "c") & F.col("before").isNull() & F.col("after").isNotNull() & F.lit(snapshot is not True), insert)
         .when((F.col("op") == "u") & F.col("before").isNotNull() & F.col("after").isNotNull() & F.lit(snapshot is not True), F.array(row_change(before, -1), row_change(after, 1)))
         .when((F.col("op") == "d") & F.col("before").isNotNull() & F.col("after").isNull() & F.lit(snapshot is not True), F.array(row_change(before, -1)))
@@ -56,12 +159,41 @@ def decoded(df: DataFrame, schema: T.StructType, value: str = "value", order: li
     return out.select(*cols, F.col(f"x.{DIFF}").alias(DIFF), F.struct("__at", F.col("x.step").alias("step")).alias(ORD))
 
 
-def envelopes(df: DataFrame, op: str = "c") -> DataFrame:
-    """Rows as envelopes of one kind, for replaying tables as captures."""
-    image = F.struct(*(F.col(q(c)) for c in df.columns))
-    none = F.lit(None).cast(df.schema)
-    payload = F.struct((image if op == "d" else none).alias("before"), (none if op == "d" else image).alias("after"), F.lit(op).alias("op"))
-    return df.select(F.to_json(F.struct(payload.alias("payload")), {"ignoreNullFields": "false"}).alias("value"))
+def sealed(df: DataFrame, order: list[str], before: bool, value: str = "value") -> bool:
+    """Whether a batch leaves its snapshot behind: by a row marked as the last, by the notification that
+    it is complete, or by the first event that is none of its rows. A snapshot row after that is an
+    error, as it is where the snapshot was over before. One aggregate over the batch."""
+    at = F.struct(*(F.col(c) for c in order))
+    e = df.filter(F.col(value).isNotNull()).select(payload(value).alias("e"), at.alias("at"))
+    ends = F.col("e.op").isin("c", "u", "d") | (F.col("e.op") == "r") & (F.col("e.source.snapshot") == "last") | (F.col("e.aggregate_type") == SNAPSHOT) & (F.col("e.type") == DONE)
+    got = e.agg(F.min(F.when(ends, F.col("at"))).alias("end"), F.max(F.when(F.col("e.op") == "r", F.col("at"))).alias("last")).select((F.col("last") > F.col("end")).alias("late"), F.col("end").isNotNull().alias("ended"), F.col("last").isNotNull().alias("any")).first()
+    if got["late"] or before and got["any"]:
+        raise ValueError("a snapshot row after the end of the snapshot")
+    return before or got["ended"]
+
+
+def _to_wire(c: Column, t: T.DataType) -> Column:
+    if isinstance(t, T.DateType):
+        return F.unix_date(c)
+    if isinstance(t, T.TimestampNTZType):
+        return F.timestamp_diff("MICROSECOND", F.to_timestamp_ntz(F.lit("1970-01-01 00:00:00")), c)
+    if isinstance(t, T.DecimalType):  # of 18 digits at most
+        return F.base64(F.unhex(F.lpad(F.hex((c * 10**t.scale).cast("long")), 16, "0")))
+    return c
+
+
+def envelopes(df: DataFrame, op: str = "c", schema: T.StructType | None = None) -> DataFrame:
+    """Rows as envelopes of one kind, for replaying tables as captures; with schema, which gives the
+    columns' nulls, with a schema part and values as on the wire."""
+    image = F.struct(*(F.col(q(c)) if schema is None else _to_wire(F.col(q(c)), schema[c].dataType).alias(c) for c in df.columns))
+    none = F.when(F.lit(False), image)
+    body = F.struct((image if op == "d" else none).alias("before"), (none if op == "d" else image).alias("after"), F.lit(op).alias("op"))
+    text = F.to_json(F.struct(body.alias("payload")), {"ignoreNullFields": "false"})
+    if schema is not None:
+        rows = [{"field": side, "type": "struct", "optional": True, "fields": connect_schema(schema)} for side in ("before", "after")]
+        head = json.dumps({"type": "struct", "fields": rows})
+        text = F.concat(F.lit('{"schema":' + head + ","), F.substring(text, 2, 1 << 30))
+    return df.select(text.alias("value"))
 
 
 def updates(before: DataFrame, after: DataFrame, key: str) -> DataFrame:

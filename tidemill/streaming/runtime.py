@@ -20,10 +20,13 @@ from ..functions.types import DIFF, ORD, UINT64
 from ..plans.delta import step
 from ..plans.nodes import Node, identity, scans
 from ..sinks.relational import Sink
-from ..sources.cdc import decoded
+from ..sources.cdc import decoded, sealed
 from ..sources.sequence import sequence
 from .state import FileState
 
+#: Numbers the rows of a batch as they are read: in order within one block of one file.
+AT = "__at"
+
 
 @dataclass
 class CdcFiles:
@@ -32,17 +35,26 @@ class CdcFiles:
     path: str
     schema: T.StructType
     per_batch: int | None = None
+    bytes_per_batch: int | None = None
+    tombstones: bool = True
 
     def stream(self, spark: SparkSession) -> DataFrame:
         r = spark.readStream.format("text").option("recursiveFileLookup", "true")
         if self.per_batch:
             r = r.option("maxFilesPerTrigger", self.per_batch)
-        return r.load(self.path).select(F.to_json(F.struct(F.col("_metadata.file_path").alias("f"), F.col("value").alias("v"))).alias("value"))
+        elif self.bytes_per_batch:
+            r = r.option("maxBytesPerTrigger", self.bytes_per_batch)
+        place = (F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"))
+        return r.load(self.path).select(F.to_json(F.struct(*place, F.col("value").alias("v"))).alias("value"))
+
+    def _lines(self, rows: DataFrame) -> DataFrame:
+        return rows.select(F.from_json("value", "f string, b long, v string").alias("x"), AT).select("x.f", "x.b", AT, F.col("x.v").alias("value"))
+
+    def sealed(self, rows: DataFrame, before: bool) -> bool:
+        return sealed(self._lines(rows), ["f", "b", AT], before)
 
     def change(self, rows: DataFrame) -> DataFrame:
-        parsed = rows.select(F.from_json("value", "f string, v string").alias("x")).select("x.f", F.col("x.v").alias("value"))
-        parsed = parsed.withColumn("n", F.monotonically_increasing_id())
-        return decoded(parsed, self.schema, order=["f", "n"])
+        return decoded(self._lines(rows), self.schema, order=["f", "b", AT], tombstones=self.tombstones)
 
 
 @dataclass
@@ -62,8 +74,8 @@ class ChangeFiles:
 
     def change(self, rows: DataFrame) -> DataFrame:
         full = T.StructType([*self.schema.fields, T.StructField(DIFF, T.LongType()), T.StructField(ORD, T.LongType())])
-        df = rows.select(F.from_json("value", full).alias("x")).select("x.*")
-        return df.withColumn(DIFF, F.coalesce(DIFF, F.lit(1).cast("long"))).withColumn(ORD, F.coalesce(ORD, F.monotonically_increasing_id()))
+        df = rows.select(F.from_json("value", full).alias("x"), AT).select("x.*", AT)
+        return df.withColumn(DIFF, F.coalesce(DIFF, F.lit(1).cast("long"))).withColumn(ORD, F.coalesce(ORD, AT)).drop(AT)
 
 
 @dataclass
@@ -96,16 +108,19 @@ class Pipeline:
         if batch < self.state.version:
             return  # committed before the query's own log was written
         changes: dict[str, DataFrame] = {}
-        if rows is not None:
-            rows = self.state.once(rows)
-            for name, s in self._streams.items():
-                changes[name] = s.change(rows.filter(F.col("source") == name))
-        for name, s in self.sources.items():
-            if isinstance(s, Sequence):
-                at = self.state.numbers.get(f"sequence-{name}", s.start)
-                changes[name] = with_diff(sequence(self.spark, at, s.per_batch)).withColumn(ORD, F.monotonically_increasing_id())
-                self.state.put_number(f"sequence-{name}", at + s.per_batch)
         try:
+            if rows is not None:
+                rows = self.state.once(rows.withColumn(AT, F.monotonically_increasing_id()))
+                for name, s in self._streams.items():
+                    own = rows.filter(F.col("source") == name)
+                    if isinstance(s, CdcFiles):
+                        self.state.put_number(f"sealed-{name}", int(s.sealed(own, bool(self.state.number(f"sealed-{name}")))))
+                    changes[name] = s.change(own)
+            for name, s in self.sources.items():
+                if isinstance(s, Sequence):
+                    at = self.state.numbers.get(f"sequence-{name}", s.start)
+                    changes[name] = with_diff(sequence(self.spark, at, s.per_batch)).withColumn(ORD, F.monotonically_increasing_id())
+                    self.state.put_number(f"sequence-{name}", at + s.per_batch)
             out = self.state.once(step(self.plan, changes, self.state, self._empty).drop(ORD))
             relations = self.state.write()
             self.between("state")
