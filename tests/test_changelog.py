@@ -328,3 +328,33 @@ def test_late_snapshot_rows_within_a_batch(spark):
         sealed(rows("r", "c", "r"), ["n"], False)
     with pytest.raises(ValueError, match="after the end"):
         sealed(rows("r"), ["n"], True)
+
+
+def test_table_sinks_delete_the_oldest_copies_in_statements_of_many_rows(spark, tmp_path, monkeypatch):
+    from tidemill.sinks.relational import SinkError, SqliteSink
+
+    monkeypatch.setattr(SqliteSink, "ROWS", 3)
+    path = str(tmp_path / "t.sqlite")
+    sink = SqliteSink(path, "t")
+    sink.deliver(change(spark, [((1, k), 2) for k in range(5)]), 0)
+    ids = lambda: dict(_ids(path))
+    first = ids()
+    sink.deliver(change(spark, [((1, k), -1) for k in range(4)] + [((2, 0), 4)]), 1)
+    after = ids()
+    assert {r: (min(x), max(x)) for r, x in first.items() if r[1] != 4 and r[0] == 1} == {r: (min(first[r]), x[0]) for r, x in after.items() if r[1] != 4 and r[0] == 1}
+    assert all(len(after[(1, k)]) == 1 for k in range(4)) and len(after[(1, 4)]) == 2 and len(after[(2, 0)]) == 4
+    sink.deliver(change(spark, [((9, 9), 1)]), 1)  # delivered before
+    assert ids() == after
+    with pytest.raises(SinkError, match="more often"):
+        sink.deliver(change(spark, [((1, 0), -2), ((1, 1), -1)]), 2)
+    assert ids() == after
+
+
+def _ids(path):
+    import sqlite3
+
+    con, out = sqlite3.connect(path), {}
+    for i, k, v in con.execute("SELECT __id, k, v FROM t ORDER BY __id"):
+        out.setdefault((k, v), []).append(i)
+    con.close()
+    return out

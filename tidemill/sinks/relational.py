@@ -49,9 +49,10 @@ def _plain(v: Any) -> Any:
 
 class TableSink:
     """A table through any DB-API connection, with technical columns __id and __row. Rows pass through
-    the driver as a stream: one connection, one transaction for each batch."""
+    the driver as a stream: one connection, one transaction for each batch, statements of many rows."""
 
     MAX_COLUMNS = 1598
+    ROWS = 10_000  # of one statement
 
     def __init__(self, connect: Callable[[], Any], table: str, mark: str = "?", column_type: Callable[[T.DataType], str] = lambda t: "TEXT", big: str = "BIGINT"):
         self.connect, self.table, self.mark, self.column_type, self.big = connect, table, mark, column_type, big
@@ -90,18 +91,30 @@ class TableSink:
             net = consolidated(change, self.table, signed=True).orderBy(DIFF)
             net = net.withColumn("__row", F.sha2(F.to_json(F.struct(*(F.col(q(c)) for c in cols)), {"ignoreNullFields": "false"}), 256)) if cols else net.withColumn("__row", F.lit(""))
             marks = ", ".join([m] * (len(cols) + 2))
-            for r in net.toLocalIterator():
+            gone, new = [], []
+
+            def flush() -> None:
+                if gone:  # the oldest copies go first
+                    cur.executemany(f"DELETE FROM {self.name} WHERE __id IN (SELECT __id FROM {self.name} WHERE __row = {m} ORDER BY __id LIMIT {m})", gone)
+                    if cur.rowcount != sum(n for _, n in gone):
+                        raise SinkError(f"{self.table}: a row was retracted more often than it was there")
+                if new:
+                    cur.executemany(f"INSERT INTO {self.name} VALUES ({marks})", new)
+                gone.clear()
+                new.clear()
+
+            for r in net.toLocalIterator():  # retractions come first
                 n = r[DIFF]
                 if n < 0:
-                    cur.execute(f"SELECT __id FROM {self.name} WHERE __row = {m} ORDER BY __id LIMIT {-n}", (r["__row"],))
-                    ids = [x[0] for x in cur.fetchall()]
-                    if len(ids) < -n:
-                        raise SinkError(f"{self.table}: a row was retracted more often than it was there")
-                    for i in ids:
-                        cur.execute(f"DELETE FROM {self.name} WHERE __id = {m}", (i,))
+                    gone.append((r["__row"], -n))
                 for _ in range(max(n, 0)):
                     at += 1
-                    cur.execute(f"INSERT INTO {self.name} VALUES ({marks})", (at, r["__row"], *(_plain(r[c]) for c in cols)))
+                    new.append((at, r["__row"], *(_plain(r[c]) for c in cols)))
+                    if len(new) == self.ROWS:
+                        flush()
+                if len(gone) == self.ROWS:
+                    flush()
+            flush()
             cur.execute(f"UPDATE {self.frontier} SET batch = {m}, last_id = {m}", (batch, at))
             con.commit()
         except BaseException:
