@@ -264,6 +264,29 @@ def test_near_duplicates_in_a_large_group_of_varied_copies(spark, many):
         neardup.BIG, neardup.MANY = old
 
 
+def test_pairs_of_varied_copies_do_not_grow_with_the_square(spark, monkeypatch):
+    """Copies that mostly link with none: pairs that reach the sketches stay near the number of links."""
+    rng, seen, linked = random.Random(3), [], neardup._linked
+
+    def counting(pairs, classes, texts, step):
+        pairs = step(pairs)
+        links = linked(pairs, classes, texts, step)
+        seen.append((pairs.count(), links.count()))
+        return links
+
+    monkeypatch.setattr(neardup, "_linked", counting)
+    rows = []
+    for i in range(1000):
+        w = [f"w{k}" for k in range(150)]
+        for k in rng.sample(range(150), rng.randrange(11)):
+            w[k] = f"v{rng.randrange(50)}"
+        rows.append((i, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, neardup.neardup_report(df).collect())) == components(rows)
+    pairs, links = map(sum, zip(*seen[1:], strict=True))
+    assert pairs <= 1000 + links  # 4,057 pairs for 184 links, when all pairs of a list were bounded by parts only
+
+
 # -- 8 ---------------------------------------------------------------------------------------
 
 

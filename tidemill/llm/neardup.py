@@ -14,14 +14,19 @@ groups are the connected components.
    one whose retained values are in most sketches, as an original's are and an edit's are not. What
    links is joined up, and pairs inside a component need no comparison. Of a list's other classes,
    those are dropped that no class of the list can link with: an intersection is no larger than the
-   number of a set's elements that are in another set here, which bounds the size of a partner. The
-   rest is compared with the classes that sizes and these numbers allow, counted by parts of the hash
-   range: an intersection is no larger than the sum of the parts' smaller counts. Where more than MANY
-   are left in a list, central ones among them lead again, twice as many each time.
+   number of a set's elements that are in another set here, which bounds the size of a partner. Where
+   more than MANY are left in a list, central ones among them lead again, twice as many each time, LEADS
+   times at most. The rest of a short list is compared pair by pair, that of long lists by prefixes of
+   full sets: with a set's elements in one order, rare first, the first one that two linked sets share
+   comes early in both, as the others that they must share come after it. So edits, which are rare,
+   bring classes together, and what a whole group shares doesn't. Pairs are left out where the sum of
+   the smaller counts by parts of the hash range, which bounds an intersection, is too small, or where
+   too many parities of counts by finer parts differ, each by an element of one set only.
 4. Candidates are filtered by the union-sketch estimate, and confirmed on full sets.
 
-A group that has a centre costs about its size. Classes of one list that mostly do not link, and that no
-bound tells apart, are compared pair by pair: that no link is lost has this price.
+A group that has a centre costs about its size, as do variants of a text that differ from each other by
+more than links allow. Variants that are all nearly close enough, without any that others link with, have
+common elements in their prefixes: pairs of these are looked at one by one, that no link is lost.
 
 Skew: lists are counted with map-side aggregation and joined with sort-merge joins that AQE can
 split; confirmation is salted. Nothing but counts reaches the driver. State between rounds is
@@ -57,8 +62,14 @@ PERCENT = 75
 SALTS = 64
 #: A list of so many classes is long, and so many that remain in it are many.
 BIG, MANY = 24, 1024
+#: Times that central classes lead again.
+LEADS = 3
+#: Sizes of sets in bands, each so much wider than the one before.
+BAND = 1.03
 #: Parts of the hash range in which elements are counted, to bound intersections.
 PARTS = 64
+#: Longs of parities of counts by finer parts.
+WORDS = 16
 
 _C1, _C2 = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
 
@@ -246,21 +257,27 @@ def _near_duplicates(docs: DataFrame, step: Steps) -> tuple[DataFrame, DataFrame
         if open_.isEmpty():
             break
         if common is None:
-            common = step(_in_common(open_.filter("big").select("cls").distinct(), texts))
+            element = step(_shared_elements(open_.filter("big").select("cls").distinct(), texts))
+            common = step(_in_common(element))
+            early = step(_early(element, common, classes))
         # no intersection has more than s elements, and so no partner more than `upto`
-        at = open_.join(common, "cls", "left").withColumn("s", F.when(F.col("big"), F.coalesce("s", F.lit(0))).otherwise(F.col("n")))
+        at = open_.join(common.drop("bits"), "cls", "left").withColumn("s", F.when(F.col("big"), F.coalesce("s", F.lit(0))).otherwise(F.col("n")))
         at = at.withColumn("upto", F.floor((100 + PERCENT) * F.col("s") / PERCENT) - F.col("n")).filter(100 * F.col("s") >= PERCENT * F.col("n"))
         mover = step(_movers(at))
         many = mover.filter("big").groupBy("value").agg(F.count("*").alias("m")).filter(F.col("m") > MANY).select("value")
-        led = None if many.isEmpty() else step(many)
+        led = None if turn == LEADS or many.isEmpty() else step(many)
         few = (lambda d: d) if led is None else (lambda d: d.join(led, "value", "left_anti"))
-        # those that remain in a list with all that bounds allow; a pair only in the first list that it shares
-        mine = few(mover).join(prefix, "cls").select("value", *(F.col(c).alias(f"{c}_a") for c in ("cls", "comp", "n", "upto", "counts", "prefix")))
-        theirs = few(at).join(prefix, "cls")
+        # those that remain in a short list with all that bounds allow; a pair only in the first list that it shares
+        mine = mover.filter("not big").join(prefix, "cls").select("value", *(F.col(c).alias(f"{c}_a") for c in ("cls", "comp", "n", "upto", "prefix")))
+        theirs = at.filter("not big").join(prefix, "cls")
         one_way = (F.col("comp") == F.col("main")) | (F.col("cls_a") < F.col("cls"))
         once = F.array_min(F.array_intersect("prefix_a", "prefix")) == mine["value"]
-        pairs = mine.join(theirs, (mine["value"] == theirs["value"]) & (F.col("comp_a") != F.col("comp")) & one_way & _allowed() & once & _by_parts())
+        pairs = mine.join(theirs, (mine["value"] == theirs["value"]) & (F.col("comp_a") != F.col("comp")) & one_way & _allowed() & once)
         pairs = pairs.select(F.col("cls_a").alias("a"), F.col("cls").alias("b"))
+        # those in long ones by prefixes
+        moves = few(mover).filter("big").select("cls").distinct().withColumn("moves", F.lit(True))
+        now = few(at).filter("big").select("cls", "comp", "upto").distinct().join(moves, "cls", "left").withColumn("moves", F.coalesce("moves", F.lit(False)))
+        pairs = pairs.union(_bounded(step(_meeting(early, now)), common))
         if led is not None:  # of many, central ones lead
             lead = mover.join(led, "value").groupBy("value", F.pmod(F.xxhash64("cls", F.lit(turn)), F.lit(1 << turn)).alias("slot")).agg(F.max(F.struct("central", "cls", "comp", "n", "upto", "counts")).alias("l"))
             lead = step(lead.select("value", *(F.col(f"l.{c}").alias(f"{c}_a") for c in ("cls", "comp", "n", "upto", "counts"))))
@@ -307,14 +324,61 @@ def _movers(at: DataFrame) -> DataFrame:
     return at.filter(F.col("comp") != F.col("main")).join(room, (F.col("value") == F.col("v")) & fits & ((F.col("c0") != F.col("comp")) | (F.col("c1") != F.col("comp"))), "left_semi")
 
 
-def _in_common(who: DataFrame, texts: DataFrame) -> DataFrame:
-    """For the classes in long lists: s, how many of the set's elements are in another of these sets,
-    and the counts of these by parts of the hash range. What is in no other set is in no intersection."""
+def _shared_elements(who: DataFrame, texts: DataFrame) -> DataFrame:
+    """The elements of these classes' sets that are in several of them: cls, value, df. What is in no
+    other set is in no intersection."""
     value = texts.join(who, "cls").select("cls", "text").mapInArrow(_elements, "cls long, value long")
-    often = value.groupBy("value").agg(F.count("*").alias("df")).filter("df > 1").select("value")
-    part = value.join(often, "value").select("cls", F.pmod("value", F.lit(PARTS)).alias("part"))
-    by = part.groupBy("cls").agg(F.count("*").alias("s"), *(F.count_if(F.col("part") == k).cast("int").alias(f"p{k}") for k in range(PARTS)))
-    return by.select("cls", "s", F.array(*(f"p{k}" for k in range(PARTS))).alias("counts"))
+    return value.join(value.groupBy("value").agg(F.count("*").alias("df")).filter("df > 1"), "value").select("cls", "value", "df")
+
+
+def _in_common(element: DataFrame) -> DataFrame:
+    """Per class: s, how many of the set's elements are in another of these sets, the counts of these by
+    parts of the hash range, and their parities by finer parts, as bits."""
+    bit = F.expr(f"shiftleft(1L, int(pmod(shiftright(value, {PARTS.bit_length()}), 64L)))")
+    part = element.select("cls", F.pmod("value", F.lit(PARTS)).alias("part"), F.pmod(F.shiftright("value", 32), F.lit(WORDS)).alias("word"), bit.alias("bit"))
+    counts = [F.count_if(F.col("part") == k).cast("int").alias(f"p{k}") for k in range(PARTS)]
+    parity = [F.coalesce(F.bit_xor(F.when(F.col("word") == k, F.col("bit"))), F.lit(0)).alias(f"w{k}") for k in range(WORDS)]
+    by = part.groupBy("cls").agg(F.count("*").alias("s"), *counts, *parity)
+    return by.select("cls", "s", F.array(*(f"p{k}" for k in range(PARTS))).alias("counts"), F.array(*(f"w{k}" for k in range(WORDS))).alias("bits"))
+
+
+def _early(element: DataFrame, common: DataFrame, classes: DataFrame) -> DataFrame:
+    """Elements that can be the first that a class shares with one that it links with: cls, n, value, and
+    `rest`, how many of the set's shared elements come from here on, in the order of frequency."""
+    fit = classes.join(common.select("cls", "s"), "cls").filter(100 * F.col("s") >= PERCENT * F.col("n")).select("cls", "n", "s")
+    at = F.row_number().over(Window.partitionBy("cls").orderBy("df", "value"))
+    ranked = element.join(fit, "cls").select("cls", "n", "value", (F.col("s") - at + 1).alias("rest"))
+    return ranked.filter(100 * F.col("rest") >= PERCENT * F.col("n"))
+
+
+def _meeting(early: DataFrame, now: DataFrame) -> DataFrame:
+    """Pairs (a, b), a the smaller or of one size with b, of classes (cls, comp, upto, moves) in different
+    components, one of which moves, that share an element with enough others after it in both."""
+    band = lambda n: F.floor(F.log(n) / math.log(BAND))
+    fits = lambda rest, na, nb: (100 + PERCENT) * rest >= PERCENT * (na + nb)
+    all_ = early.join(now, "cls")
+    # the smaller set needs the shorter prefix; the larger one has one for each band of smaller sizes
+    small = all_.filter(fits(F.col("rest"), F.col("n"), F.col("n"))).withColumn("band", band(F.col("n")))
+    small = small.select("value", "band", "moves", *(F.col(c).alias(f"{c}_a") for c in ("cls", "comp", "n", "upto", "rest")))
+    large = all_.withColumn("band", F.explode(F.sequence(band(F.col("n") * (PERCENT / 100 - 1e-9)), band(F.col("n")))))
+    large = large.filter(fits(F.col("rest"), F.col("n"), F.pow(F.lit(BAND), F.col("band")) * (1 - 1e-9)))
+    found = []
+    for x, y in ((small.filter("moves"), large), (small.filter("not moves"), large.filter("moves"))):
+        x = x.drop("moves")
+        ordered = (F.col("n_a") < F.col("n")) | ((F.col("n_a") == F.col("n")) & (F.col("cls_a") < F.col("cls")))
+        enough = fits(F.least("rest_a", "rest"), F.col("n_a"), F.col("n"))
+        meet = x.join(y, (x["value"] == y["value"]) & (x["band"] == y["band"]) & (F.col("comp_a") != F.col("comp")) & ordered & enough & _allowed())
+        found.append(meet.select(F.col("cls_a").alias("a"), F.col("n_a").alias("na"), F.col("cls").alias("b"), F.col("n").alias("nb")).distinct())
+    return found[0].union(found[1])
+
+
+def _bounded(pairs: DataFrame, common: DataFrame) -> DataFrame:
+    """Those of the pairs (a, na, b, nb) that counts and parities by parts allow."""
+    of = lambda x, end: common.select(F.col("cls").alias(x), *(F.col(c).alias(c + end) for c in ("s", "counts", "bits")))
+    both = pairs.withColumnsRenamed({"na": "n_a", "nb": "n"}).join(of("a", "_a"), "a").join(of("b", ""), "b")
+    apart = F.aggregate(F.zip_with("bits_a", "bits", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    even = (100 + PERCENT) * (F.col("s_a") + F.col("s") - apart) >= 2 * PERCENT * (F.col("n_a") + F.col("n"))
+    return both.filter(_by_parts() & even).select("a", "b")
 
 
 def _linked(pairs: DataFrame, classes: DataFrame, texts: DataFrame, step: Steps) -> DataFrame:
