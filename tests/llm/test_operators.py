@@ -287,6 +287,29 @@ def test_pairs_of_varied_copies_do_not_grow_with_the_square(spark, monkeypatch):
     assert pairs <= 1000 + links  # 4,057 pairs for 184 links, when all pairs of a list were bounded by parts only
 
 
+def test_fewer_copies_without_an_original_meet_by_what_sets_them_apart(spark, monkeypatch):
+    """Nearly close enough, with edits of their own."""
+    rng, seen = random.Random(4), []
+
+    class Counting(neardup.Steps):
+        def __call__(self, df):
+            out = super().__call__(df)
+            if {"a", "b"} <= set(out.columns):
+                seen.append(out.count())
+            return out
+
+    monkeypatch.setattr(neardup, "Steps", Counting)
+    rows = []
+    for i in range(600):
+        w = [f"w{k}" for k in range(150)]
+        for k in rng.sample(range(150), rng.randrange(4, 8)):
+            w[k] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, neardup.neardup_report(df).collect())) == components(rows)
+    assert max(seen) <= 4000, seen  # 3,113, and 9,841 by prefixes of full sets
+
+
 # -- 8 ---------------------------------------------------------------------------------------
 
 

@@ -16,17 +16,19 @@ groups are the connected components.
    those are dropped that no class of the list can link with: an intersection is no larger than the
    number of a set's elements that are in another set here, which bounds the size of a partner. Where
    more than MANY are left in a list, central ones among them lead again, twice as many each time, LEADS
-   times at most. The rest of a short list is compared pair by pair, that of long lists by prefixes of
-   full sets: with a set's elements in one order, rare first, the first one that two linked sets share
-   comes early in both, as the others that they must share come after it. So edits, which are rare,
-   bring classes together, and what a whole group shares doesn't. Pairs are left out where the sum of
-   the smaller counts by parts of the hash range, which bounds an intersection, is too small, or where
-   too many parities of counts by finer parts differ, each by an element of one set only.
+   times at most. The rest of a short list is compared pair by pair. Long lists led by one component make
+   a group, in which a set is known by what sets it apart: the elements that are in it or in most sets of
+   the group, not both. Sets differ by what is in one of their odd ones only, so each has its share of the
+   odd elements that a link needs in common. Where that is none, both link with the least odd set,
+   which is compared with those. Others meet by prefixes: with odd elements in one order, rare first, the
+   first one that two linked sets share comes early in both, as the others that they must share come
+   after it. So edits that classes have in common bring them together, and neither what a whole group
+   shares nor, mostly, edits at one place do. Their common odd elements are counted.
 4. Candidates are filtered by the union-sketch estimate, and confirmed on full sets.
 
-A group that has a centre costs about its size, as do variants of a text that differ from each other by
-more than links allow. Variants that are all nearly close enough, without any that others link with, have
-common elements in their prefixes: pairs of these are looked at one by one, that no link is lost.
+A group that has a centre costs about its size. Copies that are all nearly close enough, without any that
+others link with, or that have edits in common, have common odd elements in their prefixes: pairs of these
+are looked at one by one, that no link is lost, and still grow with the square of the group.
 
 Skew: lists are counted with map-side aggregation and joined with sort-merge joins that AQE can
 split; confirmation is salted. Nothing but counts reaches the driver. State between rounds is
@@ -64,12 +66,8 @@ SALTS = 64
 BIG, MANY = 24, 1024
 #: Times that central classes lead again.
 LEADS = 3
-#: Sizes of sets in bands, each so much wider than the one before.
-BAND = 1.03
 #: Parts of the hash range in which elements are counted, to bound intersections.
 PARTS = 64
-#: Longs of parities of counts by finer parts.
-WORDS = 16
 
 _C1, _C2 = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
 
@@ -213,6 +211,15 @@ def _labelled(links: DataFrame, step: Steps) -> DataFrame:
             return label
 
 
+def _merged(label: DataFrame, links: DataFrame, step: Steps) -> DataFrame:
+    """Components (cls, comp) after more links (a, b): only what they join is labelled anew."""
+    of = lambda x: label.select(F.col("cls").alias(x), F.col("comp").alias(f"c{x}"))
+    ends = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    up = _labelled(step(ends.filter("a != b")), step).select(F.col("cls").alias("comp"), F.col("comp").alias("up"))
+    every = label.union(up.select(F.col("comp").alias("cls"), "comp")).distinct()
+    return step(every.join(up, "comp", "left").select("cls", F.coalesce("up", "comp").alias("comp")))
+
+
 def near_duplicates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, cls and n of docs; cls, component_id and the class that is kept, of all classes that link
     with another)."""
@@ -247,21 +254,21 @@ def _near_duplicates(docs: DataFrame, step: Steps) -> tuple[DataFrame, DataFrame
     prefix = member.select("cls", F.slice("held", F.lit(1), F.col("first")).alias("prefix"))
 
     pairs = left.filter((F.col("a") != F.col("cls")) & _sizes("na", "n")).select("a", F.col("cls").alias("b")).distinct()
-    links = _linked(pairs, classes, texts, step)
-    label, common, turn = _labelled(links, step), None, 0
+    label, common, turn = _labelled(_linked(pairs, classes, texts, step), step), None, 0
     while True:
-        open_ = left.join(label, "cls", "left").select("value", "cls", "n", "central", F.coalesce("comp", "cls").alias("comp"))
-        several = open_.groupBy("value", "comp").agg(F.count("*").alias("c")).groupBy("value").agg(F.sum("c").alias("m"), F.count("*").alias("comps"), F.max(F.struct("c", "comp")).alias("top"))
-        several = several.filter("comps > 1").select("value", (F.col("m") >= BIG).alias("big"), F.col("top.comp").alias("main"))
+        open_ = left.join(label, "cls", "left").select("value", "cls", "n", "central", F.coalesce("comp", "cls").alias("comp"), "a")
+        several = open_.groupBy("value", "comp").agg(F.count("*").alias("c"), F.max("a").alias("a")).groupBy("value").agg(F.sum("c").alias("m"), F.count("*").alias("comps"), F.max(F.struct("c", "comp")).alias("top"), F.max("a").alias("a"))
+        several = several.filter("comps > 1").join(label.select(F.col("cls").alias("a"), F.col("comp").alias("g")), "a", "left")
+        several = several.select("value", (F.col("m") >= BIG).alias("big"), F.col("top.comp").alias("main"), F.coalesce("g", "a").alias("g"))
         open_ = step(open_.join(several, "value"))
         if open_.isEmpty():
             break
         if common is None:
             element = step(_shared_elements(open_.filter("big").select("cls").distinct(), texts))
             common = step(_in_common(element))
-            early = step(_early(element, common, classes))
+            sets = step(element.groupBy("cls").agg(F.collect_list("value").alias("held")))
         # no intersection has more than s elements, and so no partner more than `upto`
-        at = open_.join(common.drop("bits"), "cls", "left").withColumn("s", F.when(F.col("big"), F.coalesce("s", F.lit(0))).otherwise(F.col("n")))
+        at = open_.join(common, "cls", "left").withColumn("s", F.when(F.col("big"), F.coalesce("s", F.lit(0))).otherwise(F.col("n")))
         at = at.withColumn("upto", F.floor((100 + PERCENT) * F.col("s") / PERCENT) - F.col("n")).filter(100 * F.col("s") >= PERCENT * F.col("n"))
         mover = step(_movers(at))
         many = mover.filter("big").groupBy("value").agg(F.count("*").alias("m")).filter(F.col("m") > MANY).select("value")
@@ -274,23 +281,23 @@ def _near_duplicates(docs: DataFrame, step: Steps) -> tuple[DataFrame, DataFrame
         once = F.array_min(F.array_intersect("prefix_a", "prefix")) == mine["value"]
         pairs = mine.join(theirs, (mine["value"] == theirs["value"]) & (F.col("comp_a") != F.col("comp")) & one_way & _allowed() & once)
         pairs = pairs.select(F.col("cls_a").alias("a"), F.col("cls").alias("b"))
-        # those in long ones by prefixes
-        moves = few(mover).filter("big").select("cls").distinct().withColumn("moves", F.lit(True))
-        now = few(at).filter("big").select("cls", "comp", "upto").distinct().join(moves, "cls", "left").withColumn("moves", F.coalesce("moves", F.lit(False)))
-        pairs = pairs.union(_bounded(step(_meeting(early, now)), common))
+        # those in long ones by what sets them apart from most in lists with leaders of one component
+        moves = few(mover).filter("big").select("g", "cls").distinct().withColumn("moves", F.lit(True))
+        now = few(at).filter("big").select("g", "cls", "comp", "n", "upto").distinct().join(moves, ["g", "cls"], "left").withColumn("moves", F.coalesce("moves", F.lit(False)))
+        odd = step(_apart(step(now.join(sets, "cls"))))
+        pairs = pairs.union(_nearest(odd)).union(_meeting(odd, step))
         if led is not None:  # of many, central ones lead
             lead = mover.join(led, "value").groupBy("value", F.pmod(F.xxhash64("cls", F.lit(turn)), F.lit(1 << turn)).alias("slot")).agg(F.max(F.struct("central", "cls", "comp", "n", "upto", "counts")).alias("l"))
             lead = step(lead.select("value", *(F.col(f"l.{c}").alias(f"{c}_a") for c in ("cls", "comp", "n", "upto", "counts"))))
             theirs = at.join(led, "value")
             more = lead.join(theirs, (lead["value"] == theirs["value"]) & (F.col("comp_a") != F.col("comp")) & _allowed() & _by_parts())
             pairs = pairs.union(more.select(F.col("cls_a").alias("a"), F.col("cls").alias("b")).distinct())
-        links = step(links.union(_linked(pairs, classes, texts, step)))
-        label = _labelled(links, step)
+        label = _merged(label, _linked(pairs, classes, texts, step), step)
         free(spark)
         if led is None:
             break
         # what has led has met all others
-        left = step(at.join(led, "value").join(lead.select("value", F.col("cls_a").alias("cls")), ["value", "cls"], "left_anti").select("value", "cls", "n", "central"))
+        left = step(at.join(led, "value").join(lead.select("value", F.col("cls_a").alias("cls")), ["value", "cls"], "left_anti").select("value", "cls", "n", "central", "a"))
         turn += 1
     first = F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "cls")).alias("first")  # null ids come last
     component = label.join(classes, "cls").groupBy("comp").agg(first).select("comp", F.col("first.rep").alias("component_id"), F.col("first.cls").alias("keeper"))
@@ -332,53 +339,58 @@ def _shared_elements(who: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _in_common(element: DataFrame) -> DataFrame:
-    """Per class: s, how many of the set's elements are in another of these sets, the counts of these by
-    parts of the hash range, and their parities by finer parts, as bits."""
-    bit = F.expr(f"shiftleft(1L, int(pmod(shiftright(value, {PARTS.bit_length()}), 64L)))")
-    part = element.select("cls", F.pmod("value", F.lit(PARTS)).alias("part"), F.pmod(F.shiftright("value", 32), F.lit(WORDS)).alias("word"), bit.alias("bit"))
+    """Per class: s, how many of the set's elements are in another of these sets, and the counts of these
+    by parts of the hash range."""
+    part = element.select("cls", F.pmod("value", F.lit(PARTS)).alias("part"))
     counts = [F.count_if(F.col("part") == k).cast("int").alias(f"p{k}") for k in range(PARTS)]
-    parity = [F.coalesce(F.bit_xor(F.when(F.col("word") == k, F.col("bit"))), F.lit(0)).alias(f"w{k}") for k in range(WORDS)]
-    by = part.groupBy("cls").agg(F.count("*").alias("s"), *counts, *parity)
-    return by.select("cls", "s", F.array(*(f"p{k}" for k in range(PARTS))).alias("counts"), F.array(*(f"w{k}" for k in range(WORDS))).alias("bits"))
-
-
-def _early(element: DataFrame, common: DataFrame, classes: DataFrame) -> DataFrame:
-    """Elements that can be the first that a class shares with one that it links with: cls, n, value, and
-    `rest`, how many of the set's shared elements come from here on, in the order of frequency."""
-    fit = classes.join(common.select("cls", "s"), "cls").filter(100 * F.col("s") >= PERCENT * F.col("n")).select("cls", "n", "s")
-    at = F.row_number().over(Window.partitionBy("cls").orderBy("df", "value"))
-    ranked = element.join(fit, "cls").select("cls", "n", "value", (F.col("s") - at + 1).alias("rest"))
-    return ranked.filter(100 * F.col("rest") >= PERCENT * F.col("n"))
-
-
-def _meeting(early: DataFrame, now: DataFrame) -> DataFrame:
-    """Pairs (a, b), a the smaller or of one size with b, of classes (cls, comp, upto, moves) in different
-    components, one of which moves, that share an element with enough others after it in both."""
-    band = lambda n: F.floor(F.log(n) / math.log(BAND))
-    fits = lambda rest, na, nb: (100 + PERCENT) * rest >= PERCENT * (na + nb)
-    all_ = early.join(now, "cls")
-    # the smaller set needs the shorter prefix; the larger one has one for each band of smaller sizes
-    small = all_.filter(fits(F.col("rest"), F.col("n"), F.col("n"))).withColumn("band", band(F.col("n")))
-    small = small.select("value", "band", "moves", *(F.col(c).alias(f"{c}_a") for c in ("cls", "comp", "n", "upto", "rest")))
-    large = all_.withColumn("band", F.explode(F.sequence(band(F.col("n") * (PERCENT / 100 - 1e-9)), band(F.col("n")))))
-    large = large.filter(fits(F.col("rest"), F.col("n"), F.pow(F.lit(BAND), F.col("band")) * (1 - 1e-9)))
-    found = []
-    for x, y in ((small.filter("moves"), large), (small.filter("not moves"), large.filter("moves"))):
-        x = x.drop("moves")
-        ordered = (F.col("n_a") < F.col("n")) | ((F.col("n_a") == F.col("n")) & (F.col("cls_a") < F.col("cls")))
-        enough = fits(F.least("rest_a", "rest"), F.col("n_a"), F.col("n"))
-        meet = x.join(y, (x["value"] == y["value"]) & (x["band"] == y["band"]) & (F.col("comp_a") != F.col("comp")) & ordered & enough & _allowed())
-        found.append(meet.select(F.col("cls_a").alias("a"), F.col("n_a").alias("na"), F.col("cls").alias("b"), F.col("n").alias("nb")).distinct())
-    return found[0].union(found[1])
-
-
-def _bounded(pairs: DataFrame, common: DataFrame) -> DataFrame:
-    """Those of the pairs (a, na, b, nb) that counts and parities by parts allow."""
-    of = lambda x, end: common.select(F.col("cls").alias(x), *(F.col(c).alias(c + end) for c in ("s", "counts", "bits")))
-    both = pairs.withColumnsRenamed({"na": "n_a", "nb": "n"}).join(of("a", "_a"), "a").join(of("b", ""), "b")
-    apart = F.aggregate(F.zip_with("bits_a", "bits", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
-    even = (100 + PERCENT) * (F.col("s_a") + F.col("s") - apart) >= 2 * PERCENT * (F.col("n_a") + F.col("n"))
-    return both.filter(_by_parts() & even).select("a", "b")
+    by = part.groupBy("cls").agg(F.count("*").alias("s"), *counts)
+    return by.select("cls", "s", F.array(*(f"p{k}" for k in range(PARTS))).alias("counts"))
+
+
+def _apart(now: DataFrame) -> DataFrame:
+    """What sets the classes (g, cls, comp, n, upto, moves, held) of a group g apart: `odd`, elements that are
+    in a set or in most sets of the group, not both, and `far`. Two sets differ by as many elements as are in
+    one of their odd ones only, so they link if they share (far + far) / (200 + 2 * PERCENT) odd ones."""
+    often = now.select("g", F.explode("held").alias("value")).groupBy("g", "value").agg(F.count("*").alias("df"))
+    size = now.groupBy("g").agg(F.count("*").alias("m"))
+    most = often.join(size, (often["g"] == size["g"]) & (2 * F.col("df") > F.col("m"))).groupBy(often["g"]).agg(F.collect_list("value").alias("most"))
+    both = now.join(most, "g", "left").withColumn("most", F.coalesce("most", F.array().cast("array<long>")))
+    both = both.withColumn("odd", F.concat(F.array_except("held", "most"), F.array_except("most", "held")))
+    # elements that no other set has are odd too
+    far = (100 + PERCENT) * (F.size("odd") + F.col("n") - F.size("held")) - (100 - PERCENT) * F.col("n")
+    return both.select("g", "cls", "comp", "n", "upto", "moves", "odd", far.alias("far"))
+
+
+def _nearest(odd: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each group's least odd class with those that it links with whatever they share. Two
+    that link whatever they share both link with it."""
+    first = odd.groupBy("g").agg(F.min(F.struct("far", "cls", "comp")).alias("f")).select("g", "f.*")
+    first = first.select("g", *(F.col(c).alias(f"{c}_a") for c in ("far", "cls", "comp")))
+    near = odd.join(first, (odd["g"] == first["g"]) & (F.col("far_a") + F.col("far") <= 0) & (F.col("comp_a") != F.col("comp")))
+    return near.select(F.col("cls_a").alias("a"), F.col("cls").alias("b")).distinct()
+
+
+def _meeting(odd: DataFrame, step: Steps) -> DataFrame:
+    """Pairs (a, b) in different components of a group, one of which moves, that share enough odd elements:
+    the first one, rare first, has enough others after it in both, and all are counted."""
+    value = odd.withColumn("value", F.explode("odd")).drop("odd")
+    often = value.groupBy("g", "value").agg(F.count("*").alias("df")).filter("df > 1")
+    own = Window.partitionBy("g", "cls")
+    at = F.row_number().over(own.orderBy("df", "value"))
+    ranked = value.join(often, ["g", "value"]).withColumn("rest", F.count("*").over(own) - at + 1)
+    # an element suits partners that are no farther than its slack; those of a class that stays are movers
+    ranked = ranked.withColumn("slack", 2 * (100 + PERCENT) * F.col("rest") - F.col("far")).drop("rest", "df")
+    least = odd.groupBy("g").agg(F.min("far").alias("of_all"), F.min(F.when(F.col("moves"), F.col("far"))).alias("of_movers"))
+    early = ranked.join(least, (ranked["g"] == least["g"]) & (F.col("slack") >= F.when(F.col("moves"), F.col("of_all")).otherwise(F.col("of_movers"))))
+    early = step(early.select(ranked["g"], "value", "cls", "comp", "n", "upto", "moves", "far", "slack"))
+    x = early.filter("moves").select(*(F.col(c).alias(f"{c}_a") for c in ("g", "value", "cls", "comp", "n", "upto", "far", "slack")))
+    enough = (F.col("slack_a") >= F.col("far")) & (F.col("slack") >= F.col("far_a")) & (F.col("far_a") + F.col("far") > 0)
+    one_way = ~F.col("moves") | (F.col("cls_a") < F.col("cls"))
+    meet = x.join(early, (F.col("g_a") == F.col("g")) & (F.col("value_a") == F.col("value")) & (F.col("comp_a") != F.col("comp")) & one_way & enough & _allowed())
+    pairs = step(meet.select("g", F.col("cls_a").alias("a"), F.col("cls").alias("b")).distinct())
+    of = lambda x: odd.select("g", F.col("cls").alias(x), F.col("far").alias(f"far_{x}"), F.col("odd").alias(f"odd_{x}"))
+    both = pairs.join(of("a"), ["g", "a"]).join(of("b"), ["g", "b"])
+    return both.filter(2 * (100 + PERCENT) * F.size(F.array_intersect("odd_a", "odd_b")) >= F.col("far_a") + F.col("far_b")).select("a", "b").distinct()
 
 
 def _linked(pairs: DataFrame, classes: DataFrame, texts: DataFrame, step: Steps) -> DataFrame:
