@@ -1,11 +1,13 @@
 """Changelog forms against naive bags after every batch, and restarts."""
 
+import base64
 import json
 import random
 from collections import Counter
 
 import pytest
 from bags import asof, fold, grouped, joined
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemill.functions.changes import ChangeError, consolidated, data, expanded, folded, prefix_checked, valid_change
@@ -270,6 +272,47 @@ def test_values_on_the_wire_round_trip_and_drift_is_an_error(spark):
             decoded(envelopes(df, "c", TYPED), declared).collect()
 
 
+def test_envelopes_are_parsed_once_whatever_their_columns(spark):
+    """A row with more columns makes the plan longer, not its parsing more frequent."""
+    from tidemill.sources.cdc import decoded, envelopes
+
+    def parses(columns):
+        schema = T.StructType([T.StructField(f"c{i}", T.DecimalType(15, 2)) for i in range(columns)])
+        rows = envelopes(spark.range(3).select(*(F.col("id").cast("decimal(15,2)").alias(f"c{i}") for i in range(columns))), "r", schema)
+        plan = decoded(rows, schema)._jdf.queryExecution().optimizedPlan().toString()
+        return plan.count("from_json"), plan.count("get_json_object"), plan.count("unbase64")
+
+    (a, b, c), few = parses(6), parses(2)
+    assert (a, b) == few[:2] and a <= 12 and few[2] <= c <= 12
+
+
+def test_lines_with_other_schema_texts_are_judged_by_themselves(spark):
+    from decimal import Context, Decimal
+
+    from tidemill.sources.cdc import decoded, envelopes
+
+    schema = T.StructType([T.StructField("id", T.LongType(), False), T.StructField("d", T.DecimalType(38, 2))])
+    empty = envelopes(spark.createDataFrame([(0, None)], schema), "c", schema).first()[0]
+    line = lambda i, x: empty.replace('"id":0', f'"id":{i}').replace('"d":null', f'"d":"{x}"')
+    got = lambda *lines: sorted(tuple(r)[:2] for r in decoded(spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1), schema).collect())
+    one = line(1, "AQ==")
+    head, tail = one.split(',"payload":')
+    spaced = head.replace(": ", " :  ") + ', "payload" : ' + tail.replace('"id":1', '"id":2')
+    swapped = '{"payload":' + tail[:-1].replace('"id":1', '"id":3') + "," + head[1:] + "}"
+    plain = '{"payload":{"before":null,"after":{"id":4,"d":0.01},"op":"c"}}'
+    for first in (one, swapped):
+        assert got(first, *(x for x in (one, spaced, swapped, plain) if x != first)) == [(i, Decimal("0.01")) for i in (1, 2, 3, 4)]
+    for bad, why in ((one.replace('"scale": "2"', '"scale": "3"'), "schema has changed"), (head + ',"payload":"x","ts_ms":1}', "no envelope")):
+        with pytest.raises(Exception, match=why):
+            got(one, bad)
+    # of more than 8 and 16 bytes, as far as 38 digits go
+    wide = [10**38 - 1, 1 - 10**38, 2**64 - 1, -(2**64), 2**63, -(2**63), -1]
+    text = lambda n, size: base64.b64encode(n.to_bytes(size, "big", signed=True)).decode()
+    assert got(*(line(i, text(n, size)) for i, (n, size) in enumerate((n, size) for n in wide for size in (16, 24)))) == [(i, Decimal(wide[i // 2]).scaleb(-2, Context(prec=60))) for i in range(14)]
+    with pytest.raises(Exception):  # noqa: B017  raised in the executor
+        got(one, line(1, text(2**127 + 1, 24)))
+
+
 def test_records_without_rows(spark):
     from tidemill.sources.cdc import decoded
 

@@ -15,6 +15,7 @@ part values are JSON as Spark reads it. Decoding is built-in functions only.
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,7 +36,7 @@ MARKERS = ("true", "first", "first_in_data_collection", "last_in_data_collection
 
 _COLUMN = "struct<field:string,type:string,optional:boolean,name:string,scale:string,precision:string>"
 _SCHEMA = "type string, fields array<struct<field:string,type:string,optional:boolean,fields:array<struct<field:string,type:string,optional:boolean,name:string,parameters:map<string,string>>>>>"
-_PAYLOAD = "before string, after string, op string, ts_ms string, source struct<snapshot:string>, aggregate_type string, type string"
+_PAYLOAD = "struct<before:string,after:string,op:string,ts_ms:string,source:struct<snapshot:string>,aggregate_type:string,type:string>"
 
 
 def _error(text: str, t: str) -> Column:
@@ -61,97 +62,150 @@ def connect_schema(schema: T.StructType) -> list[dict]:
     return out
 
 
-def _drift(part: Column, schema: T.StructType) -> Column:
-    """Whether an envelope's schema part isn't the one that the declared columns give."""
+def _drift(p: Column, schema: T.StructType) -> Column:
+    """Whether an envelope's schema part (read as _SCHEMA) isn't the one that the declared columns give."""
     null = lambda x: F.lit(x).cast("string")
     want = F.array(*(
         F.struct(F.lit(c["field"]).alias("field"), F.lit(c["type"]).alias("type"), F.lit(c["optional"]).alias("optional"), null(c.get("name")).alias("name"),
                  null(c.get("parameters", {}).get("scale")).alias("scale"), null(c.get("parameters", {}).get("connect.decimal.precision")).alias("precision"))
         for c in connect_schema(schema)
     )).cast(f"array<{_COLUMN}>")
-    p = F.from_json(part, _SCHEMA)
     decimal = lambda x, key: F.when(x["name"] == LITERALS[T.DecimalType][1], x["parameters"][key])
     flat = lambda cs: F.transform(cs, lambda x: F.struct(x["field"].alias("field"), x["type"].alias("type"), x["optional"].alias("optional"), x["name"].alias("name"), decimal(x, "scale").alias("scale"), decimal(x, "connect.decimal.precision").alias("precision"))).cast(f"array<{_COLUMN}>")
-    image = lambda side: F.filter(p["fields"], lambda x: x["field"] == side)
-    fits = lambda side: (F.size(image(side)) == 1) & (image(side)[0]["type"] == "struct") & image(side)[0]["optional"] & flat(image(side)[0]["fields"]).eqNullSafe(want)
-    return ~F.coalesce((p["type"] == "struct") & fits("before") & fits("after"), F.lit(False))
+    # each side stands once, and as declared
+    sides = F.transform(F.filter(p["fields"], lambda x: x["field"].isin("before", "after")), lambda x: F.when((x["type"] == "struct") & x["optional"] & flat(x["fields"]).eqNullSafe(want), x["field"]))
+    return ~F.coalesce((p["type"] == "struct") & F.array_sort(sides).eqNullSafe(F.array(F.lit("after"), F.lit("before"))), F.lit(False))
 
 
 def _on_wire(t: T.DataType) -> T.DataType:
     return {T.DateType: T.IntegerType(), T.TimestampNTZType: T.LongType(), T.TimestampType: T.StringType(), T.DecimalType: T.StringType()}.get(type(t), t)
 
 
-def _unscaled(text: Column, t: T.DecimalType) -> Column:
-    """A decimal from base64 of its unscaled value: bytes of two's complement, highest first."""
-    digits = F.hex(F.unbase64(text))
-    byte = lambda i: F.conv(F.substring(digits, F.lit(2) * i - 1, F.lit(2)), 16, 10).cast("int")
-    negative = byte(F.lit(1)) >= 128
-    whole = F.aggregate(F.sequence(F.lit(1), (F.length(digits) / 2).cast("int")), F.lit(0).cast("decimal(38,0)"), lambda s, i: (s * 256 + F.when(negative, 255 - byte(i)).otherwise(byte(i))).cast("decimal(38,0)"))
+def _digits(text: Column) -> Column:
+    """The hexadecimal digits of base64; none for no bytes."""
+    return F.when(F.length(text) > 0, F.hex(F.unbase64(text)))
+
+
+def _size(digits: Column) -> Column:
+    """The digits of a number, of a negative one those of its complement, which is its distance from -1."""
+    return F.when(digits >= "8", F.translate(digits, "0123456789ABCDEF", "FEDCBA9876543210")).otherwise(digits)
+
+
+def _unscaled(digits: Column, size: Column, t: T.DecimalType) -> Column:
+    """A decimal from its unscaled value: the digits of two's complement, highest first, and their _size().
+    Either is a column, as both are used often."""
+    part = lambda x: F.conv(x, 16, 10).cast("decimal(20,0)")  # noqa: E731  of 16 digits at most
+    head, high = F.substring(size, F.lit(1), F.length(size) - 32), F.right(F.lpad(F.substring(size, F.lit(1), F.length(size) - 16), 64, "0"), F.lit(16))
+    wide = F.when(F.ltrim(head, F.lit("0")) != "", _error("a decimal has more than 38 digits", "decimal(38,0)")).otherwise(part(high) * F.lit(str(2**64)).cast("decimal(20,0)") + part(F.right(size, F.lit(16))))
+    whole = F.when(F.length(size) <= 16, part(size)).otherwise(wide).cast("decimal(38,0)") + F.when(digits >= "8", 1).otherwise(0)
     # the sign and the scale are put in as text: negation and division of decimals lose digits
-    n = F.lpad(F.when(negative, whole + 1).otherwise(whole).cast("decimal(38,0)").cast("string"), 39, "0")
-    sign = F.when(negative, "-").otherwise("")
-    text = F.concat(sign, F.substring(n, 1, 39 - t.scale), F.lit("."), F.substring(n, 40 - t.scale, t.scale))
-    return text.cast(t)
+    n = F.lpad(whole.cast("decimal(38,0)").cast("string"), 39, "0")
+    text = F.concat(F.when(digits >= "8", "-").otherwise(""), F.overlay(n, F.lit("."), F.lit(40 - t.scale), F.lit(0)))
+    return F.when(digits.isNotNull(), text.cast(t))
 
 
 def _value(c: Column, t: T.DataType) -> Column:
-    """A column's value from the wire."""
+    """A column's value from the wire, but for decimals."""
     if isinstance(t, T.DateType):
         return F.date_from_unix_date(c)
     if isinstance(t, T.TimestampNTZType):
-        return F.to_timestamp_ntz(F.lit("1970-01-01 00:00:00")) + F.make_dt_interval(secs=c.cast("decimal(20,0)") / 1000000)
-    if isinstance(t, T.DecimalType):
-        return F.when(F.length(c) > 0, _unscaled(c, t))
+        return F.timestamp_add("MICROSECOND", c, F.to_timestamp_ntz(F.lit("1970-01-01 00:00:00")))
     return c.cast(t)
 
 
+def _usual(df: DataFrame, value: Column, schema: T.StructType) -> str | None:
+    """How lines begin, up to their payload, if the first of them has a schema part that fits: the same
+    text is known to fit in other lines, which needn't parse it. It is most of a line."""
+    line = df.filter(value.isNotNull()).select(value).first()
+    opening = re.match(r'\s*\{\s*"schema"\s*:\s*', line[0]) if line else None
+    if opening is None:
+        return None
+    try:
+        _, end = json.JSONDecoder().raw_decode(line[0], opening.end())
+    except ValueError:  # decoding will say so
+        return None
+    comma = re.compile(r"\s*,").match(line[0], end)
+    part = F.lit(line[0][opening.end() : end])
+    if comma is None or df.sparkSession.range(1).select(F.from_json(part, _SCHEMA).alias("p")).select(_drift(F.col("p"), schema)).first()[0]:
+        return None
+    return line[0][: comma.end()]
+
+
 def decoded(df: DataFrame, schema: T.StructType, value: str = "value", order: list[str] | None = None, snapshot: bool | None = None, tombstones: bool = True) -> DataFrame:
     """The change in a DataFrame of envelopes: schema's columns, __diff, __ord.
 
     order: columns that give the events' order (by default the payload's ts_ms is no order: events
     are numbered as they stand). snapshot: whether r is expected; None allows both phases. tombstones:
-    whether rows without a value may stand between events."""
+    whether rows without a value may stand between events.
+
+    A line, its payload and each of its row images are parsed once, its schema part only if it isn't the
+    first line's (one row of df is computed for that). For that they are
+    columns of their own, which the optimizer leaves apart where they are used more than once, and
+    lines without rows are dropped after the explode: a filter would be pushed below the parsing and
+    repeat it, as would the filter that an inner explode puts below itself."""
     validate_schema(schema)
     loose = T.StructType([T.StructField(f.name, f.dataType, True) for f in schema])
     wire = T.StructType([T.StructField(f.name, _on_wire(f.dataType), True) for f in schema])
     at = F.struct(*(F.col(c) for c in order)) if order else F.monotonically_increasing_id()
     empty = F.col(value).isNull() | F.trim(value).isin("", "null")
-    if tombstones:
-        df = df.filter(~empty)
-    part = F.get_json_object(value, "$.schema")
-    df = df.select(payload(value).alias("e"), part.alias("__part"), at.alias("__at"), empty.alias("__empty"))
-    e, rowless = (lambda c: F.col(f"e.{c}")), F.col("e.op").isNull() & F.col("e.before").isNull() & F.col("e.after").isNull()
-    note = e("aggregate_type").isNotNull()
-    known = ~note & e("ts_ms").isNotNull() | (e("aggregate_type") == SNAPSHOT) & e("type").isin(DONE, *GOING)
-    wrong = F.when(F.col("__empty"), _error("a tombstone where the source has none", "boolean")).when(note, _error("the snapshot's notification is not of one that completes", "boolean")).otherwise(_error("a line is no envelope, heartbeat or notification", "boolean"))
-    images = df.filter(F.when(~rowless, F.lit(True)).when(F.coalesce(known, F.lit(False)), F.lit(False)).otherwise(wrong))
-    images = images.select("e.op", "e.before", "e.after", "e.source.snapshot", "__part", "__at", F.json_object_keys("e.before").alias("kb"), F.json_object_keys("e.after").alias("ka"))
     typed = all(type(f.dataType) in LITERALS for f in schema)
-    drift = _drift(F.col("__part"), schema) if typed else F.lit(True)
+    usual = _usual(df, F.col(value), schema) if typed else None
+    known, text = F.lit(False), F.col(value)
+    if usual:
+        known = F.coalesce(F.startswith(text, F.lit(usual)), F.lit(False))
+        text = F.when(known, F.concat(F.lit("{"), F.substring(text, len(usual) + 1, 1 << 30))).otherwise(text)
+    df = df.select(text.alias("__value"), known.alias("__usual"), at.alias("__at"), empty.alias("__empty"))
+    df = df.select("*", F.when(F.col("__usual"), F.from_json("__value", f"payload {_PAYLOAD}")["payload"]).alias("whole"))
+    df = df.select("*", F.when(F.col("whole").isNull(), F.from_json("__value", "schema string, payload string")).alias("line"))
+    e = F.coalesce("whole", F.from_json(F.when(F.col("whole").isNull(), F.coalesce("line.payload", "__value")), _PAYLOAD))
+    df = df.select(e.alias("e"), "line.schema", F.from_json(F.when(~F.col("__usual"), F.col("line.schema")), _SCHEMA).alias("p"), "__usual", "__at", "__empty")
+    parted = F.col("__usual") | F.col("schema").isNotNull()
+    drift = F.when(F.col("__usual") | F.col("schema").isNull(), F.lit(False)).otherwise(_drift(F.col("p"), schema) if typed else F.lit(True))
+    df = df.select("e.*", drift.alias("__drift"), parted.alias("__parted"), "__at", "__empty")
+    rowless, note = F.col("op").isNull() & F.col("before").isNull() & F.col("after").isNull(), F.col("aggregate_type").isNotNull()
+    known = ~note & F.col("ts_ms").isNotNull() | (F.col("aggregate_type") == SNAPSHOT) & F.col("type").isin(DONE, *GOING)
+
+    # row images: read with their columns checked, then as values
+    names = F.sort_array(F.array(*(F.lit(f.name) for f in schema)))
+    parse = lambda c, t, where: F.when(F.col(f"__fits_{c}") & where, F.from_json(c, t, {"mode": "FAILFAST"}))
+    sides = ("before", "after")
+    df = df.select("*", *(F.coalesce(F.sort_array(F.json_object_keys(c)) == names, F.lit(False)).alias(f"__fits_{c}") for c in sides))
+    df = df.select("*", *(parse(c, loose, ~F.col("__parted")).alias(f"__plain_{c}") for c in sides), *(parse(c, wire, F.col("__parted") & ~F.col("__drift")).alias(f"__wire_{c}") for c in sides))
+
+    decimals = [(c, i, f.name) for c in sides for i, f in enumerate(schema) if typed and isinstance(f.dataType, T.DecimalType)]
+    df = df.select("*", *(_digits(F.col(f"__wire_{c}")[name]).alias(f"__digits_{c}{i}") for c, i, name in decimals))
+    df = df.select("*", *(_size(F.col(f"__digits_{c}{i}")).alias(f"__size_{c}{i}") for c, i, _ in decimals))
+
+    def wired(c: str) -> Column:
+        of = lambda i, f: _unscaled(F.col(f"__digits_{c}{i}"), F.col(f"__size_{c}{i}"), f.dataType) if isinstance(f.dataType, T.DecimalType) else _value(F.col(f"__wire_{c}")[f.name], f.dataType)
+        return F.struct(*(of(i, f).alias(f.name) for i, f in enumerate(schema))).cast(loose) if typed else F.lit(None).cast(loose)
 
     def image(c: str) -> Column:
-        w = F.from_json(c, wire, {"mode": "FAILFAST"})
-        of_wire = F.struct(*(_value(w[f.name], f.dataType).alias(f.name) for f in schema)).cast(loose) if typed else F.lit(None).cast(loose)
-        return F.when(F.col("__part").isNull(), F.from_json(c, loose, {"mode": "FAILFAST"})).when(drift, _error("the table's schema has changed", loose.simpleString())).otherwise(of_wire)
+        unfit = _error("a row image doesn't have the declared columns", loose.simpleString())
+        read = F.when(~F.col(f"__fits_{c}"), unfit).when(~F.col("__parted"), F.col(f"__plain_{c}")).when(F.col("__drift"), _error("the table's schema has changed", loose.simpleString())).otherwise(wired(c))
+        return F.when(F.col(c).isNotNull(), read)
 
-    b, a = image("before"), image("after")
-    names = F.sort_array(F.array(*(F.lit(f.name) for f in schema)))
-    strict = lambda keys, image: F.when(F.sort_array(keys) == names, image).otherwise(_error("a row image doesn't have the declared columns", loose.simpleString()))
-    before, after, no = strict(F.col("kb"), b), strict(F.col("ka"), a), F.lit(None).cast(loose)
+    df = df.select("op", "before", "after", "source.snapshot", "__at", "__empty", rowless.alias("__rowless"), note.alias("__note"), F.coalesce(known, F.lit(False)).alias("__known"), *(image(c).alias(f"__{c}") for c in sides))
+    before, after = F.col("__before"), F.col("__after")
     row_change = lambda image, n: F.struct(image.alias("row"), F.lit(n).cast("long").alias(DIFF), F.lit(0 if n < 0 else 1).alias("step"))
     kind = "array<struct<row:" + loose.simpleString() + f",{DIFF}:bigint,step:int>>"
     insert = F.array(row_change(after, 1))
     snap = insert if snapshot in (None, True) else _error("a snapshot row outside the snapshot", kind)
     marked = F.coalesce(F.col("snapshot"), F.when(F.col("op") == "r", "true").otherwise("false"))
+    none = F.array().cast(kind)
     events = (
-        F.when(~F.when(F.col("op") == "r", marked.isin(*MARKERS)).otherwise(marked == "false"), _error("the snapshot's marker is not of this phase", kind))
+        F.when(F.col("__empty"), none if tombstones else _error("a tombstone where the source has none", kind))
+        .when(F.col("__rowless") & F.col("__known"), none)
+        .when(F.col("__rowless") & F.col("__note"), _error("the snapshot's notification is not of one that completes", kind))
+        .when(F.col("__rowless"), _error("a line is no envelope, heartbeat or notification", kind))
+        .when(~F.when(F.col("op") == "r", marked.isin(*MARKERS)).otherwise(marked == "false"), _error("the snapshot's marker is not of this phase", kind))
         .when((F.col("op") == "r") & F.col("before").isNull() & F.col("after").isNotNull(), snap)
         .when((F.col("op") == "c") & F.col("before").isNull() & F.col("after").isNotNull() & F.lit(snapshot is not True), insert)
         .when((F.col("op") == "u") & F.col("before").isNotNull() & F.col("after").isNotNull() & F.lit(snapshot is not True), F.array(row_change(before, -1), row_change(after, 1)))
         .when((F.col("op") == "d") & F.col("before").isNotNull() & F.col("after").isNull() & F.lit(snapshot is not True), F.array(row_change(before, -1)))
         .otherwise(_error("the envelope is not a row event of this phase", kind))
     )
-    out = images.select(F.explode(events).alias("x"), "__at")
+    out = df.select(F.explode_outer(events).alias("x"), "__at").filter(F.col(f"x.{DIFF}").isNotNull())
     cols = []
     for f in schema:
         c = F.col(f"x.row.{q(f.name)}")
