@@ -51,6 +51,12 @@ def test_self_joins_take_the_events_of_all_users(spark, small, db, name):
     assert joined.select("user_id").distinct().count() == users.count() > 10
 
 
+def test_changes_of_a_join_are_folded_without_shuffling_its_pairs(spark, small):
+    plan = QUERIES["delta_self_join"](spark, small)._jdf.queryExecution().executedPlan().toString()
+    above = plan[: plan.index("Join")]
+    assert above.count("HashAggregate") == 2 and "Exchange" not in above
+
+
 def test_joins_on_whole_tables(spark, small):
     orders, customers, suppliers = (spark.read.parquet(f"{small}/{t}.parquet") for t in ("orders", "customer", "supplier"))
     inner = QUERIES["join_inner"](spark, small)

@@ -13,6 +13,10 @@ from pyspark.sql.window import Window
 from .types import DIFF, ORD, is_float
 
 
+#: Copies of a row before a change.
+WAS = "__was"
+
+
 def q(name: str) -> str:
     """A column name as one identifier, dots and all."""
     return "`" + name.replace("`", "``") + "`"
@@ -38,23 +42,34 @@ def _identity(df: DataFrame, c: str) -> Column:
     return F.to_json(F.struct(F.col(q(c)))) if is_float(t) and not isinstance(t, (T.FloatType, T.DoubleType)) else F.col(q(c)).cast("string") if is_float(t) else F.col(q(c))
 
 
+def _summed(df: DataFrame, cols: list[str], sums: list[str]) -> DataFrame:
+    """One row for each distinct row of cols, with the sums of others."""
+    floats = [c for c in cols if is_float(df.schema[c].dataType)]
+    totals = [F.sum(s).alias(s) for s in sums]
+    if not floats:
+        return df.groupBy(*(F.col(q(c)) for c in cols)).agg(*totals)
+    keys = [_identity(df, c).alias(f"__g{i}") for i, c in enumerate(cols)]
+    firsts = [F.first(F.col(q(c))).alias(c) for c in cols]
+    return df.groupBy(*keys).agg(*firsts, *totals).select(*(F.col(q(c)) for c in cols), *sums)
+
+
 def consolidated(df: DataFrame, what: str = "relation", signed: bool = False) -> DataFrame:
     """One row for each distinct row, with its summed weight, and none for a weight of 0. Unless
     signed, a negative weight is an error: a row was retracted that is not there."""
     df = with_diff(df)
-    cols = data(df)
-    floats = [c for c in cols if is_float(df.schema[c].dataType)]
-    if floats:
-        keys = [_identity(df, c).alias(f"__g{i}") for i, c in enumerate(cols)]
-        firsts = [F.first(F.col(q(c))).alias(c) for c in cols]
-        out = df.groupBy(*keys).agg(*firsts, F.sum(DIFF).alias(DIFF)).select(*(F.col(q(c)) for c in cols), DIFF)
-    else:
-        out = df.groupBy(*(F.col(q(c)) for c in cols)).agg(F.sum(DIFF).alias(DIFF))
+    out = _summed(df, data(df), [DIFF])
     if not signed:
         out = out.withColumn(DIFF, nonnegative(F.col(DIFF), what))
     return out.filter(F.col(DIFF) != 0)
 
 
+def versions(before: DataFrame, change: DataFrame, what: str = "relation") -> DataFrame:
+    """The distinct rows of a relation before or after a change: __was and __diff count their copies."""
+    both = before.withColumn(WAS, F.col(DIFF)).unionByName(change.withColumn(WAS, F.lit(0).cast("long")))
+    out = _summed(both, data(before), [DIFF, WAS])
+    return out.withColumn(DIFF, nonnegative(F.col(DIFF), what)).filter((F.col(DIFF) != 0) | (F.col(WAS) != 0))
+
+
 def nonnegative(w: Column, what: str) -> Column:
     """w, or an error where it is negative."""
     return F.when(w < 0, F.raise_error(F.lit(f"{what}: a row was retracted more often than it was there")).cast("long")).otherwise(w)

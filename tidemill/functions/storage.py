@@ -77,6 +77,9 @@ class Folder:
     def delete(self, name: str = "") -> None:
         self._fs.delete(self._at(name), True)
 
+    def delete_at_exit(self) -> None:
+        self._fs.deleteOnExit(self._at(""))
+
 
 class Work:
     """Tables written for one piece of work and read again: computed once, with short plans and known
@@ -93,3 +96,7 @@ class Work:
 
     def close(self) -> None:
         Folder(self.spark, self.path).delete()
+
+    def close_at_exit(self) -> None:
+        """The tables stay until the driver ends, for what is read from them later."""
+        Folder(self.spark, self.path).delete_at_exit()

@@ -4,8 +4,9 @@ Filter, select and union pass changes on. For each other operator the relations
 kept as state. With K the keys that the inputs' changes touch (rows for distinct, groups for an
 aggregate, equality keys for joins), the change is op(new state on K) minus op(old state on K): right
 for every join kind, residuals and historical ASOF matches included, at a cost of the touched keys.
-An inner join takes the two-term form instead: change of left with new right, old left with change of
-right. Rows with a NULL key match nothing and need no state. An aggregate keeps accumulators instead of
+An inner join takes two terms instead: left rows whose weight changes with all right rows, and the
+others with right rows whose weight changes. A pair is in one term at most and comes once, with its net
+weight, so pairs needn't be brought together: what is shuffled grows with the rows, not with the pairs. Rows with a NULL key match nothing and need no state. An aggregate keeps accumulators instead of
 rows: a group's weight, and the count and the sum of each argument; for MIN and MAX the values of
 the argument with their weights.
 """
@@ -18,7 +19,7 @@ from typing import Protocol
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.changes import consolidated, data, difference, q, with_diff
+from ..functions.changes import WAS, consolidated, data, difference, q, versions, with_diff
 from ..functions.storage import Work
 from ..functions.types import DIFF, ORD
 from ..operators.aggregates import Accumulators
@@ -88,9 +89,10 @@ def _touched(df: DataFrame, keys: DataFrame, n: int) -> DataFrame:
     return d.join(k, on, "left_semi")
 
 
-def step(plan: Node, changes: dict[str, DataFrame], state: State, empty: Callable[[str], DataFrame]) -> DataFrame:
+def step(plan: Node, changes: dict[str, DataFrame], state: State, empty: Callable[[str], DataFrame], dealt: int = 0) -> DataFrame:
     """The plan's change for this batch. changes: by source, with __diff; empty: a source's columns
-    without rows, for sources that haven't changed."""
+    without rows, for sources that haven't changed. dealt: if not 0, into how many partitions the sides
+    of inner joins are dealt by their keys, so that the changes of several batches lie side by side."""
     done: dict[Node, DataFrame] = {}
     place: dict[Node, str] = {}
 
@@ -161,6 +163,7 @@ def step(plan: Node, changes: dict[str, DataFrame], state: State, empty: Callabl
         for k in keyed[1:]:
             keys = keys.unionByName(k.select(*ks))
         keys = state.once(keys.distinct()) if m else None
+        inner = isinstance(n, EquiJoin) and n.kind == "inner"
         old, new = [], []
         for i, (d, s) in enumerate(zip(deltas, sides, strict=True)):
             own = f"{name}-{i}"
@@ -168,10 +171,22 @@ def step(plan: Node, changes: dict[str, DataFrame], state: State, empty: Callabl
             before = consolidated((_touched(before, keys, m) if m else before).drop(*ks), name)
             state.add(own, _keyed(d, s), ks)
             old.append(before)
-            new.append(consolidated(before.unionByName(d), name))
-        if isinstance(n, EquiJoin) and n.kind == "inner":
-            args = (n.kind, list(n.keys), list(n.names) if n.names else None, n.residual)
-            return consolidated(join(deltas[0], new[1], *args).unionByName(join(old[0], deltas[1], *args)), signed=True)
+            new.append(state.once(versions(before, d, name)) if inner else consolidated(before.unionByName(d), name))
+        if inner:
+            return pairs(n, *new)
         return difference(with_diff(apply(n, new)), with_diff(apply(n, old)))
 
+    def pairs(n: EquiJoin, left: DataFrame, right: DataFrame) -> DataFrame:
+        """The change of an inner join from the versions of its sides."""
+        names = list(n.names) if n.names else [*(c for c in data(left) if c != WAS), *(c for c in data(right) if c != WAS)]
+        m = len(data(left)) - 1
+        left, right = (df.select(*(F.col(q(c)) for c in data(df) if c != WAS), WAS, DIFF) for df in (left, right))
+        if dealt:
+            left, right = (df.repartition(dealt, *(F.expr(k[i]) for k in n.keys)) for i, df in enumerate((left, right)))
+        moves = F.col(WAS) != F.col(DIFF)
+        both = lambda l, r: join(l, r, n.kind, list(n.keys), [*names[:m], "__was_l", *names[m:], "__was_r"], n.residual)
+        out = both(left.filter(moves), right).unionByName(both(left.filter(~moves), right.filter(moves)))
+        out = out.withColumn(DIFF, F.col(DIFF) - F.col("__was_l") * F.col("__was_r"))
+        return out.filter(F.col(DIFF) != 0).drop("__was_l", "__was_r")
+
     return run(plan)

@@ -185,9 +185,30 @@ register("running_event_count", RunningEventCount(EVENTS, ("event_id",)), ("even
 # -- changelogs ------------------------------------------------------------------------------
 
 
+#: Pairs of a join that are folded in one partition.
+PAIRS = 1 << 20
+
+
+def _parts(spark: SparkSession, plan: EquiJoin, tables: dict[str, DataFrame]) -> int:
+    """Partitions for a join's pairs, by their number over whole tables but for the residual."""
+    left, right = (
+        evaluate(x, tables).groupBy(*(F.expr(k[i]).alias(f"k{j}") for j, k in enumerate(plan.keys))).agg(F.count(F.lit(1)).cast("double").alias(f"n{i}")) for i, x in enumerate(plan.inputs)
+    )
+    n = left.join(right, [f"k{j}" for j in range(len(plan.keys))]).agg(F.sum(F.col("n0") * F.col("n1"))).first()[0] or 0
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(n / PAIRS) + 1)
+
+
 def folded_changes(spark: SparkSession, plan: Node, batches: list[dict[str, DataFrame]], like: dict[str, DataFrame]) -> DataFrame:
     """The relation that the plan's changes build up over some batches."""
     state, out = MemoryState(spark), []
+    if isinstance(plan, EquiJoin) and plan.kind == "inner":
+        # a join's pairs are many more than its rows: not written or shuffled, but made again from the rows where they are read
+        parts = _parts(spark, plan, like)
+        for b in batches:
+            out.append(step(plan, b, state, lambda n: like[n].limit(0), parts))
+            state.commit()
+        state.once.close_at_exit()
+        return expanded(folded(out))
     for b in batches:
         out.append(state.once(step(plan, b, state, lambda n: like[n].limit(0))))
         state.commit()
